@@ -10,7 +10,7 @@ MONEY = "decimal(18,2)"
 
 def percent() -> Column:
     """One hundredth as a decimal, so that percentages stay exact."""
-    return F.lit("0.01").cast("decimal(3,2)")
+    return F.lit("0.01").cast("decimal(2,2)")
 
 
 def zero() -> Column:

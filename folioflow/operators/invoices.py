@@ -9,7 +9,7 @@ from ..functions.filters import in_window
 from ..functions.money import line_subtotal, or_zero, percent, thousands_text
 from ..params import InvoiceParams
 from ..sources.tables import Tables
-from .taxes import line_taxes
+from .taxes import RATE, line_taxes
 
 _TAX_TOTALS = (
     "subtotals array<struct<name:string>>, "
@@ -93,7 +93,7 @@ def line_amounts(tables: Tables) -> DataFrame:
 
     Tax is taken on the price before discount; amounts are rounded to the currency's two decimals.
     """
-    rates = line_taxes(tables).groupBy("line_id").agg(F.sum("amount").alias("rate"))
+    rates = line_taxes(tables).groupBy("line_id").agg(F.sum("amount").cast(RATE).alias("rate"))
     gross = F.col("price_unit") * F.col("quantity")
     lines = tables["account_move_line"].select(
         F.col("id").alias("line_id"), "move_id", F.col("name").alias("line"), "product_id", "price_unit", "quantity",

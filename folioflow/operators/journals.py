@@ -104,7 +104,7 @@ def journal_book_lines(tables: Tables, p: JournalBookParams) -> DataFrame:
 
 
 def _sorted_book(rows: DataFrame, p: JournalBookParams) -> DataFrame:
-    return rows.orderBy("journal_id", _leading(p), "move_id", "account_code", "label", "line_id")
+    return rows.orderBy("journal_id", _leading(p), "move_id", "account_code", "label", "debit", "credit", "line_id")
 
 
 def journal_book_totals(tables: Tables, p: JournalBookParams) -> DataFrame:
@@ -164,14 +164,15 @@ def journal_book_print_rows(tables: Tables, p: JournalBookParams) -> DataFrame:
             "partner": F.coalesce("partner", F.lit("")),
         }
     )
+    order_names = ("move_id", "account_code", "label", "debit", "credit", "line_id")
+    order = [F.col(c) for c in order_names]
     chunks = [
         [
-            F.col("move_id"), F.col("account_code"), F.col("label"),
+            *[F.col(c) for c in order_names[:-1]],
             F.floor(F.col("line_id") / F.lit(_LINES_PER_CHUNK)),
         ],
         [F.floor(F.col("move_id") / F.lit(_ENTRIES_PER_CHUNK))],
     ]
-    order = [F.col(c) for c in ("move_id", "account_code", "label", "line_id")]
     rows = with_previous_row(
         rows, ["entry", "date", "partner"], [F.col("journal_id"), F.col(_leading(p))], chunks, order
     ).join(journals, "journal_id", "left")

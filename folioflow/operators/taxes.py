@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.labels import IVA_CODE
 from ..sources.tables import Tables
 
+RATE = "decimal(9,4)"
+
 
 def line_taxes(tables: Tables) -> DataFrame:
     """(line_id, tax_id, amount, description, is_iva) for every tax on a line."""
@@ -16,7 +18,7 @@ def line_taxes(tables: Tables) -> DataFrame:
     )
     types = tables["dian_tax_type"].select(F.col("id").alias("dian_tax_type_id"), "dian_code")
     known = taxes.join(types, "dian_tax_type_id", "left").select(
-        "tax_id", "amount", "description",
+        "tax_id", F.col("amount").cast(RATE).alias("amount"), "description",
         F.coalesce(F.col("dian_code") == IVA_CODE, F.lit(False)).alias("is_iva"),
     )
     bearing = tables["account_move_line_account_tax_rel"].select(
@@ -40,7 +42,7 @@ def iva_by_line(tables: Tables) -> DataFrame:
                 "listagg(CASE WHEN is_iva THEN description END, ';') "
                 "WITHIN GROUP (ORDER BY tax_id)"
             ).alias("iva_names"),
-            F.sum(F.when(iva, F.col("amount"))).alias("iva_rate"),
+            F.sum(F.when(iva, F.col("amount"))).cast(RATE).alias("iva_rate"),
         )
         .select(
             "line_id",

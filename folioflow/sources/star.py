@@ -288,7 +288,7 @@ class StarTables(Tables):
             quantity.alias("quantity"),
             unit.alias("price_unit"),
             discount.alias("discount"),
-            line_subtotal(unit, quantity, discount).alias("price_subtotal"),
+            line_subtotal(unit, quantity, discount).cast("decimal(18,4)").alias("price_subtotal"),
             F.when((number % 5 == 0) & (tax > 0), _long(tax)).alias("tax_line_id"),
             F.when(F.col("order_purchase_id").isNotNull(), F.col("id")).alias("purchase_line_id"),
         )
