@@ -31,8 +31,18 @@ def ancestors(nodes: DataFrame) -> DataFrame:
 
 def child_of(df: DataFrame, column: str, nodes: DataFrame, roots: tuple[int, ...]) -> DataFrame:
     """Rows whose ``column`` is one of ``roots`` or below one of them."""
-    below = (
-        ancestors(nodes).filter(F.col("ancestor_id").isin(*roots)).select(F.col("id").alias("_below"))
+    edges = nodes.select("id", "parent_id")
+    below = df.sparkSession.sql(
+        """
+        WITH RECURSIVE below (id) AS (
+            SELECT id FROM {roots}
+            UNION ALL
+            SELECT e.id FROM below JOIN {edges} e ON e.parent_id = below.id
+        )
+        SELECT id AS _below FROM below
+        """,
+        roots=edges.filter(F.col("id").isin(*roots)).select("id"),
+        edges=edges,
     )
     return df.join(below, df[column] == F.col("_below"), "left_semi")
 

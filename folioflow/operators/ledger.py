@@ -327,6 +327,11 @@ def ledger_detail_with_balances(tables: Tables, p: LedgerParams) -> DataFrame:
         *keys, "move_id", "journal_id", "date", F.col("name").alias("line"),
         or_zero(F.col(p.debit)).alias("debit"), or_zero(F.col(p.credit)).alias("credit"),
     )
+    moves = tables["account_move"].select(F.col("id").alias("move_id"), F.col("name").alias("move"))
+    journals = tables["account_journal"].select(
+        F.col("id").alias("journal_id"), F.col("name").alias("journal")
+    )
+    chosen = chosen.join(moves, "move_id").join(journals, "journal_id")
     c, b = chosen.alias("c"), balances.alias("b")
     rows = c.join(
         b,
@@ -334,11 +339,7 @@ def ledger_detail_with_balances(tables: Tables, p: LedgerParams) -> DataFrame:
         & F.col("c.partner_id").eqNullSafe(F.col("b.partner_id")),
         "left",
     ).select("c.*", "b.initial", "b.final")
-    moves = tables["account_move"].select(F.col("id").alias("move_id"), F.col("name").alias("move"))
-    journals = tables["account_journal"].select(
-        F.col("id").alias("journal_id"), F.col("name").alias("journal")
-    )
-    rows = _with_account(rows, tables).join(moves, "move_id").join(journals, "journal_id")
+    rows = _with_account(rows, tables)
     return _with_partner(rows, tables).select(
         F.lit(False).alias("bold"),
         F.lit(False).alias("group"),

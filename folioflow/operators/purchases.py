@@ -41,7 +41,11 @@ def inventory_accounts(tables: Tables) -> DataFrame:
 
 
 def _purchases(tables: Tables, p: PeriodParams) -> DataFrame:
-    """Product lines of posted purchase documents, with their header, product and inventory account."""
+    """Product lines of posted purchase documents, with their header, product and inventory account.
+
+    Partner and order belong to the header, template and inventory account to the product; they are
+    joined there, so the lines themselves move only for their header, product and taxes.
+    """
     moves = tables["account_move"].filter(
         F.col("move_type").isin(*PURCHASE_TYPES)
         & (F.col("state") == "posted")
@@ -55,7 +59,6 @@ def _purchases(tables: Tables, p: PeriodParams) -> DataFrame:
     lines = tables["account_move_line"].select(
         "id", "move_id", "product_id", "account_id", "journal_id", "balance", "discount", "price_unit", "quantity"
     )
-    products = tables["product_product"].select(F.col("id").alias("product_id"), "product_tmpl_id")
     templates = tables["product_template"].select(
         F.col("id").alias("product_tmpl_id"), "default_code", F.col("name").alias("product"),
         F.col("detailed_type").alias("product_type"),
@@ -66,13 +69,16 @@ def _purchases(tables: Tables, p: PeriodParams) -> DataFrame:
     orders = tables["purchase_order"].select(
         F.col("id").alias("order_purchase_id"), F.col("id").alias("purchase_id"), F.col("name").alias("purchase")
     )
-    return (
-        lines.join(moves, "move_id")
-        .join(products, "product_id")
+    headers = moves.join(partners, "invoice_partner_id", "left").join(orders, "order_purchase_id", "left")
+    products = (
+        tables["product_product"]
+        .select(F.col("id").alias("product_id"), "product_tmpl_id")
         .join(templates, "product_tmpl_id", "left")
         .join(inventory_accounts(tables), "product_id", "left")
-        .join(partners, "invoice_partner_id", "left")
-        .join(orders, "order_purchase_id", "left")
+    )
+    return (
+        lines.join(headers, "move_id")
+        .join(products, "product_id")
         .join(iva_by_line(tables).withColumnRenamed("line_id", "id"), "id", "left")
     )
 

@@ -25,8 +25,12 @@ def posted_sales(tables: Tables, p: PeriodParams) -> DataFrame:
     )
 
 
-def _sales(tables: Tables, p: PeriodParams, by_order_partner: bool) -> DataFrame:
-    """Sold lines with header, product and order; vat and city are those of the order's partner."""
+def _named(tables: Tables, table: str, key: str, name: str) -> DataFrame:
+    return tables[table].select(F.col("id").alias(key), F.col("name").alias(name))
+
+
+def _headers(tables: Tables, p: PeriodParams, by_order_partner: bool) -> DataFrame:
+    """Invoices with their order; vat and city are those of the order's partner."""
     moves = posted_sales(tables, p)
     orders = tables["sale_order"].select(
         F.col("id").alias("sale_id"), F.col("id").alias("order_id"), F.col("name").alias("order"),
@@ -37,14 +41,19 @@ def _sales(tables: Tables, p: PeriodParams, by_order_partner: bool) -> DataFrame
         kind = "inner" if isinstance(p.partners, DataFrame) or p.partners else "left"
     else:
         moves, kind = keep_ids(moves, "partner_id", p.partners), "left"
+    partners = tables["res_partner"].select(
+        F.col("id").alias("order_partner_id"), "vat", F.col("name").alias("partner"),
+        F.col("city_id").alias("partner_city_id"),
+    )
     moves = moves.select(
         F.col("id").alias("move_id"), F.col("name").alias("invoice"), "invoice_date", "move_type", "sale_id",
         F.col("partner_id").alias("invoice_partner_id"), "invoice_user_id", "city_id",
-    ).join(orders, "sale_id", kind)
-    lines = tables["account_move_line"].select(
-        "move_id", "product_id", "analytic_account_id", "quantity", "balance"
     )
-    products = tables["product_product"].select(F.col("id").alias("product_id"), "product_tmpl_id")
+    return moves.join(orders, "sale_id", kind).join(partners, "order_partner_id", "left")
+
+
+def _products(tables: Tables) -> DataFrame:
+    """Variants of the templates that are sold."""
     templates = (
         tables["product_template"]
         .filter(F.col("detailed_type").isin(*SOLD_PRODUCT_TYPES))
@@ -53,16 +62,16 @@ def _sales(tables: Tables, p: PeriodParams, by_order_partner: bool) -> DataFrame
             "product_brand_id", "uom_id", "detailed_type",
         )
     )
-    partners = tables["res_partner"].select(
-        F.col("id").alias("order_partner_id"), "vat", F.col("name").alias("partner"),
-        F.col("city_id").alias("partner_city_id"),
-    )
-    return (
-        lines.join(moves, "move_id")
-        .join(products, "product_id")
-        .join(templates, "product_tmpl_id")
-        .join(partners, "order_partner_id", "left")
+    variants = tables["product_product"].select(F.col("id").alias("product_id"), "product_tmpl_id")
+    return variants.join(templates, "product_tmpl_id")
+
+
+def _sold_lines(tables: Tables, headers: DataFrame, products: DataFrame) -> DataFrame:
+    """Lines meet headers and products that carry all their own names already."""
+    lines = tables["account_move_line"].select(
+        "move_id", "product_id", "analytic_account_id", "quantity", "balance"
     )
+    return lines.join(headers, "move_id").join(products, "product_id")
 
 
 def _quantity() -> Column:
@@ -75,7 +84,8 @@ def sales_lines(tables: Tables, p: PeriodParams) -> DataFrame:
     vat and city are NULL for an invoice without an order. The partner filter goes by the invoice's
     partner.
     """
-    return _sales(tables, p, by_order_partner=False).select(
+    rows = _sold_lines(tables, _headers(tables, p, by_order_partner=False), _products(tables))
+    return rows.select(
         "invoice_date",
         F.col("order_id").alias("sale_id"),
         "move_id",
@@ -96,27 +106,26 @@ def sales_lines(tables: Tables, p: PeriodParams) -> DataFrame:
     )
 
 
-def _named(tables: Tables, table: str, key: str, name: str) -> DataFrame:
-    return tables[table].select(F.col("id").alias(key), F.col("name").alias(name))
-
-
 def sales_lines_labelled(tables: Tables, p: PeriodParams) -> DataFrame:
     """The same lines with names. The partner filter goes by the order's partner."""
     sellers = tables["res_users"].select(
         F.col("id").alias("user_id"), F.col("partner_id").alias("seller_partner_id")
     ).join(_named(tables, "res_partner", "seller_partner_id", "seller"), "seller_partner_id", "left")
-    rows = _sales(tables, p, by_order_partner=True)
-    for table, key, name in (
-        ("account_analytic_account", "analytic_account_id", "analytic"),
-        ("product_category", "categ_id", "category"),
-        ("product_brand", "product_brand_id", "brand"),
-        ("uom_uom", "uom_id", "unit"),
-        ("res_city", "partner_city_id", "customer_city"),
-        ("res_city", "city_id", "invoice_city"),
-        ("crm_team", "team_id", "team"),
-    ):
-        rows = rows.join(_named(tables, table, key, name), key, "left")
-    rows = rows.join(sellers, "user_id", "left")
+    headers = (
+        _headers(tables, p, by_order_partner=True)
+        .join(_named(tables, "res_city", "partner_city_id", "customer_city"), "partner_city_id", "left")
+        .join(_named(tables, "res_city", "city_id", "invoice_city"), "city_id", "left")
+        .join(_named(tables, "crm_team", "team_id", "team"), "team_id", "left")
+        .join(sellers, "user_id", "left")
+    )
+    products = (
+        _products(tables)
+        .join(_named(tables, "product_category", "categ_id", "category"), "categ_id", "left")
+        .join(_named(tables, "product_brand", "product_brand_id", "brand"), "product_brand_id", "left")
+        .join(_named(tables, "uom_uom", "uom_id", "unit"), "uom_id", "left")
+    )
+    analytics = _named(tables, "account_analytic_account", "analytic_account_id", "analytic")
+    rows = _sold_lines(tables, headers, products).join(analytics, "analytic_account_id", "left")
     return rows.select(
         "invoice_date",
         "order",

@@ -21,6 +21,7 @@ from ..params import (
     StockParams,
 )
 from ..functions.hierarchy import child_of
+from ..session import prepare
 from ..sources import StarTables, Tables
 
 FROM, TO = date(1998, 1, 1), date(1998, 12, 31)
@@ -162,20 +163,20 @@ RATIOS = ("percentage_uti", "percentage_renta")
 def shown(report: DataFrame) -> DataFrame:
     """A report as handed out: amounts as doubles of two decimals, dates and moments as ISO texts."""
 
-    def cell(field: T.StructField):
-        column = F.col(f"`{field.name}`")
+    def cell(field: T.StructField) -> str:
+        name = f"`{field.name}`"
         if field.name in RATIOS:
-            return F.round(column, 6)
+            return f"round({name}, 6) AS {name}"
         if isinstance(field.dataType, T.DecimalType):
-            return F.round(column, 2).cast("double")
+            return f"CAST(round({name}, 2) AS DOUBLE) AS {name}"
         if isinstance(field.dataType, T.DateType):
-            return F.date_format(column, "yyyy-MM-dd")
+            return f"date_format({name}, 'yyyy-MM-dd') AS {name}"
         if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
-            return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
-        return column
+            return f"date_format({name}, 'yyyy-MM-dd HH:mm:ss') AS {name}"
+        return name
 
-    return report.select(*[cell(f).alias(f.name) for f in report.schema.fields])
+    return report.selectExpr(*[cell(f) for f in report.schema.fields])
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(REPORTS[name](StarTables(spark, sf_dir)))
+    return shown(REPORTS[name](StarTables(prepare(spark), sf_dir)))

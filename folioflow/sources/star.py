@@ -2,44 +2,33 @@
 
 Each method is one ERP table, written as expressions over the Parquet tables. Nothing is read until a
 report asks for a table, and Catalyst prunes the columns a report leaves out, so a derived table costs
-no more than its used columns.
+no more than its used columns. Tables that need nothing of an order are not joined to the orders.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.money import MONEY, line_subtotal
 from .tables import Tables
 
 _ROWS_PER_FILE = 2**36
 _SCHEME = "^([a-z][a-z0-9+.-]*):/+"
 
 
-def _long(column: str | Column) -> Column:
-    return (F.col(column) if isinstance(column, str) else column).cast("bigint")
-
-
-def _money(column: str | Column) -> Column:
-    return (F.col(column) if isinstance(column, str) else column).cast(MONEY)
-
-
-def _text(prefix: str, column: str | Column) -> Column:
-    key = F.col(column) if isinstance(column, str) else column
-    return F.concat(F.lit(prefix), key.cast("string"))
-
-
 class StarTables(Tables):
     def __init__(self, spark: SparkSession, root: str):
         self._spark = spark
         self._root = root.rstrip("/")
+        self._read: dict[str, DataFrame] = {}
         super().__init__(lambda name: getattr(self, f"_{name}")())
 
     def _star(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._root}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = self._spark.read.parquet(f"{self._root}/{name}.parquet")
+        return self._read[name]
 
     def _values(self, columns: str, rows: str) -> DataFrame:
         """A fixed small table, known to Spark with its exact size."""
@@ -51,30 +40,28 @@ class StarTables(Tables):
         return self._values("id, name", "(1L,'Company 1'),(2L,'Company 2'),(3L,'Company 3')")
 
     def _res_partner(self) -> DataFrame:
-        key = F.col("c_custkey")
-        customers = self._star("customer").select(
-            _long(key).alias("id"),
-            F.col("c_name").alias("name"),
-            _text("C", key).alias("vat"),
-            _long("c_nationkey").alias("city_id"),
-            F.when(key % 10 != 0, key - key % 10).alias("parent_id"),
+        """Customers, in families of ten under the one whose number ends in 0, and suppliers."""
+        customers = self._star("customer").selectExpr(
+            "c_custkey AS id",
+            "c_name AS name",
+            "concat('C', c_custkey) AS vat",
+            "CAST(c_nationkey AS BIGINT) AS city_id",
+            "CASE WHEN c_custkey % 10 <> 0 THEN c_custkey - c_custkey % 10 END AS parent_id",
         )
-        suppliers = self._star("supplier").select(
-            (_long("s_suppkey") + 10_000_000_000).alias("id"),
-            F.col("s_name").alias("name"),
-            _text("S", "s_suppkey").alias("vat"),
-            _long("s_nationkey").alias("city_id"),
-            F.lit(None).cast("bigint").alias("parent_id"),
+        suppliers = self._star("supplier").selectExpr(
+            "10000000000 + s_suppkey AS id",
+            "s_name AS name",
+            "concat('S', s_suppkey) AS vat",
+            "CAST(s_nationkey AS BIGINT) AS city_id",
+            "CAST(NULL AS BIGINT) AS parent_id",
         )
         return customers.unionByName(suppliers)
 
     def _res_city(self) -> DataFrame:
-        return self._star("nation").select(
-            _long("n_nationkey").alias("id"), F.col("n_name").alias("name")
-        )
+        return self._star("nation").selectExpr("CAST(n_nationkey AS BIGINT) AS id", "n_name AS name")
 
     def _res_users(self) -> DataFrame:
-        return self._spark.range(7).select("id", F.col("id").alias("partner_id"))
+        return self._spark.range(7).selectExpr("id", "id AS partner_id")
 
     def _res_currency(self) -> DataFrame:
         return self._values("id, name", "(1L,'COP'),(2L,'USD')")
@@ -105,16 +92,13 @@ class StarTables(Tables):
         )
 
     def _account_analytic_account(self) -> DataFrame:
-        key = _long("s_suppkey") % 10 + 1
-        return (
-            self._star("supplier").select(key.alias("id")).distinct().select("id", _text("AN", "id").alias("name"))
-        )
+        numbers = self._star("supplier").selectExpr("s_suppkey % 10 + 1 AS id").distinct()
+        return numbers.selectExpr("id", "concat('AN', id) AS name")
 
     def _account_tax(self) -> DataFrame:
-        return self._values(
-            "id, amount, dian_tax_type_id, description",
-            ",".join(f"({n}L,{n}.00,1L,'IVA {n}')" for n in range(1, 9)) + ",(20L,2.50,6L,'RTE 2.5')",
-        ).withColumn("amount", F.col("amount").cast("decimal(9,4)"))
+        iva = ",".join(f"({n}L,{n}.00,1L,'IVA {n}')" for n in range(1, 9))
+        taxes = self._values("id, amount, dian_tax_type_id, description", f"{iva},(20L,2.50,6L,'RTE 2.5')")
+        return taxes.withColumn("amount", F.expr("CAST(amount AS DECIMAL(9,4))"))
 
     def _dian_tax_type(self) -> DataFrame:
         return self._values("id, dian_code", "(1L,'01'),(6L,'06')")
@@ -122,233 +106,196 @@ class StarTables(Tables):
     # -- orders and entries ----------------------------------------------------------------------
 
     def _sale_order(self) -> DataFrame:
-        return self._star("orders").select(
-            _long("o_orderkey").alias("id"),
-            _text("SO", "o_orderkey").alias("name"),
-            _long("o_custkey").alias("partner_id"),
-            (_long("o_custkey") % 7).alias("user_id"),
-            (_long("o_custkey") % 3 + 1).alias("team_id"),
-            _money("o_totalprice").alias("amount_total"),
+        return self._star("orders").selectExpr(
+            "o_orderkey AS id",
+            "concat('SO', o_orderkey) AS name",
+            "o_custkey AS partner_id",
+            "o_custkey % 7 AS user_id",
+            "o_custkey % 3 + 1 AS team_id",
+            "CAST(o_totalprice AS DECIMAL(18,2)) AS amount_total",
         )
 
     def _sale_order_line(self) -> DataFrame:
-        return self["account_move_line"].select(
-            "id", F.col("move_id").alias("order_id"), "product_id", "price_subtotal"
+        """Every invoice line has an order line of its own number."""
+        return self._numbered_lines().selectExpr(
+            "id", "l_orderkey AS order_id", "l_partkey AS product_id", f"{_SUBTOTAL} AS price_subtotal"
         )
 
     def _sale_order_line_invoice_rel(self) -> DataFrame:
         return (
-            self["account_move_line"]
-            .filter(F.col("move_id") % 11 != 0)
-            .select(F.col("id").alias("order_line_id"), F.col("id").alias("invoice_line_id"))
+            self._numbered_lines()
+            .filter("l_orderkey % 11 <> 0")
+            .selectExpr("id AS order_line_id", "id AS invoice_line_id")
         )
 
     def _purchase_order(self) -> DataFrame:
-        return self["account_move"].filter("order_purchase_id is not null").select(
-            F.col("order_purchase_id").alias("id"), _text("PO", "order_purchase_id").alias("name")
-        )
+        bought = self["account_move"].filter("order_purchase_id IS NOT NULL")
+        return bought.selectExpr("order_purchase_id AS id", "concat('PO', order_purchase_id) AS name")
 
     def _purchase_order_line(self) -> DataFrame:
-        return (
-            self["account_move_line"]
-            .filter("purchase_line_id is not null")
-            .select(F.col("purchase_line_id").alias("id"), F.col("move_id").alias("order_id"))
-        )
+        bought = self["account_move_line"].filter("purchase_line_id IS NOT NULL")
+        return bought.selectExpr("purchase_line_id AS id", "move_id AS order_id")
 
     def _account_move(self) -> DataFrame:
-        key, day = _long("o_orderkey"), F.col("o_orderdate").cast("date")
-        priority, status = F.col("o_orderpriority"), F.col("o_orderstatus")
-        state = F.when(status == "F", "posted").when(status == "O", "draft").otherwise("cancel")
-        purchase = priority.isin("2-HIGH", "4-NOT SPECIFIED") & (key % 5 != 0)
-        return self._star("orders").select(
-            key.alias("id"),
-            F.when((status == "O") & (key % 13 == 0), "/")
-            .otherwise(F.concat(F.lit("AS/"), F.lpad(key.cast("string"), 12, "0")))
-            .alias("name"),
-            _text("REF", key % 1000).alias("ref"),
-            day.alias("date"),
-            day.alias("invoice_date"),
-            F.col("o_orderdate").alias("fe_datetime_invoice"),
-            state.alias("state"),
-            F.when(priority == "1-URGENT", "out_refund")
-            .when(priority == "2-HIGH", "in_invoice")
-            .when(priority == "4-NOT SPECIFIED", "in_refund")
-            .when(priority == "5-LOW", "entry")
-            .otherwise("out_invoice")
-            .alias("move_type"),
-            _long(F.substring(priority, 1, 1)).alias("journal_id"),
-            (_money("o_totalprice") * F.lit("0.92").cast("decimal(3,2)")).cast(MONEY).alias("amount_untaxed"),
-            _money("o_totalprice").alias("amount_total"),
-            _long("o_custkey").alias("partner_id"),
-            F.when(key % 11 != 0, key).alias("sale_id"),
-            F.when(purchase, key).alias("order_purchase_id"),
-            (_long("o_custkey") % 7).alias("invoice_user_id"),
-            (_long("o_custkey") % 25).alias("city_id"),
+        return self._star("orders").selectExpr(
+            "o_orderkey AS id",
+            """CASE WHEN o_orderstatus = 'O' AND o_orderkey % 13 = 0 THEN '/'
+                    ELSE concat('AS/', lpad(CAST(o_orderkey AS STRING), 12, '0')) END AS name""",
+            "concat('REF', o_orderkey % 1000) AS ref",
+            "CAST(o_orderdate AS DATE) AS date",
+            "CAST(o_orderdate AS DATE) AS invoice_date",
+            "o_orderdate AS fe_datetime_invoice",
+            "CASE o_orderstatus WHEN 'F' THEN 'posted' WHEN 'O' THEN 'draft' ELSE 'cancel' END AS state",
+            """CASE o_orderpriority WHEN '1-URGENT' THEN 'out_refund' WHEN '2-HIGH' THEN 'in_invoice'
+                    WHEN '4-NOT SPECIFIED' THEN 'in_refund' WHEN '5-LOW' THEN 'entry'
+                    ELSE 'out_invoice' END AS move_type""",
+            "CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS journal_id",
+            """CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.92 AS DECIMAL(3,2)) AS DECIMAL(18,2))
+                    AS amount_untaxed""",
+            "CAST(o_totalprice AS DECIMAL(18,2)) AS amount_total",
+            "o_custkey AS partner_id",
+            "CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey END AS sale_id",
+            """CASE WHEN o_orderpriority IN ('2-HIGH', '4-NOT SPECIFIED') AND o_orderkey % 5 <> 0
+                    THEN o_orderkey END AS order_purchase_id""",
+            "o_custkey % 7 AS invoice_user_id",
+            "o_custkey % 25 AS city_id",
         )
 
     def _invoice_widgets(self) -> DataFrame:
         """The two JSON texts the invoice form keeps: tax totals and payments."""
-        total = F.col("amount_total").cast("string")
-        return self["account_move"].select(
-            F.col("id").alias("move_id"),
-            F.when(
-                F.col("id") % 7 == 0,
-                F.lit('{"subtotals":[],"groups_by_subtotal":{}}'),
-            )
-            .otherwise(
-                F.concat(
-                    F.lit('{"subtotals":[{"name":"Base","amount":'),
-                    F.col("amount_untaxed").cast("string"),
-                    F.lit('}],"groups_by_subtotal":{"Base":[{"tax_group_name":"IVA","tax_group_amount":'),
-                    (F.col("amount_total") - F.col("amount_untaxed")).cast("string"),
-                    F.lit('},{"tax_group_name":"RTE","tax_group_amount":2.5}]}}'),
-                )
-            )
-            .alias("tax_totals_json"),
-            F.when(F.col("id") % 3 == 0, F.lit("false"))
-            .when(F.col("id") % 3 == 1, F.lit('{"title":"Less Payment"}'))
-            .otherwise(
-                F.concat(
-                    F.lit('{"content":[{"name":"'),
-                    F.col("name"),
-                    F.lit('","amount":'),
-                    total,
-                    F.lit("}]}"),
-                )
-            )
-            .alias("invoice_payments_widget"),
+        return self["account_move"].selectExpr(
+            "id AS move_id",
+            """CASE WHEN id % 7 = 0 THEN '{"subtotals":[],"groups_by_subtotal":{}}' ELSE concat(
+                '{"subtotals":[{"name":"Base","amount":', amount_untaxed,
+                '}],"groups_by_subtotal":{"Base":[{"tax_group_name":"IVA","tax_group_amount":',
+                amount_total - amount_untaxed, '},{"tax_group_name":"RTE","tax_group_amount":2.5}]}}')
+               END AS tax_totals_json""",
+            """CASE id % 3 WHEN 0 THEN 'false' WHEN 1 THEN '{"title":"Less Payment"}'
+                ELSE concat('{"content":[{"name":"', name, '","amount":', amount_total, '}]}')
+               END AS invoice_payments_widget""",
         )
 
-    def _lineitem_with_id(self) -> DataFrame:
+    def _numbered_lines(self) -> DataFrame:
         """Order lines with a row identity taken from their place in the files.
 
         The lines carry no key of their own. Numbering them per order would sort every order, a hot one
         in a single task; the position in the file is stable, free and needs no shuffle.
         """
+        if "numbered" in self._read:
+            return self._read["numbered"]
         lines = self._star("lineitem")
         files = sorted(lines.inputFiles())
-        row = F.col("_metadata.row_index")
         if len(files) == 1:
-            return lines.select("*", row.alias("id"))
-        scheme = re.compile(_SCHEME)
-        numbered = self._spark.createDataFrame(
-            [(scheme.sub(r"\1:/", path), number) for number, path in enumerate(files)],
-            "_path string, _number bigint",
-        )
-        placed = lines.select(
-            "*",
-            row.alias("_row"),
-            F.regexp_replace(F.col("_metadata.file_path"), _SCHEME, "$1:/").alias("_path"),
-        ).join(numbered, "_path", "left")
-        known = F.coalesce(
-            F.col("_number"),
-            F.raise_error(F.concat(F.lit("unlisted file "), F.col("_path"))).cast("bigint"),
-        )
-        return placed.withColumn("id", known * _ROWS_PER_FILE + F.col("_row")).drop("_path", "_row", "_number")
+            numbered = lines.selectExpr("*", "_metadata.row_index AS id")
+        else:
+            scheme = re.compile(_SCHEME)
+            known = self._spark.createDataFrame(
+                [(scheme.sub(r"\1:/", path), number) for number, path in enumerate(files)],
+                "_path string, _number bigint",
+            )
+            numbered = (
+                lines.selectExpr(
+                    "*",
+                    "_metadata.row_index AS _row",
+                    f"regexp_replace(_metadata.file_path, '{_SCHEME}', '$1:/') AS _path",
+                )
+                .join(known, "_path", "left")
+                .selectExpr(
+                    *lines.columns,
+                    "coalesce(_number, raise_error(concat('unlisted file ', _path)))"
+                    f" * {_ROWS_PER_FILE} + _row AS id",
+                )
+            )
+        self._read["numbered"] = numbered
+        return numbered
 
     def _account_move_line(self) -> DataFrame:
-        m = self["account_move"].select(
-            F.col("id").alias("move_id"),
-            "partner_id",
-            "date",
-            "journal_id",
-            F.col("state").alias("parent_state"),
-            "order_purchase_id",
+        moves = self["account_move"].selectExpr(
+            "id AS move_id", "partner_id AS move_partner_id", "date", "journal_id",
+            "state AS parent_state", "order_purchase_id",
+        )
+        lines = self._numbered_lines().withColumnRenamed("l_orderkey", "move_id").join(moves, "move_id")
+        lines = lines.selectExpr(
+            "*",
+            "CAST(l_extendedprice AS DECIMAL(18,2)) AS price",
+            "l_linenumber % 2 = 0 AS even",
+            "CAST(round(l_tax * 100) AS INT) AS tax",
         )
-        lines = self._lineitem_with_id().join(m, F.col("l_orderkey") == m["move_id"])
-        number, price = F.col("l_linenumber"), F.col("l_extendedprice")
-        even, ifrs = number % 2 == 0, F.col("l_quantity") < 40
-        tax = F.round(F.col("l_tax") * 100).cast("int")
-        unit, quantity = price.cast("decimal(14,2)"), F.col("l_quantity").cast("decimal(10,2)")
-        discount = F.round(F.col("l_discount") * 100).cast("decimal(5,0)")
-        flag = F.col("l_returnflag")
-        return lines.select(
+        return lines.selectExpr(
             "id",
             "move_id",
-            _long(
-                F.when(flag == "A", 0).when(flag == "N", 2).otherwise(4)
-                + F.when(F.col("l_linestatus") == "F", 1).otherwise(2)
-            ).alias("account_id"),
-            F.when(number % 7 != 0, F.col("partner_id")).alias("partner_id"),
-            _long("l_partkey").alias("product_id"),
+            """CAST(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 2 ELSE 4 END
+                 + CASE l_linestatus WHEN 'F' THEN 1 ELSE 2 END AS BIGINT) AS account_id""",
+            "CASE WHEN l_linenumber % 7 <> 0 THEN move_partner_id END AS partner_id",
+            "l_partkey AS product_id",
             "date",
             "journal_id",
             "parent_state",
-            (F.col("partner_id") % 3 + 1).alias("company_id"),
-            F.when(number % 3 != 0, _long("l_suppkey") % 10 + 1).alias("analytic_account_id"),
-            F.when(even, _long(F.lit(1))).otherwise(_long(F.lit(2))).alias("currency_id"),
-            _text("L", number).alias("name"),
-            _money(F.when(even, price).otherwise(0)).alias("debit"),
-            _money(F.when(~even, price).otherwise(0)).alias("credit"),
-            _money(F.when(even, price).otherwise(-price)).alias("balance"),
-            _money(F.when(even, price).otherwise(-price)).alias("amount_currency"),
-            _money(F.when(even & ifrs, price).otherwise(0)).alias("ifrs_debit"),
-            _money(F.when(~even & ifrs, price).otherwise(0)).alias("ifrs_credit"),
-            F.when(tax == 0, "local").when(tax == 8, "ifrs").when(tax != 7, "both").alias("ifrs_type"),
-            quantity.alias("quantity"),
-            unit.alias("price_unit"),
-            discount.alias("discount"),
-            line_subtotal(unit, quantity, discount).cast("decimal(18,4)").alias("price_subtotal"),
-            F.when((number % 5 == 0) & (tax > 0), _long(tax)).alias("tax_line_id"),
-            F.when(F.col("order_purchase_id").isNotNull(), F.col("id")).alias("purchase_line_id"),
+            "move_partner_id % 3 + 1 AS company_id",
+            "CASE WHEN l_linenumber % 3 <> 0 THEN l_suppkey % 10 + 1 END AS analytic_account_id",
+            "CASE WHEN even THEN 1L ELSE 2L END AS currency_id",
+            "concat('L', l_linenumber) AS name",
+            "CASE WHEN even THEN price ELSE CAST(0 AS DECIMAL(18,2)) END AS debit",
+            "CASE WHEN even THEN CAST(0 AS DECIMAL(18,2)) ELSE price END AS credit",
+            "CASE WHEN even THEN price ELSE -price END AS balance",
+            "CASE WHEN even THEN price ELSE -price END AS amount_currency",
+            "CASE WHEN even AND l_quantity < 40 THEN price ELSE CAST(0 AS DECIMAL(18,2)) END AS ifrs_debit",
+            "CASE WHEN NOT even AND l_quantity < 40 THEN price ELSE CAST(0 AS DECIMAL(18,2)) END AS ifrs_credit",
+            "CASE tax WHEN 0 THEN 'local' WHEN 8 THEN 'ifrs' WHEN 7 THEN NULL ELSE 'both' END AS ifrs_type",
+            f"{_QUANTITY} AS quantity",
+            f"{_UNIT_PRICE} AS price_unit",
+            f"{_DISCOUNT} AS discount",
+            f"{_SUBTOTAL} AS price_subtotal",
+            "CASE WHEN l_linenumber % 5 = 0 AND tax > 0 THEN CAST(tax AS BIGINT) END AS tax_line_id",
+            "CASE WHEN order_purchase_id IS NOT NULL THEN id END AS purchase_line_id",
         )
 
     def _account_move_line_account_tax_rel(self) -> DataFrame:
         """(line, tax): the IVA of the line, and a withholding on discounts of 5 % and more."""
-        tax = _long(F.round(F.col("l_tax") * 100))
-        withheld = F.when(F.round(F.col("l_discount") * 100) >= 5, F.lit(20).cast("bigint"))
         return (
-            self._lineitem_with_id()
-            .select(
-                F.col("id").alias("account_move_line_id"),
-                F.explode(F.array_compact(F.array(F.when(tax > 0, tax), withheld))).alias("account_tax_id"),
+            self._numbered_lines()
+            .selectExpr(
+                "id AS account_move_line_id",
+                """explode(array(
+                    CASE WHEN round(l_tax * 100) > 0 THEN CAST(round(l_tax * 100) AS BIGINT) END,
+                    CASE WHEN round(l_discount * 100) >= 5 THEN 20L END)) AS account_tax_id""",
             )
+            .filter("account_tax_id IS NOT NULL")
         )
 
     # -- products and stock ----------------------------------------------------------------------
 
     def _product_product(self) -> DataFrame:
-        key = _long("p_partkey")
-        return self._star("part").select(
-            key.alias("id"), key.alias("product_tmpl_id"), _text("P", key % 97).alias("default_code")
+        return self._star("part").selectExpr(
+            "p_partkey AS id", "p_partkey AS product_tmpl_id", "concat('P', p_partkey % 97) AS default_code"
         )
 
     def _product_template(self) -> DataFrame:
-        key, size = _long("p_partkey"), F.col("p_size")
-        return self._star("part").select(
-            key.alias("id"),
-            F.col("p_name").alias("name"),
-            _text("P", key % 97).alias("default_code"),
-            _long(size).alias("categ_id"),
-            _long(F.expr("substr(p_brand, 7)")).alias("product_brand_id"),
-            (_long(size) % 3 + 1).alias("uom_id"),
-            F.when(size % 5 == 0, "consu").when(size % 5 == 1, "service").otherwise("product").alias("detailed_type"),
-            F.lit("2000-01-01 00:00:00").cast("timestamp_ntz").alias("_epoch"),
-            size.alias("_size"),
-        ).withColumn(
-            "create_date", F.col("_epoch") + F.make_dt_interval(days=F.col("_size"))
-        ).drop("_epoch", "_size")
+        return self._star("part").selectExpr(
+            "p_partkey AS id",
+            "p_name AS name",
+            "concat('P', p_partkey % 97) AS default_code",
+            "CAST(p_size AS BIGINT) AS categ_id",
+            "CAST(substr(p_brand, 7) AS BIGINT) AS product_brand_id",
+            "CAST(p_size % 3 + 1 AS BIGINT) AS uom_id",
+            "CASE p_size % 5 WHEN 0 THEN 'consu' WHEN 1 THEN 'service' ELSE 'product' END AS detailed_type",
+            "TIMESTAMP_NTZ '2000-01-01 00:00:00' + make_dt_interval(p_size) AS create_date",
+        )
 
     def _product_category(self) -> DataFrame:
         """Sizes are categories, in five families under one root."""
-        sizes = self._star("part").select(_long("p_size").alias("id")).distinct()
-        families = sizes.select((F.col("id") % 5 + 1001).alias("id")).distinct()
+        sizes = self._star("part").selectExpr("CAST(p_size AS BIGINT) AS id").distinct()
+        families = sizes.selectExpr("id % 5 + 1001 AS id").distinct()
         root = self._values("id, name, parent_id", "(2000L,'Todo',CAST(NULL AS BIGINT))")
         return (
-            sizes.select("id", _text("CAT", "id").alias("name"), (F.col("id") % 5 + 1001).alias("parent_id"))
-            .unionByName(
-                families.select("id", _text("FAM", "id").alias("name"), _long(F.lit(2000)).alias("parent_id"))
-            )
+            sizes.selectExpr("id", "concat('CAT', id) AS name", "id % 5 + 1001 AS parent_id")
+            .unionByName(families.selectExpr("id", "concat('FAM', id) AS name", "2000L AS parent_id"))
             .unionByName(root)
         )
 
     def _product_brand(self) -> DataFrame:
-        return (
-            self._star("part")
-            .select("p_brand")
-            .distinct()
-            .select(_long(F.expr("substr(p_brand, 7)")).alias("id"), F.col("p_brand").alias("name"))
-        )
+        brands = self._star("part").select("p_brand").distinct()
+        return brands.selectExpr("CAST(substr(p_brand, 7) AS BIGINT) AS id", "p_brand AS name")
 
     def _uom_uom(self) -> DataFrame:
         return self._values("id, name", "(1L,'Unidad'),(2L,'Caja'),(3L,'Kilo')")
@@ -357,83 +304,81 @@ class StarTables(Tables):
         return (
             self._star("part")
             .filter("p_size % 2 = 0")
-            .select(
-                _text("product.product,", "p_partkey").alias("res_id"),
-                F.col("p_retailprice").alias("value_float"),
-            )
+            .selectExpr("concat('product.product,', p_partkey) AS res_id", "p_retailprice AS value_float")
         )
 
     def _stock_valuation_layer(self) -> DataFrame:
-        return self._star("lineitem").filter(F.col("l_returnflag") != "A").select(
-            _long("l_partkey").alias("product_id"), _long("l_orderkey").alias("account_move_id")
-        )
+        valued = self._star("lineitem").filter("l_returnflag <> 'A'")
+        return valued.selectExpr("l_partkey AS product_id", "l_orderkey AS account_move_id")
 
     def _stock_location(self) -> DataFrame:
         first = self._star("lineitem").groupBy("l_suppkey").agg(F.min("l_shipdate").alias("create_date"))
-        key = _long("s_suppkey")
-        return (
-            self._star("supplier")
-            .join(first, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-            .select(
-                key.alias("id"),
-                F.col("s_name").alias("name"),
-                F.concat(F.lit("WH/"), "s_name").alias("complete_name"),
-                F.when(F.col("s_nationkey") % 2 == 0, "internal").otherwise("supplier").alias("usage"),
-                (key % 3 + 1).alias("company_id"),
-                "create_date",
-            )
+        suppliers = self._star("supplier").withColumnRenamed("s_suppkey", "l_suppkey")
+        return suppliers.join(first, "l_suppkey", "left").selectExpr(
+            "l_suppkey AS id",
+            "s_name AS name",
+            "concat('WH/', s_name) AS complete_name",
+            "CASE WHEN s_nationkey % 2 = 0 THEN 'internal' ELSE 'supplier' END AS usage",
+            "l_suppkey % 3 + 1 AS company_id",
+            "create_date",
         )
 
     def _stock_location_route(self) -> DataFrame:
         return self._values("id, name", "(1L,'Directo'),(2L,'Dos pasos'),(3L,'Tres pasos')")
 
     def _stock_warehouse(self) -> DataFrame:
-        return self["stock_location"].select(
+        return self["stock_location"].selectExpr(
             "id",
-            F.concat(F.lit("W-"), "name").alias("name"),
+            "concat('W-', name) AS name",
             "company_id",
-            F.col("id").alias("view_location_id"),
-            (F.col("id") % 4 + 1).alias("reception_route_id"),
-            F.col("create_date").alias("write_date"),
+            "id AS view_location_id",
+            "id % 4 + 1 AS reception_route_id",
+            "create_date AS write_date",
         )
 
     def _stock_picking(self) -> DataFrame:
-        customer, status = _long("o_custkey"), F.col("o_orderstatus")
-        return self._star("orders").select(
-            _long("o_orderkey").alias("id"),
-            _text("OUT/", "o_orderkey").alias("name"),
-            F.when(customer % 9 != 0, customer).alias("partner_id"),
-            F.col("o_orderdate").alias("scheduled_date"),
-            _text("SO", "o_orderkey").alias("origin"),
-            (customer % 3 + 1).alias("company_id"),
-            F.when(status == "F", "done").when(status == "O", "assigned").otherwise("cancel").alias("state"),
+        return self._star("orders").selectExpr(
+            "o_orderkey AS id",
+            "concat('OUT/', o_orderkey) AS name",
+            "CASE WHEN o_custkey % 9 <> 0 THEN o_custkey END AS partner_id",
+            "o_orderdate AS scheduled_date",
+            "concat('SO', o_orderkey) AS origin",
+            "o_custkey % 3 + 1 AS company_id",
+            "CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'assigned' ELSE 'cancel' END AS state",
         )
 
     def _stock_quant(self) -> DataFrame:
-        quantity = _money("l_quantity")
+        """Hundredths add up exactly as integers and are turned into decimals once per quant."""
         return (
             self._star("lineitem")
-            .groupBy(_long("l_partkey").alias("product_id"), _long("l_suppkey").alias("location_id"))
+            .groupBy("l_partkey", "l_suppkey")
             .agg(
-                _money(F.sum(F.when(F.col("l_returnflag") == "R", -quantity).otherwise(quantity))).alias("quantity"),
-                _money(F.count_if(F.col("l_linestatus") == "O")).alias("reserved_quantity"),
+                F.expr(f"sum({_SIGNED_HUNDREDTHS}) AS hundredths"),
+                F.expr("count_if(l_linestatus = 'O') AS reserved"),
             )
-            .withColumn(
-                "lot_id",
-                F.when((F.col("product_id") + F.col("location_id")) % 4 == 0, F.col("location_id")),
+            .selectExpr(
+                "l_partkey AS product_id",
+                "l_suppkey AS location_id",
+                "CAST(hundredths * CAST(0.01 AS DECIMAL(2,2)) AS DECIMAL(18,2)) AS quantity",
+                "CAST(reserved AS DECIMAL(18,2)) AS reserved_quantity",
+                "CASE WHEN (l_partkey + l_suppkey) % 4 = 0 THEN l_suppkey END AS lot_id",
             )
         )
 
     def _stock_production_lot(self) -> DataFrame:
-        return self._star("supplier").select(
-            _long("s_suppkey").alias("id"), _text("LOT-", "s_suppkey").alias("name")
-        )
+        return self._star("supplier").selectExpr("s_suppkey AS id", "concat('LOT-', s_suppkey) AS name")
 
     def _stock_move_line(self) -> DataFrame:
         """Stock movements, positive in, negative out."""
-        quantity = _money("l_quantity")
-        return self._star("lineitem").select(
-            _long("l_partkey").alias("product_id"),
-            F.col("l_shipdate").alias("date"),
-            F.when(F.col("l_returnflag") == "R", -quantity).otherwise(quantity).alias("quantity"),
+        return self._star("lineitem").selectExpr(
+            "l_partkey AS product_id",
+            "l_shipdate AS date",
+            "CAST(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS DECIMAL(18,2)) AS quantity",
         )
+
+
+_QUANTITY = "CAST(l_quantity AS DECIMAL(10,2))"
+_UNIT_PRICE = "CAST(l_extendedprice AS DECIMAL(14,2))"
+_DISCOUNT = "CAST(round(l_discount * 100) AS DECIMAL(5,0))"
+_SUBTOTAL = f"CAST({_UNIT_PRICE} * {_QUANTITY} * (100 - {_DISCOUNT}) * CAST(0.01 AS DECIMAL(2,2)) AS DECIMAL(18,4))"
+_SIGNED_HUNDREDTHS = "CAST(round(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END * 100) AS BIGINT)"
