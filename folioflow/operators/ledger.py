@@ -116,7 +116,7 @@ def _detail(tables: Tables, p: LedgerParams) -> DataFrame:
     journals = tables["account_journal"].select(
         F.col("id").alias("journal_id"), F.col("name").alias("journal")
     )
-    rows = _with_account(lines.withColumnRenamed("name", "line"), tables).join(moves, "move_id")
+    rows = _with_account(lines.withColumnRenamed("name", "line").join(moves, "move_id"), tables)
     rows = _with_partner(rows.join(journals, "journal_id"), tables)
     if p.with_analytic:
         analytics = tables["account_analytic_account"].select(

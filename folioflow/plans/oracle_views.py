@@ -58,8 +58,8 @@ VIEWS: dict[str, str] = {
     "purchase_order": """
         select id, concat('PO', cast(id as varchar)) as name from account_move where order_purchase_id is not null""",
     "account_move_line": """
-        select l_orderkey * 1000 + row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey,
-                   l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as id,
+        select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+                   l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as id,
                l_orderkey as move_id,
                cast(case l_returnflag when 'A' then 0 when 'N' then 2 else 4 end
                     + case l_linestatus when 'F' then 1 else 2 end as bigint) as account_id,

@@ -10,6 +10,8 @@ RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Partner and category trees may be larger than the default limit of a recursive query.
+    "spark.sql.cteRecursionRowLimit": "-1",
 }
 
 

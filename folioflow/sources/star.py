@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -189,10 +190,10 @@ class StarTables(Tables):
             numbered = lines.selectExpr("*", "_metadata.row_index AS id")
         else:
             scheme = re.compile(_SCHEME)
-            known = self._spark.createDataFrame(
-                [(scheme.sub(r"\1:/", path), number) for number, path in enumerate(files)],
-                "_path string, _number bigint",
-            )
+            paths = pa.array([scheme.sub(r"\1:/", path) for path in files])
+            known = self._spark.createDataFrame(pa.table({"_path": paths, "_number": pa.array(range(len(files)))}))
+            # One row per path, said in a way Spark knows: it drops the join where no id is used.
+            known = known.groupBy("_path").agg(F.min("_number").alias("_number"))
             numbered = (
                 lines.selectExpr(
                     "*",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 
 import duckdb
 from pyspark.sql import DataFrame
@@ -12,10 +13,15 @@ STAR = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"
 _TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
+def _source(sf_dir: str, table: str) -> str:
+    path = f"{sf_dir}/{table}.parquet"
+    return f"read_parquet('{path}/*.parquet')" if os.path.isdir(path) else f"read_parquet('{path}')"
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for table in STAR:
-        con.execute(f"create view {table} as select * from read_parquet('{sf_dir}/{table}.parquet')")
+        con.execute(f"create view {table} as select * from {_source(sf_dir, table)}")
     return con
 
 
