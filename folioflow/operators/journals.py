@@ -119,28 +119,34 @@ def journal_book_totals(tables: Tables, p: JournalBookParams) -> DataFrame:
 def journal_book_taxes(tables: Tables, p: JournalBookParams) -> DataFrame:
     """Per journal and tax: base of the lines bearing the tax, amount of the lines generated by it.
 
-    The lines bearing a tax decide which taxes are listed. Sales journals turn both signs.
+    The lines bearing a tax decide which taxes are listed. Sales journals turn both signs. A line is read
+    once and taken as a base, matched to the taxes it bears by its id, and as a tax amount where it is one;
+    the latter carries a key below zero, which no id has.
     """
-    lines = _book(tables, p)
     bearing = tables["account_move_line_account_tax_rel"].select(
-        F.col("account_move_line_id").alias("id"), F.col("account_tax_id").alias("tax_id")
+        F.col("account_move_line_id").alias("key"), F.col("account_tax_id").alias("borne_tax_id")
     )
-    base = (
-        lines.select("id", "journal_id", "balance")
-        .join(bearing, "id")
-        .groupBy("journal_id", "tax_id")
-        .agg(F.sum("balance").alias("base_amount"))
+    as_base = "named_struct('key', id, 'tax_id', NULL, 'base', balance, 'amount', NULL)"
+    as_tax = "named_struct('key', -1 - id, 'tax_id', tax_line_id, 'base', NULL, 'amount', debit - credit)"
+    parts = _book(tables, p).selectExpr(
+        "journal_id", f"inline(IF(tax_line_id IS NULL, array({as_base}), array({as_base}, {as_tax})))"
     )
-    amount = (
-        lines.filter(F.col("tax_line_id").isNotNull())
-        .groupBy("journal_id", F.col("tax_line_id").alias("tax_id"))
-        .agg(F.sum(F.col("debit") - F.col("credit")).alias("tax_amount"))
+    taxes = (
+        parts.join(bearing, "key", "left")
+        .withColumn("tax_id", F.coalesce("borne_tax_id", "tax_id"))
+        .filter("tax_id IS NOT NULL")
+        .groupBy("journal_id", "tax_id")
+        .agg(
+            F.sum("base").alias("base_amount"),
+            F.sum("amount").alias("tax_amount"),
+            F.count("borne_tax_id").alias("bearing_lines"),
+        )
+        .filter("bearing_lines > 0")
     )
     journals = tables["account_journal"].select(F.col("id").alias("journal_id"), "type")
     sign = F.when(F.col("type") == "sale", -1).otherwise(1)
     return (
-        base.join(amount, ["journal_id", "tax_id"], "left")
-        .join(journals, "journal_id")
+        taxes.join(journals, "journal_id")
         .select(
             "journal_id", "tax_id", (F.col("base_amount") * sign).alias("base_amount"),
             (or_zero(F.col("tax_amount")) * sign).alias("tax_amount"),

@@ -19,8 +19,8 @@ PURCHASE_TYPES = ("in_invoice", "in_refund", "in_receipt")
 def inventory_accounts(tables: Tables) -> DataFrame:
     """(product_id, account_inventory): the lowest inventory account among the entries of its valuation.
 
-    Entries are reduced to their lowest inventory account before they meet the layers, and layers to
-    distinct (product, entry) pairs, so neither a busy entry nor a busy product multiplies rows.
+    Entries are reduced to their lowest inventory account before they meet the layers, so each layer
+    stays one row however busy its entry or its product is.
     """
     accounts = (
         tables["account_account"]
@@ -34,9 +34,7 @@ def inventory_accounts(tables: Tables) -> DataFrame:
         .groupBy("move_id")
         .agg(F.min("code").alias("code"))
     )
-    layers = tables["stock_valuation_layer"].select(
-        "product_id", F.col("account_move_id").alias("move_id")
-    ).distinct()
+    layers = tables["stock_valuation_layer"].select("product_id", F.col("account_move_id").alias("move_id"))
     return layers.join(by_entry, "move_id").groupBy("product_id").agg(F.min("code").alias("account_inventory"))
 
 

@@ -26,6 +26,14 @@ def refresh_table(report: DataFrame, table: str, month_of: str | None = None) ->
     writer.saveAsTable(table)
 
 
+def store_bucketed(rows: DataFrame, table: str, key: str, buckets: int) -> None:
+    """Store a large table by ``key``, so that joins of tables stored alike need no shuffle.
+
+    Ledger lines by ``move_id`` and entries by ``id`` is the pair most reports join.
+    """
+    rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+
+
 def export_files(report: DataFrame, path: str, file_format: str = "parquet") -> None:
     """Write a labelled report for download: ``parquet``, or ``csv`` with a heading line."""
     writer = report.write.mode("overwrite")

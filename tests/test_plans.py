@@ -44,7 +44,7 @@ def test_no_cross_join_no_python_no_single_task(static_plans, sf_dir, name):
     "name",
     ["trial_balance", "trial_balance_by_partner", "trial_balance_levels", "trial_balance_levels_by_partner",
      "trial_balance_total", "ledger_by_account", "ledger_by_partner", "journal_audit", "journal_audit_labelled",
-     "journal_book_print_rows", "sales_lines", "sales_pivot", "journal_pivot", "ledger_group_rollup"],
+     "journal_book_print_rows", "journal_book_totals", "sales_lines", "sales_pivot", "journal_pivot", "ledger_group_rollup"],
 )
 def test_one_scan_of_the_lines(static_plans, sf_dir, name):
     assert lineitem_scans(static_plans(name, sf_dir)) == 1

@@ -76,6 +76,20 @@ def test_refresh_replaces_the_table(spark, star):
         spark.sql("DROP TABLE IF EXISTS fresh_moves")
 
 
+def test_tables_stored_by_entry_join_without_a_shuffle(spark, star):
+    try:
+        sinks.store_bucketed(star["account_move_line"].select("id", "move_id"), "stored_lines", "move_id", 8)
+        sinks.store_bucketed(star["account_move"].withColumnRenamed("id", "move_id"), "stored_moves", "move_id", 8)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = spark.table("stored_lines").join(spark.table("stored_moves"), "move_id")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 6000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS stored_lines")
+        spark.sql("DROP TABLE IF EXISTS stored_moves")
+
+
 @pytest.mark.parametrize("file_format", ["parquet", "csv"])
 def test_export(spark, star, tmp_path, file_format):
     report = star["account_journal"]
