@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import between_moments, keep_ids
+from ..functions.joins import lookup
 from ..params import Ids, InventoryParams, StockParams
 from ..sources.tables import Tables
 
@@ -62,7 +63,8 @@ def stock_availability_labelled(tables: Tables, p: StockParams) -> DataFrame:
         ("product_category", "categ_id", "category"),
         ("uom_uom", "product_uom_id", "unit"),
     ):
-        rows = rows.join(tables[table].select(F.col("id").alias(key), F.col("name").alias(name)), key, "left")
+        names = tables[table].select(F.col("id").alias(key), F.col("name").alias(name))
+        rows = lookup(rows, names, key, "product_id")
     return rows.select(
         "product", F.col("variant_code").alias("default_code"), "brand", "location", "lot", "category", "unit", *_STOCK
     ).distinct()
@@ -76,8 +78,9 @@ def inventory_transfers(tables: Tables, p: InventoryParams) -> DataFrame:
     """Pickings with partner and company, by scheduled date."""
     partners = tables["res_partner"].select(F.col("id").alias("partner_id"), F.col("name").alias("partner"))
     return (
-        between_moments(tables["stock_picking"], "scheduled_date", p.date_from, p.date_to)
-        .join(partners, "partner_id", "left")
+        lookup(
+            between_moments(tables["stock_picking"], "scheduled_date", p.date_from, p.date_to), partners, "partner_id", "id"
+        )
         .join(_companies(tables), "company_id", "left")
         .select(
             "id", "name", "partner_id", "scheduled_date", "origin", "company_id", "state", "partner", "company"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import in_window
+from ..functions.joins import lookup
 from ..functions.money import line_subtotal, or_zero, percent, thousands_text
 from ..params import InvoiceParams
 from ..sources.tables import Tables
@@ -133,45 +134,41 @@ def line_iva_rates(tables: Tables) -> DataFrame:
     )
 
 
-def _sold_by_line(tables: Tables) -> DataFrame:
-    """(line_id, sale_id): the sales order each invoice line came from, the lowest of several."""
+def _sold(tables: Tables) -> DataFrame:
+    """(invoice_line_id, order_id) for every order line an invoice line came from."""
     order_lines = tables["sale_order_line"].select(F.col("id").alias("order_line_id"), "order_id")
-    return (
-        tables["sale_order_line_invoice_rel"]
-        .join(order_lines, "order_line_id")
-        .groupBy(F.col("invoice_line_id").alias("line_id"))
-        .agg(F.min("order_id").alias("order_sale_id"))
+    return tables["sale_order_line_invoice_rel"].join(order_lines, "order_line_id").select(
+        "invoice_line_id", "order_id"
     )
 
 
 def order_links_lines(tables: Tables) -> DataFrame:
-    """Per line: its sales order and its partner's tax number."""
+    """Per line: its sales order, the lowest of several, and its partner's tax number."""
     partners = tables["res_partner"].select(F.col("id").alias("partner_id"), F.col("vat").alias("partner_vat"))
     lines = tables["account_move_line"].select(
         F.col("id").alias("line_id"), "move_id", F.col("name").alias("line"), "product_id", "partner_id"
     )
+    sold = _sold(tables).groupBy(F.col("invoice_line_id").alias("line_id")).agg(F.min("order_id").alias("order_sale_id"))
     return (
-        lines.join(_sold_by_line(tables), "line_id", "left")
-        .join(partners, "partner_id", "left")
+        lookup(lines.join(sold, "line_id", "left"), partners, "partner_id", "line_id")
         .select("line_id", "move_id", "line", "product_id", "order_sale_id", "partner_vat")
     )
 
 
 def order_links(tables: Tables) -> DataFrame:
     """Per entry: the sales and purchase order its lines came from, the lowest of several."""
+    lines = tables["account_move_line"].select("id", "move_id", "purchase_line_id")
+    sold = _sold(tables).select(F.col("invoice_line_id").alias("id"), F.col("order_id").alias("sale_id"))
     bought = tables["purchase_order_line"].select(
         F.col("id").alias("purchase_line_id"), F.col("order_id").alias("order_purchase_id")
     )
-    lines = tables["account_move_line"].select(F.col("id").alias("line_id"), "move_id", "purchase_line_id")
     linked = (
-        lines.join(_sold_by_line(tables), "line_id", "left")
-        .join(bought, "purchase_line_id", "left")
+        lookup(lines.join(sold, "id", "left"), bought, "purchase_line_id", "id")
         .groupBy("move_id")
-        .agg(F.min("order_sale_id").alias("sale_id"), F.min("order_purchase_id").alias("order_purchase_id"))
+        .agg(F.min("sale_id").alias("sale_id"), F.min("order_purchase_id").alias("order_purchase_id"))
     )
     return (
-        tables["account_move"]
-        .select(F.col("id").alias("move_id"))
+        tables["account_move"].select(F.col("id").alias("move_id"))
         .join(linked, "move_id", "left")
         .select("move_id", "sale_id", "order_purchase_id")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import in_window, keep_ids
+from ..functions.joins import lookup
 from ..functions.labels import audit_state_label, entry_label, state_label
 from ..functions.money import or_zero
 from ..functions.sequences import with_previous_row
@@ -44,7 +45,7 @@ def _partners(tables: Tables) -> DataFrame:
 
 def journal_audit(tables: Tables, p: PeriodParams) -> DataFrame:
     """Debit and credit per date, entry, partner, account, label, journal and state, of every state."""
-    return _audit(tables, p).join(_partners(tables), "partner_id", "left").select(
+    return lookup(_audit(tables, p), _partners(tables), "partner_id", "move_id").select(
         "date", "move_id", F.col("vat").alias("partner_vat"), "partner_id", "account_id", "name_aml",
         "journal_id", "debit", "credit", "state",
     )
@@ -56,7 +57,7 @@ def journal_audit_labelled(tables: Tables, p: PeriodParams) -> DataFrame:
     The sums per id come first, so only those are regrouped by name.
     """
     accounts = tables["account_account"].select(F.col("id").alias("account_id"), F.col("code").alias("account"))
-    rows = _audit(tables, p).join(accounts, "account_id", "left").join(_partners(tables), "partner_id", "left")
+    rows = lookup(_audit(tables, p).join(accounts, "account_id", "left"), _partners(tables), "partner_id", "move_id")
     return (
         rows.groupBy("date", "move", "vat", "partner", "account", F.col("name_aml").alias("label"), "state")
         .agg(F.sum("debit").alias("debit"), F.sum("credit").alias("credit"))
@@ -83,14 +84,10 @@ def _named_lines(tables: Tables, p: JournalBookParams) -> DataFrame:
     accounts = tables["account_account"].select(
         F.col("id").alias("account_id"), F.col("code").alias("account_code"), F.col("name").alias("account_name")
     )
-    return (
-        _book(tables, p)
-        .join(accounts, "account_id", "left")
-        .join(_partners(tables), "partner_id", "left")
-        .select(
-            F.col("id").alias("line_id"), "journal_id", "date", "move_id", "move", "partner",
-            "account_code", "account_name", "label", "debit", "credit", "move_state",
-        )
+    rows = lookup(_book(tables, p).join(accounts, "account_id", "left"), _partners(tables), "partner_id", "id")
+    return rows.select(
+        F.col("id").alias("line_id"), "journal_id", "date", "move_id", "move", "partner",
+        "account_code", "account_name", "label", "debit", "credit", "move_state",
     )
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import day, in_window, keep_ids
 from ..functions.hierarchy import ancestors, group_members
+from ..functions.joins import lookup
 from ..functions.labels import TOTAL, partner_label, state_label
 from ..functions.money import european_number, no_amount, or_zero
 from ..params import LedgerParams
@@ -69,11 +70,13 @@ def _with_account(rows: DataFrame, tables: Tables) -> DataFrame:
     return rows.join(accounts, "account_id")
 
 
-def _with_partner(rows: DataFrame, tables: Tables) -> DataFrame:
+def _with_partner(rows: DataFrame, tables: Tables, line_id: str | None = None) -> DataFrame:
+    """``line_id`` is given where the rows are lines and many may lack a partner."""
     partners = tables["res_partner"].select(
         F.col("id").alias("partner_id"), "vat", F.col("name").alias("partner_name")
     )
-    return rows.join(partners, "partner_id", "left").withColumn("partner", partner_label(F.col("partner_name")))
+    named = lookup(rows, partners, "partner_id", line_id) if line_id else rows.join(partners, "partner_id", "left")
+    return named.withColumn("partner", partner_label(F.col("partner_name")))
 
 
 def _columns(p: LedgerParams) -> list[str]:
@@ -117,17 +120,17 @@ def _detail(tables: Tables, p: LedgerParams) -> DataFrame:
         F.col("id").alias("journal_id"), F.col("name").alias("journal")
     )
     rows = _with_account(lines.withColumnRenamed("name", "line").join(moves, "move_id"), tables)
-    rows = _with_partner(rows.join(journals, "journal_id"), tables)
+    rows = _with_partner(rows.join(journals, "journal_id"), tables, "id")
     if p.with_analytic:
         analytics = tables["account_analytic_account"].select(
             F.col("id").alias("analytic_account_id"), F.col("name").alias("analytic")
         )
-        rows = rows.join(analytics, "analytic_account_id", "left")
+        rows = lookup(rows, analytics, "analytic_account_id", "id")
     if p.with_currency:
         currencies = tables["res_currency"].select(
             F.col("id").alias("currency_id"), F.col("name").alias("currency")
         )
-        rows = rows.join(currencies, "currency_id", "left")
+        rows = lookup(rows, currencies, "currency_id", "id")
     cells = {
         "bold": F.lit(False),
         "group": F.lit(False),
@@ -324,7 +327,7 @@ def ledger_detail_with_balances(tables: Tables, p: LedgerParams) -> DataFrame:
         chosen = chosen.filter(F.col("parent_state") == "posted")
     chosen = keep_ids(keep_ids(chosen, "account_id", p.accounts), "partner_id", p.partners)
     chosen = chosen.select(
-        *keys, "move_id", "journal_id", "date", F.col("name").alias("line"),
+        "id", *keys, "move_id", "journal_id", "date", F.col("name").alias("line"),
         or_zero(F.col(p.debit)).alias("debit"), or_zero(F.col(p.credit)).alias("credit"),
     )
     moves = tables["account_move"].select(F.col("id").alias("move_id"), F.col("name").alias("move"))
@@ -340,7 +343,7 @@ def ledger_detail_with_balances(tables: Tables, p: LedgerParams) -> DataFrame:
         "left",
     ).select("c.*", "b.initial", "b.final")
     rows = _with_account(rows, tables)
-    return _with_partner(rows, tables).select(
+    return _with_partner(rows, tables, "id").select(
         F.lit(False).alias("bold"),
         F.lit(False).alias("group"),
         "account_id",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import in_window, keep_ids
+from ..functions.joins import lookup
 from ..functions.labels import INVENTORY_PREFIX
 from ..functions.money import discount_value, percent, signed
 from ..params import PeriodParams
@@ -67,7 +68,7 @@ def _purchases(tables: Tables, p: PeriodParams) -> DataFrame:
     orders = tables["purchase_order"].select(
         F.col("id").alias("order_purchase_id"), F.col("id").alias("purchase_id"), F.col("name").alias("purchase")
     )
-    headers = moves.join(partners, "invoice_partner_id", "left").join(orders, "order_purchase_id", "left")
+    headers = lookup(moves.join(partners, "invoice_partner_id", "left"), orders, "order_purchase_id", "move_id")
     products = (
         tables["product_product"]
         .select(F.col("id").alias("product_id"), "product_tmpl_id")

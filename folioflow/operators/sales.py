@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import in_window, keep_ids
+from ..functions.joins import lookup
 from ..functions.labels import sold_type_label
 from ..functions.money import signed
 from ..params import PeriodParams
@@ -49,7 +50,8 @@ def _headers(tables: Tables, p: PeriodParams, by_order_partner: bool) -> DataFra
         F.col("id").alias("move_id"), F.col("name").alias("invoice"), "invoice_date", "move_type", "sale_id",
         F.col("partner_id").alias("invoice_partner_id"), "invoice_user_id", "city_id",
     )
-    return moves.join(orders, "sale_id", kind).join(partners, "order_partner_id", "left")
+    headers = moves.join(orders, "sale_id") if kind == "inner" else lookup(moves, orders, "sale_id", "move_id")
+    return lookup(headers, partners, "order_partner_id", "move_id")
 
 
 def _products(tables: Tables) -> DataFrame:
@@ -116,8 +118,8 @@ def sales_lines_labelled(tables: Tables, p: PeriodParams) -> DataFrame:
         .join(_named(tables, "res_city", "partner_city_id", "customer_city"), "partner_city_id", "left")
         .join(_named(tables, "res_city", "city_id", "invoice_city"), "city_id", "left")
         .join(_named(tables, "crm_team", "team_id", "team"), "team_id", "left")
-        .join(sellers, "user_id", "left")
     )
+    headers = lookup(headers, sellers, "user_id", "move_id")
     products = (
         _products(tables)
         .join(_named(tables, "product_category", "categ_id", "category"), "categ_id", "left")
@@ -125,7 +127,7 @@ def sales_lines_labelled(tables: Tables, p: PeriodParams) -> DataFrame:
         .join(_named(tables, "uom_uom", "uom_id", "unit"), "uom_id", "left")
     )
     analytics = _named(tables, "account_analytic_account", "analytic_account_id", "analytic")
-    rows = _sold_lines(tables, headers, products).join(analytics, "analytic_account_id", "left")
+    rows = lookup(_sold_lines(tables, headers, products), analytics, "analytic_account_id", "move_id")
     return rows.select(
         "invoice_date",
         "order",
