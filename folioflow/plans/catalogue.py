@@ -178,16 +178,6 @@ def shown(report: DataFrame) -> DataFrame:
     return report.selectExpr(*[cell(f) for f in report.schema.fields])
 
 
-_OPENED: dict[tuple[str, int, str], StarTables] = {}
-
-
-def tables_of(spark: SparkSession, sf_dir: str) -> StarTables:
-    """The tables under a folder, opened once per session."""
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
-    if key not in _OPENED:
-        _OPENED[key] = StarTables(spark, sf_dir)
-    return _OPENED[key]
-
-
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(REPORTS[name](tables_of(prepare(spark), sf_dir)))
+    """A registered report over the tables under a folder, opened afresh."""
+    return shown(REPORTS[name](StarTables(prepare(spark), sf_dir)))
