@@ -66,4 +66,15 @@ from sized s join parts q on s.source is not distinct from q.source
   join chosen c on s.source is not distinct from c.source and s.u = c.u
 """
 
-SQL: dict[str, str] = {"op4_decontaminate": OP4, "op10_mix": OP10}
+OP9 = r"""
+with payloads as (
+  select page_id, sha256(coalesce(html, '')) as digest, strlen(coalesce(html, ''))::bigint as bytes from pages),
+firsts as (
+  select digest, min(page_id) as first, count(*) as n from payloads where bytes >= 100 group by digest)
+select page_id, bytes as payload_bytes, p.digest as payload_digest,
+  case when n > 1 and page_id <> first then 'revisit' else 'response' end as record_type,
+  case when n > 1 and page_id <> first then first end as refers_to
+from payloads p left join firsts f on p.digest = f.digest
+"""
+
+SQL: dict[str, str] = {"op4_decontaminate": OP4, "op9_warc": OP9, "op10_mix": OP10}
