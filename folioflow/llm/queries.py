@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, orderhash, simhash, tokens, toxicity, warc
+from . import decontaminate, mixing, orderhash, secrets, simhash, tokens, toxicity, warc
 
 #: File of a public tokenizer, named by its place in the installed package of vocabularies.
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,5 +55,5 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_toxicity, op4_decontaminate, op5_order_minhash, op6_simhash, op7_token_files, op9_warc, op10_mix)
+    f.__name__: f for f in (op1_secret_ownership, op3_toxicity, op4_decontaminate, op5_order_minhash, op6_simhash, op7_token_files, op9_warc, op10_mix)
 }

@@ -77,4 +77,54 @@ select page_id, bytes as payload_bytes, p.digest as payload_digest,
 from payloads p left join firsts f on p.digest = f.digest
 """
 
-SQL: dict[str, str] = {"op4_decontaminate": OP4, "op9_warc": OP9, "op10_mix": OP10}
+
+def _any_case(words: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words)
+
+
+# kind, rank, pattern, group of the value, least length.
+_KINDS = (
+    ("assign", 0, f"({_any_case('password|passwd|secret|token|api_?key')})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 12),
+    ("access", 1, "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", 2, "[0-9a-f]+", 0, 16),
+    ("opaque", 3, "[A-Za-z0-9+/_-]{24,}", 0, 24),
+)
+
+
+def _spans(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    return f"""
+select * from (
+  select row, source, '{kind}' as kind, {rank} as rank, vals[i] as value,
+    list_sum(list_transform(gaps[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(wholes[1 : i - 1], lambda x: length(x))), 0) as start,
+    list_sum(list_transform(gaps[1 : i], lambda x: length(x))) + list_sum(list_transform(wholes[1 : i], lambda x: length(x))) as stop
+  from (select row, source, gaps, wholes, vals, unnest(range(1, len(wholes) + 1)) as i
+        from (select row, source, string_split_regex(text, '{pattern}') as gaps, regexp_extract_all(text, '{pattern}', 0) as wholes,
+                regexp_extract_all(text, '{pattern}', {group}) as vals from docs)))
+where length(value) >= {least}"""
+
+
+OP1 = f"""
+with docs as (select row_number() over () as row, doc_id, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+matched as ({" union all ".join(_spans(*k) for k in _KINDS)}),
+apart as (
+  select * from matched m
+  where rank < 3 or (regexp_matches(value, '[0-9]') and regexp_matches(value, '[a-z]') and regexp_matches(value, '[A-Z]')
+    and not exists (select 1 from matched b where b.row = m.row and b.rank < 3 and b.start < m.stop and m.start < b.stop))),
+counts as (select value, count(distinct row) as n_repos, count(distinct source) as n_owners from apart group by value),
+told as (
+  select *, n_owners >= 3 or n_repos >= 10 as copied,
+    n_owners = 1 and n_repos < 10 and regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Za-z]')
+      and len(list_distinct(string_split(value, ''))) >= 8 as live
+  from apart join counts using (value)),
+shown as (select *, kind || ':' || start || ':' || stop as line from told where rank < 3 or live),
+per_row as (
+  select row, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access,
+    count(*) filter (kind = 'hex') as n_hex, string_agg(line, ',' order by start, rank) filter (rank < 3) as base,
+    string_agg(line, ',' order by start, rank) as spans, count(*) filter (copied) as n_copied, count(*) filter (live) as n_live
+  from shown group by row)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_copied, 0)::bigint as n_copied, coalesce(n_live, 0)::bigint as n_live
+from docs left join per_row using (row)
+"""
+
+SQL: dict[str, str] = {"op1_secret_ownership": OP1, "op4_decontaminate": OP4, "op9_warc": OP9, "op10_mix": OP10}
