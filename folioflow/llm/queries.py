@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, orderhash, secrets, simhash, tokens, toxicity, warc
+from . import decontaminate, extraction, mixing, orderhash, secrets, simhash, tokens, toxicity, warc
 
 #: File of a public tokenizer, named by its place in the installed package of vocabularies.
 TOKENIZER = "byte_bpe_50k.json"
@@ -46,6 +46,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_files(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.report(table(spark, sf_dir, "pages"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
@@ -55,5 +59,5 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_ownership, op3_toxicity, op4_decontaminate, op5_order_minhash, op6_simhash, op7_token_files, op9_warc, op10_mix)
+    f.__name__: f for f in (op1_secret_ownership, op3_toxicity, op4_decontaminate, op5_order_minhash, op6_simhash, op7_token_files, op8_html_text, op9_warc, op10_mix)
 }
