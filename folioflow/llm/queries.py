@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, extraction, mixing, orderhash, secrets, simhash, tokens, toxicity, warc
+from . import decontaminate, extraction, mixing, orderhash, secrets, simhash, suffixes, tokens, toxicity, warc
 
 #: File of a public tokenizer, named by its place in the installed package of vocabularies.
 TOKENIZER = "byte_bpe_50k.json"
@@ -26,6 +26,10 @@ def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,5 +63,5 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_ownership, op3_toxicity, op4_decontaminate, op5_order_minhash, op6_simhash, op7_token_files, op8_html_text, op9_warc, op10_mix)
+    f.__name__: f for f in (op1_secret_ownership, op2_suffix_dedup, op3_toxicity, op4_decontaminate, op5_order_minhash, op6_simhash, op7_token_files, op8_html_text, op9_warc, op10_mix)
 }
