@@ -119,8 +119,8 @@ def mark(docs: DataFrame, bench: DataFrame, carry: list[str] | None = None, widt
     """The columns ``carry`` of every document (default: all) with what the benchmark has in it:
     _n_words, _hits (runs of hit words as first word and length, merged), _items (ids of items with a window in it).
 
-    A null text has no words and no hits; an item without words has no window; equal items are all named; an empty
-    benchmark hits nothing. Rows are neither dropped nor merged.
+    A null text has no words and no hits; an item without words has no window; equal items are all named (those without
+    an id count as one and aren't); an empty benchmark hits nothing. Rows are neither dropped nor merged.
     """
     spark = prepare(docs.sparkSession)
     carry = docs.columns if carry is None else carry

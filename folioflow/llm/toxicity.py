@@ -64,7 +64,7 @@ FOLDING = folding()
 PLAIN = {code: plain for code in range(0xC0, 0x250) if (plain := "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))) != chr(code)}
 _ACCENT = re.compile("[\u00c0-\u024f]")
 _END = re.compile(r"[!|]+(?=[\s\"').,;:!?|]|$)")
-_NUMBER = re.compile(r"(?<![^\W\d_])(?<![@$!|])\d[\d.,:/-]*(?![^\W_])")
+_NUMBER = re.compile(r"(?<![^\W_])(?<![@$!|])\d[\d.,:/-]*(?![^\W_])")
 _BREAK = re.compile(r"[\W\d_]+")
 
 
@@ -96,19 +96,26 @@ class Lexicon:
         if len(self.automaton):
             self.automaton.make_automaton()
 
-    def matches(self, folded: str) -> list[tuple[int, float]]:
-        """(first letter's place, weight) of each word with a term, its heaviest, outside exceptions."""
+    def found(self, folded: str) -> list[tuple[int, str]]:
+        """(first letter's place, term) of every match outside exceptions."""
         if not len(self.automaton):
             return []
-        words: dict[int, float] = {}
+        out: list[tuple[int, str]] = []
         hidden: list[tuple[int, int]] = []
-        for end, (term, weight, exception) in self.automaton.iter(folded):
+        for end, (term, _, exception) in self.automaton.iter(folded):
             start = end - len(term) + 2
             if exception:
                 hidden.append((start, end))
             else:
-                words[start] = max(weight, words.get(start, 0.0))
-        return [(s, w) for s, w in words.items() if not any(a <= s < b for a, b in hidden)]
+                out.append((start, term))
+        return [(s, t) for s, t in out if not any(a <= s < b for a, b in hidden)] if hidden else out
+
+    def matches(self, folded: str) -> list[tuple[int, float]]:
+        """(first letter's place, weight) of each word with a term, its heaviest, outside exceptions."""
+        words: dict[int, float] = {}
+        for start, term in self.found(folded):
+            words[start] = max(self.terms[term], words.get(start, 0.0))
+        return list(words.items())
 
     def accented(self, folded: str) -> float:
         """Weight of whole words that are terms only without their accents."""
@@ -153,31 +160,32 @@ def weight(a: int, b: int, toxic: int, clean: int) -> float:
     return max(0.1, min(8.0, math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))))
 
 
-def choose(docs: list[list[int]], clean_with: list[int], toxic: int, clean: int) -> list[tuple[int, int]]:
-    """Terms by greedy covering, with their numbers of toxic documents: the term with most evidence among documents that
-    haven't spoken for ``SUPPORT`` terms yet, again and again. Copies of a document thus bring few terms of their own."""
-    holders: dict[int, list[int]] = {}
-    for d, terms in enumerate(docs):
-        for t in terms:
-            holders.setdefault(t, []).append(d)
-    left = np.full(len(docs), SUPPORT)
-    chosen: list[tuple[int, int]] = []
+def choose(docs: list[list[int]], terms: list[str], clean_with: list[int], toxic: int, clean: int) -> list[int]:
+    """Terms by greedy covering: the term with most evidence among documents that haven't spoken for ``SUPPORT`` terms yet,
+    again and again. Copies of a document thus bring few terms of their own. Of terms that begin alike and that nearly the
+    same documents hold, only the first counts."""
+    holders: dict[int, set[int]] = {}
+    for d, own in enumerate(docs):
+        for t in own:
+            holders.setdefault(t, set()).add(d)
+    left = [SUPPORT] * len(docs)
+    chosen: list[int] = []
     gain = {t: evidence(len(own), clean_with[t], toxic, clean) for t, own in holders.items()}
     while gain and len(chosen) < TERMS:
         t = max(gain, key=lambda t: (gain[t], -t))
-        own = sum(1 for d in holders[t] if left[d])
-        now = evidence(own, clean_with[t], toxic, clean)
-        if now < gain[t] - 1e-9:
+        own = holders[t]
+        now = evidence(sum(1 for d in own if left[d]), clean_with[t], toxic, clean)
+        if now < gain[t] - 1e-9 or now < EVIDENCE:
             gain[t] = now
             if now < EVIDENCE:
                 del gain[t]
             continue
-        if now < EVIDENCE:
-            break
-        del gain[t]
-        chosen.append((t, len(holders[t])))
-        for d in holders[t]:
+        chosen.append(t)
+        for d in own:
             left[d] = max(0, left[d] - 1)
+        for x in [x for x in gain if x == t or terms[x][:5] == terms[t][:5]]:
+            if x == t or len(own & holders[x]) >= 0.8 * max(len(own), len(holders[x])):
+                del gain[x]
     return chosen
 
 
@@ -244,8 +252,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
             yield pa.record_batch([pa.array(found, pa.list_(pa.int64()))], names=["terms"])
 
     holders = [r.terms for r in rows.filter("toxic = 1").mapInArrow(held, "terms array<long>").collect()]
-    chosen = choose(sorted(holders), [among.get(t, 0) for t in terms], toxic, clean)
-    weights = {terms[t]: weight(a, among.get(terms[t], 0), toxic, clean) for t, a in chosen}
+    chosen = choose(sorted(holders), terms, [among.get(t, 0) for t in terms], toxic, clean)
+    weights = {terms[t]: weight(often[terms[t]], among.get(terms[t], 0), toxic, clean) for t in chosen}
     seeds = {t: w for t, w in seeds.items() if t not in weights and among.get(t, 0) * toxic <= often.get(t, 0) * clean}
     lexicon = Lexicon(seeds | weights, exceptions)
 
@@ -255,7 +263,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
             for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
                 folded = fold(text.as_py())
                 own = set()
-                for start, _ in lexicon.matches(folded):
+                for start in {s for s, _ in lexicon.found(folded)}:
                     after = folded[start : start + 80].split(" ")
                     before = folded[max(0, start - 81) : start - 1].rsplit(" ", 1)[-1]
                     own.update({f" {after[0]} ", f" {before} {after[0]} ", f" {' '.join(after[:2]).strip()} "})
@@ -269,6 +277,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     learned = {r.phrase for r in around.orderBy(F.desc("clean"), "phrase").limit(TERMS).collect()}
     lexicon = Lexicon(seeds | weights, exceptions | learned)
 
+    def recounted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+                seen.update((t, label) for t in {t for _, t in lexicon.found(fold(text.as_py()))})
+        keys = list(seen)
+        yield pa.record_batch([pa.array([p for p, _ in keys], pa.string()), pa.array([t for _, t in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], names=["phrase", "toxic", "n"])
+
+    # Weights count what exceptions leave.
+    again = {(r.phrase, r.toxic): r.n for r in rows.mapInArrow(recounted, "phrase string, toxic long, n long").groupBy("phrase", "toxic").agg(F.sum("n").alias("n")).collect()}
+    weights = {t: weight(again.get((t, 1), 0), again.get((t, 0), 0), toxic, clean) for t in weights}
+    lexicon = Lexicon(seeds | weights, lexicon.exceptions)
+
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [lexicon.features(fold(x.as_py())) for x in batch.column("text")]
