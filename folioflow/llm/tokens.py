@@ -18,6 +18,7 @@ import struct
 import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,19 @@ RUN = 64
 REMEMBERED = 600_000
 
 _IRREGULAR = re.compile(r"\s\s|[^\S \n]|<\|")
+#: A word of Latin letters, perhaps with a mark after it: one piece, or two.
+_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
+_MARKS = ".,:;!?"
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies use for each byte: itself if it can be printed, else one from 256 on."""
+    printed = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    others = [b for b in range(256) if b not in set(printed)]
+    return {b: chr(b) for b in printed} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_LETTERS = byte_letters()
 
 
 class Encoder:
@@ -60,10 +74,27 @@ class Encoder:
             known[path] = (tokenizers.Tokenizer.from_file(path), {}, {})
         self.tokenizer, self.spaced, self.bare = known[path]
         self.line = self._ids(["\n"])[0]
+        self.marks = dict(zip(_MARKS, self._ids(list(_MARKS)), strict=True))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, chunks: set[str], known: dict[str, bytes], before: str) -> None:
+        """Remember new chunks. Words are looked up in the model directly, which is what the pre-tokenizer comes to."""
+        tokenize, rest = self.tokenizer.model.tokenize, []
+        for chunk in chunks.difference(known):
+            body = chunk[:-1] if chunk[-1:] in self.marks else chunk
+            if not _WORD.fullmatch(body):
+                rest.append(chunk)
+                continue
+            ids = known.get(body)
+            if ids is None:
+                piece = (before + body).encode().decode("latin-1").translate(_LETTERS)
+                ids = known[body] = array("I", [t.id for t in tokenize(piece)]).tobytes()
+            if body is not chunk:
+                known[chunk] = ids + self.marks[chunk[-1]]
+        known.update(zip(rest, self._ids([before + c for c in rest]), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.spaced) + len(self.bare) > REMEMBERED:
             self.spaced.clear()
@@ -74,10 +105,8 @@ class Encoder:
             for words in lines or ():
                 first.add(words[0])
                 later.update(words[1:])
-        new = list(first.difference(self.bare))
-        self.bare.update(zip(new, self._ids(new), strict=True))
-        new = list(later.difference(self.spaced))
-        self.spaced.update(zip(new, self._ids([" " + w for w in new]), strict=True))
+        self._learn(first, self.bare, "")
+        self._learn(later, self.spaced, " ")
         whole = iter(self._ids([t for t, lines in zip(texts, split, strict=True) if lines is None]))
         bare, spaced = self.bare.__getitem__, self.spaced.__getitem__
         return [next(whole) if lines is None else self.line.join([bare(words[0]) + b"".join(map(spaced, words[1:])) for words in lines]) for lines in split]
