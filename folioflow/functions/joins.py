@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 def lookup(rows: DataFrame, table: DataFrame, key: str, spread: str) -> DataFrame:
     """Left join ``table`` on ``key``, a number that may be NULL in many rows.
 
-    NULL matches nothing, yet a shuffled join would gather all such rows in one task. They travel under
-    negative numbers made of the id in ``spread`` instead, which no id has.
+    NULL matches nothing, yet a shuffled join would gather all such rows in one task. So the join has a second key, made
+    of the id in ``spread`` where the first is NULL, and else the same on both sides.
     """
-    spread_key = F.coalesce(F.col(key), -1 - F.col(spread))
+    mine = F.when(F.col(key).isNull(), F.xxhash64(spread)).otherwise(F.col(key) * 0)
+    found = table.withColumnRenamed(key, "_key").withColumn("_spread", F.col("_key") * 0)
     return (
-        rows.withColumn("_key", spread_key)
-        .join(table.withColumnRenamed(key, "_key"), "_key", "left")
-        .drop("_key")
+        rows.withColumns({"_key": F.col(key), "_spread": mine})
+        .join(found, ["_key", "_spread"], "left")
+        .drop("_key", "_spread")
     )

@@ -11,7 +11,7 @@ VIEWS: dict[str, str] = {
                case when c_custkey % 10 <> 0 then c_custkey - c_custkey % 10 end as parent_id
         from customer
         union all
-        select 10000000000 + s_suppkey, s_name, concat('S', cast(s_suppkey as varchar)), s_nationkey, null from supplier""",
+        select -1 - s_suppkey, s_name, concat('S', cast(s_suppkey as varchar)), s_nationkey, null from supplier""",
     "res_city": "select n_nationkey as id, n_name as name from nation",
     "res_users": "select * from (values (0,0),(1,1),(2,2),(3,3),(4,4),(5,5),(6,6)) as t(id,partner_id)",
     "res_currency": "select * from (values (1,'COP'),(2,'USD')) as t(id,name)",
@@ -40,7 +40,7 @@ VIEWS: dict[str, str] = {
     "account_move": """
         select o_orderkey as id,
                case when o_orderstatus = 'O' and o_orderkey % 13 = 0 then '/'
-                    else concat('AS/', lpad(cast(o_orderkey as varchar), 12, '0')) end as name,
+                    else concat('AS/', lpad(cast(o_orderkey as varchar), 19, '0')) end as name,
                concat('REF', cast(o_orderkey % 1000 as varchar)) as ref,
                cast(o_orderdate as date) as date, cast(o_orderdate as date) as invoice_date,
                o_orderdate as fe_datetime_invoice,

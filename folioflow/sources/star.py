@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .tables import Tables
 
 _ROWS_PER_FILE = 2**36
+# Characters of file names up to which their list is broadcast: some 500,000 files.
+_PATH_BYTES = 64 << 20
 _SCHEME = "^([a-z][a-z0-9+.-]*):/+"
 
 
@@ -41,7 +43,10 @@ class StarTables(Tables):
         return self._values("id, name", "(1L,'Company 1'),(2L,'Company 2'),(3L,'Company 3')")
 
     def _res_partner(self) -> DataFrame:
-        """Customers, in families of ten under the one whose number ends in 0, and suppliers."""
+        """Customers, in families of ten under the one whose number ends in 0, and suppliers.
+
+        Suppliers are numbered below zero, where no customer key is, however many there are.
+        """
         customers = self._star("customer").selectExpr(
             "c_custkey AS id",
             "c_name AS name",
@@ -50,7 +55,7 @@ class StarTables(Tables):
             "CASE WHEN c_custkey % 10 <> 0 THEN c_custkey - c_custkey % 10 END AS parent_id",
         )
         suppliers = self._star("supplier").selectExpr(
-            "10000000000 + s_suppkey AS id",
+            "-1 - s_suppkey AS id",
             "s_name AS name",
             "concat('S', s_suppkey) AS vat",
             "CAST(s_nationkey AS BIGINT) AS city_id",
@@ -141,7 +146,7 @@ class StarTables(Tables):
         return self._star("orders").selectExpr(
             "o_orderkey AS id",
             """CASE WHEN o_orderstatus = 'O' AND o_orderkey % 13 = 0 THEN '/'
-                    ELSE concat('AS/', lpad(CAST(o_orderkey AS STRING), 12, '0')) END AS name""",
+                    ELSE concat('AS/', lpad(CAST(o_orderkey AS STRING), 19, '0')) END AS name""",
             "concat('REF', o_orderkey % 1000) AS ref",
             "CAST(o_orderdate AS DATE) AS date",
             "CAST(o_orderdate AS DATE) AS invoice_date",
@@ -186,18 +191,25 @@ class StarTables(Tables):
             return self._read["numbered"]
         lines = self._star("lineitem")
         files = sorted(lines.inputFiles())
+        row = (
+            f"IF(_metadata.row_index < {_ROWS_PER_FILE}, _metadata.row_index,"
+            " raise_error(concat('too many rows in ', _metadata.file_path)))"
+        )
         if len(files) == 1:
-            numbered = lines.selectExpr("*", "_metadata.row_index AS id")
+            numbered = lines.selectExpr("*", f"{row} AS id")
         else:
             scheme = re.compile(_SCHEME)
             paths = pa.array([scheme.sub(r"\1:/", path) for path in files])
             known = self._spark.createDataFrame(pa.table({"_path": paths, "_number": pa.array(range(len(files)))}))
             # One row per path, said in a way Spark knows: it drops the join where no id is used.
             known = known.groupBy("_path").agg(F.min("_number").alias("_number"))
+            # The list of files is small beside the lines; within a bound it travels to them, so they aren't shuffled.
+            if sum(map(len, files)) <= _PATH_BYTES:
+                known = F.broadcast(known)
             numbered = (
                 lines.selectExpr(
                     "*",
-                    "_metadata.row_index AS _row",
+                    f"{row} AS _row",
                     f"regexp_replace(_metadata.file_path, '{_SCHEME}', '$1:/') AS _path",
                 )
                 .join(known, "_path", "left")
