@@ -6,43 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_previous_row(
-    df: DataFrame,
-    columns: list[str],
-    sequence: list[Column],
-    chunks: list[list[Column]],
-    order: list[Column],
-) -> DataFrame:
+def in_runs(df: DataFrame, sequence: list[Column], order: list[Column]) -> DataFrame:
+    """Add ``_run``: the number of a contiguous run of the rows in order.
+
+    Runs are ranges of the whole list, cut where they have about the same number of rows, so a sequence or a key within
+    it that holds most rows is cut into as many runs as it has ranges. ``order`` ends in a unique key.
+    """
+    runs = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(runs, *sequence, *order).withColumn("_run", F.spark_partition_id())
+
+
+def with_previous_row(df: DataFrame, columns: list[str], sequence: list[Column], order: list[Column]) -> DataFrame:
     """Add ``previous``: a struct of ``columns`` from the row before, NULL at the start of a sequence.
 
-    A plain ``lag`` sends a whole sequence to one task, and a single journal or day may hold a third of
-    all rows. So the sequence is cut into ``chunks`` (finest first) that are contiguous in ``order`` and
-    bounded in size. Each level looks back inside its chunks; only the first and last row of a chunk go
-    on to the next level, where the first row finds its neighbour. Rows that are settled stay with their
-    own small chunk, so no window partition grows with the sequence.
+    A plain ``lag`` sends a whole sequence to one task, and a single journal, day or entry may hold a third of all rows.
+    So rows look back inside their run; the first and last row of a run go on to a second look over the run borders of
+    their sequence, at most two for each run, where the first row finds its neighbour.
     """
     here = F.struct(*[F.col(c) for c in columns])
-    out = df.select("*", F.lit(None).cast("bigint").alias("_settled"))
-    for level, chunk in enumerate([*chunks, []]):
-        window = Window.partitionBy(*sequence, *chunk, F.col("_settled")).orderBy(*order)
-        out = out.select(
-            "*",
-            F.lag(here).over(window).alias("_back"),
-            F.lead(F.lit(True)).over(window).isNull().alias("_last"),
-        )
-        first = F.col("_back").isNull()
-        back = F.col("_back")
-        if level:
-            waiting = F.col("_settled").isNull() & F.col("previous").isNull()
-            back = F.when(waiting, F.col("_back")).otherwise(F.col("previous"))
-            first = first & F.col("previous").isNull()
-        edge = F.col("_settled").isNull() & (first | F.col("_last"))
-        kept = [c for c in out.columns if c not in ("_settled", "previous", "_back", "_last")]
-        out = out.select(
-            *kept,
-            back.alias("previous"),
-            F.when(edge, F.lit(None).cast("bigint"))
-            .otherwise(F.coalesce("_settled", F.xxhash64(F.lit(level), *sequence, *chunk)))
-            .alias("_settled"),
-        )
-    return out.drop("_settled")
+    inside = Window.partitionBy(*sequence, "_run").orderBy(*order)
+    out = in_runs(df, sequence, order).select(
+        "*", F.lag(here).over(inside).alias("_back"), F.lead(F.lit(True)).over(inside).isNull().alias("_last")
+    )
+    first = F.col("_back").isNull()
+    # Rows that are settled stay in small windows of their run.
+    out = out.withColumn("_settled", F.when(~(first | F.col("_last")), F.col("_run")))
+    borders = Window.partitionBy(*sequence, "_settled").orderBy(*order)
+    found = F.when(first, F.lag(here).over(borders)).otherwise(F.col("_back"))
+    return out.select(*df.columns, found.alias("previous"))

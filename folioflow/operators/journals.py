@@ -13,9 +13,6 @@ from ..functions.sequences import with_previous_row
 from ..params import JournalBookParams, PeriodParams
 from ..sources.tables import Tables
 
-_LINES_PER_CHUNK = 1 << 20
-_ENTRIES_PER_CHUNK = 1 << 12
-
 
 def _entries_in(tables: Tables, p: PeriodParams) -> DataFrame:
     moves = tables["account_move"].filter(in_window(F.col("date"), p.date_from, p.date_to))
@@ -44,11 +41,16 @@ def _partners(tables: Tables) -> DataFrame:
 
 
 def journal_audit(tables: Tables, p: PeriodParams) -> DataFrame:
-    """Debit and credit per date, entry, partner, account, label, journal and state, of every state."""
-    return lookup(_audit(tables, p), _partners(tables), "partner_id", "move_id").select(
+    """Debit and credit per date, entry, partner, account, label, journal and state, of every state.
+
+    Ordered by entry, date and account.
+    """
+    rows = lookup(_audit(tables, p), _partners(tables), "partner_id", "move_id").select(
         "date", "move_id", F.col("vat").alias("partner_vat"), "partner_id", "account_id", "name_aml",
         "journal_id", "debit", "credit", "state",
     )
+    ties = [F.asc_nulls_last(c) for c in ("partner_id", "name_aml", "journal_id")]
+    return rows.orderBy("move_id", "date", "account_id", *ties)
 
 
 def journal_audit_labelled(tables: Tables, p: PeriodParams) -> DataFrame:
@@ -167,17 +169,9 @@ def journal_book_print_rows(tables: Tables, p: JournalBookParams) -> DataFrame:
             "partner": F.coalesce("partner", F.lit("")),
         }
     )
-    order_names = ("move_id", "account_code", "label", "debit", "credit", "line_id")
-    order = [F.col(c) for c in order_names]
-    chunks = [
-        [
-            *[F.col(c) for c in order_names[:-1]],
-            F.floor(F.col("line_id") / F.lit(_LINES_PER_CHUNK)),
-        ],
-        [F.floor(F.col("move_id") / F.lit(_ENTRIES_PER_CHUNK))],
-    ]
+    order = [F.col(c) for c in ("move_id", "account_code", "label", "debit", "credit", "line_id")]
     rows = with_previous_row(
-        rows, ["entry", "date", "partner"], [F.col("journal_id"), F.col(_leading(p))], chunks, order
+        rows, ["entry", "date", "partner"], [F.col("journal_id"), F.col(_leading(p))], order
     ).join(journals, "journal_id", "left")
 
     new_entry = F.col("previous").isNull() | (F.col("previous.entry") != F.col("entry"))

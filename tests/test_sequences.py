@@ -1,30 +1,32 @@
-"""Looking back over chunk borders gives what one long window gives."""
+"""Looking back over run borders gives what one long window gives, without a large window."""
 
 import random
-import re
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from skewed import write_skewed
 
-from folioflow.functions.sequences import with_previous_row
+from folioflow.functions.sequences import in_runs, with_previous_row
+from folioflow.operators import journals
+from folioflow.plans.catalogue import BOOK
+from folioflow.sources import StarTables
+
+
+@pytest.fixture(params=[1, 5, 60])
+def runs(request, spark):
+    spark.conf.set("spark.sql.shuffle.partitions", str(request.param))
+    yield request.param
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("size", [1, 2, 7])
-def test_same_as_a_plain_lag(spark, seed, size):
+def test_same_as_a_plain_lag(spark, seed, runs):
     rng = random.Random(seed)
-    rows = [
-        (n, rng.choice("aab"), rng.randrange(12), rng.choice("xyz"), rng.choice(["u", "v", None]))
-        for n in range(400)
-    ]
+    rows = [(n, rng.choice("aab"), rng.randrange(12), rng.choice("xyz"), rng.choice(["u", "v", None])) for n in range(400)]
     df = spark.createDataFrame(rows, "id bigint, seq string, entry bigint, code string, value string").repartition(5)
     order = [F.col("entry"), F.col("code"), F.col("id")]
-    chunks = [
-        [F.col("entry"), F.col("code"), F.floor(F.col("id") / size)],
-        [F.floor(F.col("entry") / size)],
-    ]
-    got = with_previous_row(df, ["value", "entry"], [F.col("seq")], chunks, order)
+    got = with_previous_row(df, ["value", "entry"], [F.col("seq")], order)
     want = df.withColumn("previous", F.lag(F.struct("value", "entry")).over(Window.partitionBy("seq").orderBy(*order)))
     assert sorted(got.select("id", "previous").collect(), key=lambda r: r.id) == sorted(
         want.select("id", "previous").collect(), key=lambda r: r.id
@@ -32,12 +34,18 @@ def test_same_as_a_plain_lag(spark, seed, size):
     assert got.columns == [*df.columns, "previous"]
 
 
-def test_no_window_takes_a_whole_sequence(spark):
-    """One sequence with all rows: each window is partitioned by the chunk or the settled mark as well."""
-    df = spark.range(10_000).selectExpr("id", "CAST(id / 20000 AS INT) AS seq", "id % 3 AS value")
-    chunk = F.floor(F.col("id") / 100)
-    report = with_previous_row(df, ["value"], [F.col("seq")], [[chunk]], [F.col("id")])
-    plan = report._jdf.queryExecution().optimizedPlan().toString()
-    specs = re.findall(r"Window \[.*\], \[([^\[]*)\], \[id#", plan)
-    assert len(specs) == 2 and all(spec.count("#") == 2 for spec in specs), specs
-    assert report.filter("previous IS NULL").count() == 1
+@pytest.mark.parametrize("leading", ["date", "move"])
+def test_a_hot_entry_is_cut_into_runs(spark, tmp_path_factory, leading):
+    """On the skewed tables one entry has a third of the rows; no run has many more than its share."""
+    tables = StarTables(spark, write_skewed("/root/testdata/sf0.01", str(tmp_path_factory.mktemp("hot")), files=4))
+    rows = journals._named_lines(tables, BOOK)
+    order = [F.col(c) for c in ("move_id", "account_code", "label", "debit", "credit", "line_id")]
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        cut = in_runs(rows, [F.col("journal_id"), F.col(leading)], order)
+        sizes = [r["count"] for r in cut.groupBy("journal_id", leading, "_run").count().collect()]
+        total, hottest = sum(sizes), rows.groupBy("move_id").count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert hottest > total / 4
+    assert max(sizes) < 4 * total / 40
