@@ -67,24 +67,34 @@ def sales_pivot(tables: Tables, p: PeriodParams) -> DataFrame:
 
 
 def sales_pivot_by_month(tables: Tables, p: PeriodParams, key: str) -> DataFrame:
-    """Saved groupings: month, then seller (``invoice_user_id``), ``product_id`` or ``categ_id``."""
+    """Saved groupings: month, then seller (``invoice_user_id``), ``product_id``, ``categ_id``, ``product_brand_id``,
+    ``partner_id`` or ``analytic_account_id``."""
     report = sales_lines(tables, p).withColumn("month", month("invoice_date"))
     return pivot_groups(report, ["month", key], ["quantity", "price_subtotal"])
 
 
-def purchase_pivot(tables: Tables, p: PeriodParams) -> DataFrame:
-    """Per invoice date after the first day: untaxed and total.
+def purchase_pivot(tables: Tables, p: PeriodParams, key: str = "invoice_date") -> DataFrame:
+    """Per invoice date, order (``purchase_id``) or ``invoice_id``, of invoices after the first day: untaxed and total.
 
     ``amount_total`` adds the header total of every line and so counts an invoice once per line;
     ``invoice_total`` counts each invoice once.
     """
     report = purchase_lines(tables, p).filter(after_until(F.col("invoice_date"), p.date_from, p.date_to))
-    by_invoice = report.groupBy("invoice_date", "invoice_id").agg(
+    by_invoice = report.groupBy(*dict.fromkeys((key, "invoice_id"))).agg(
         F.sum("amount_untaxed").alias("amount_untaxed"),
         F.sum("amount_total").alias("amount_total"),
         F.max("amount_total").alias("invoice_total"),
     )
-    return by_invoice.groupBy("invoice_date").agg(*_sums(["amount_untaxed", "amount_total", "invoice_total"]))
+    return by_invoice.groupBy(key).agg(*_sums(["amount_untaxed", "amount_total", "invoice_total"]))
+
+
+def journal_pivot_of_lines(tables: Tables, p: PeriodParams, key: str) -> DataFrame:
+    """Per entry (``move_id``) or ``partner_id`` after the first day: number of entries, debit and credit."""
+    moves = tables["account_move"].filter(after_until(F.col("date"), p.date_from, p.date_to))
+    lines = keep_ids(tables["account_move_line"], "journal_id", p.journals).select("move_id", "partner_id", "debit", "credit")
+    lines = lines.join(moves.select(F.col("id").alias("move_id")), "move_id", "left_semi")
+    by_entry = lines.groupBy(*dict.fromkeys((key, "move_id"))).agg(*_sums(["debit", "credit"]))
+    return by_entry.groupBy(key).agg(F.count("*").alias("entries"), *_sums(["debit", "credit"]))
 
 
 def journal_pivot(tables: Tables, p: PeriodParams) -> DataFrame:

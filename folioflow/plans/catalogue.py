@@ -79,12 +79,17 @@ REPORTS: dict[str, Report] = {
         t, replace(LEDGER, with_analytic=True, with_currency=True, posted_only=False, omit_zero=False)
     ),
     "ledger_by_account": lambda t: ledger.ledger_by_account(t, LEDGER),
+    "ledger_detail_filtered": lambda t: ledger.ledger_detail(
+        t, replace(LEDGER, accounts=(1, 2, 5), partners=tuple(range(0, 1000, 2)), analytics=(1, 2, 3))
+    ),
     "ledger_by_account_ifrs": lambda t: ledger.ledger_by_account(t, replace(LEDGER, book="ifrs")),
     "ledger_by_account_text": lambda t: ledger.ledger_by_account_text(t, LEDGER),
     "ledger_by_account_partner": lambda t: ledger.ledger_by_account_partner(t, LEDGER),
     "ledger_by_partner": lambda t: ledger.ledger_by_partner(t, LEDGER),
     "ledger_combined": lambda t: ledger.ledger_combined(t, replace(LEDGER, levels=("account", "account_partner"))),
     "ledger_combined_by_partner": lambda t: ledger.ledger_combined(t, replace(LEDGER, levels=("partner",))),
+    "ledger_combined_plain": lambda t: ledger.ledger_combined(t, LEDGER),
+    "ledger_combined_by_account_partner": lambda t: ledger.ledger_combined(t, replace(LEDGER, levels=("account_partner",))),
     "ledger_combined_v2": lambda t: ledger.ledger_combined_v2(t, replace(LEDGER, levels=("account_partner",))),
     "ledger_combined_v2_by_account": lambda t: ledger.ledger_combined_v2(t, replace(LEDGER, levels=("account",))),
     "ledger_combined_v2_by_partner": lambda t: ledger.ledger_combined_v2(t, replace(LEDGER, levels=("partner",))),
@@ -104,6 +109,7 @@ REPORTS: dict[str, Report] = {
     # journals
     "journal_audit": lambda t: journals.journal_audit(t, PERIOD),
     "journal_audit_labelled": lambda t: journals.journal_audit_labelled(t, PERIOD),
+    "journal_audit_of_journals": lambda t: journals.journal_audit(t, replace(PERIOD, journals=(2, 5))),
     "journal_book_lines": lambda t: journals.journal_book_lines(t, BOOK),
     "journal_book_totals": lambda t: journals.journal_book_totals(t, replace(BOOK, target_move="posted")),
     "journal_book_taxes": lambda t: journals.journal_book_taxes(t, BOOK),
@@ -111,6 +117,7 @@ REPORTS: dict[str, Report] = {
     "journal_book_print_rows_by_entry": lambda t: journals.journal_book_print_rows(t, replace(BOOK, sort_by="move_name")),
     # purchases, sales, margin
     "purchase_lines": lambda t: purchases.purchase_lines(t, PERIOD),
+    "purchase_lines_of_partners": lambda t: purchases.purchase_lines(t, replace(PERIOD, partners=tuple(range(0, 1000, 3)))),
     "purchase_lines_labelled": lambda t: purchases.purchase_lines_labelled(t, PERIOD),
     "sales_lines": lambda t: sales.sales_lines(t, PERIOD),
     "sales_lines_labelled": lambda t: sales.sales_lines_labelled(t, PERIOD),
@@ -125,11 +132,17 @@ REPORTS: dict[str, Report] = {
     # stock and inventory
     "stock_availability": lambda t: inventory.stock_availability(t, STOCK),
     "stock_availability_labelled": lambda t: inventory.stock_availability_labelled(t, STOCK),
+    "stock_availability_filtered": lambda t: inventory.stock_availability(
+        t, StockParams(locations=tuple(range(0, 1000, 2)), products=tuple(range(0, 100_000, 3)))
+    ),
     "stock_availability_search": lambda t: inventory.stock_availability(t, StockParams(search="RING")),
     "inventory_transfers": lambda t: inventory.inventory_transfers(t, YEAR),
     "inventory_categories": lambda t: inventory.inventory_categories(t, ALWAYS),
+    "inventory_categories_year": lambda t: inventory.inventory_categories(t, YEAR),
     "inventory_warehouses": lambda t: inventory.inventory_warehouses(t, ALWAYS),
+    "inventory_warehouses_year": lambda t: inventory.inventory_warehouses(t, YEAR),
     "inventory_locations": lambda t: inventory.inventory_locations(t, ALWAYS),
+    "inventory_locations_year": lambda t: inventory.inventory_locations(t, YEAR),
     "sales_order_totals": lambda t: inventory.sales_order_totals(t),
     "stock_on_hand_as_of": lambda t: inventory.stock_on_hand_as_of(t, END),
     # invoices
@@ -137,6 +150,8 @@ REPORTS: dict[str, Report] = {
     "invoice_journal_summary": lambda t: invoices.invoice_journal_summary(t, replace(INVOICES, journal_names=BRANCHES)),
     "invoice_tax_groups": _tax_groups,
     "invoice_payments": _payments,
+    "invoice_detail_refunds": lambda t: invoices.invoice_detail(t, replace(INVOICES, move_type="out_refund")),
+    "invoice_detail_bills": lambda t: invoices.invoice_detail(t, replace(INVOICES, move_type="in_invoice")),
     "line_amounts": lambda t: invoices.line_amounts(t).drop("line_id"),
     "line_iva_rates": lambda t: invoices.line_iva_rates(t).drop("line_id"),
     "order_links": lambda t: invoices.order_links(t),
@@ -147,11 +162,20 @@ REPORTS: dict[str, Report] = {
     "sales_pivot_by_product": lambda t: pivots.sales_pivot_by_month(t, PERIOD, "product_id"),
     "sales_pivot_by_category": lambda t: pivots.sales_pivot_by_month(t, PERIOD, "categ_id"),
     "sales_pivot_quarters": _quarters,
+    "sales_pivot_by_brand": lambda t: pivots.sales_pivot_by_month(t, PERIOD, "product_brand_id"),
+    "sales_pivot_by_customer": lambda t: pivots.sales_pivot_by_month(t, PERIOD, "partner_id"),
+    "sales_pivot_by_analytic": lambda t: pivots.sales_pivot_by_month(t, PERIOD, "analytic_account_id"),
     "purchase_pivot": lambda t: pivots.purchase_pivot(t, PERIOD),
+    "purchase_pivot_by_order": lambda t: pivots.purchase_pivot(t, PERIOD, "purchase_id"),
+    "purchase_pivot_by_invoice": lambda t: pivots.purchase_pivot(t, PERIOD, "invoice_id"),
     "journal_pivot": lambda t: pivots.journal_pivot(t, PERIOD),
+    "journal_pivot_by_entry": lambda t: pivots.journal_pivot_of_lines(t, PERIOD, "move_id"),
+    "journal_pivot_by_partner": lambda t: pivots.journal_pivot_of_lines(t, PERIOD, "partner_id"),
     "margin_pivot": lambda t: pivots.margin_pivot(t, PERIOD),
     "margin_pivot_by_brand": lambda t: pivots.margin_pivot(t, PERIOD, "product_brand_id"),
     "stock_pivot": lambda t: pivots.stock_pivot(t, STOCK),
+    "stock_pivot_by_product": lambda t: pivots.stock_pivot(t, STOCK, "product_id"),
+    "stock_pivot_by_brand": lambda t: pivots.stock_pivot(t, STOCK, "product_brand_id"),
     "stock_pivot_by_category": lambda t: pivots.stock_pivot(t, STOCK, "categ_id"),
     "list_footers": _footers,
 }
