@@ -46,12 +46,11 @@ _STOCK = ("quantity", "reserved_quantity", "available_qty")
 
 
 def stock_availability(tables: Tables, p: StockParams) -> DataFrame:
-    """Distinct quants with what is left of them after reservations."""
-    return (
-        _quants(tables, p)
-        .select("product_id", "product_brand_id", "location_id", "lot_id", *_STOCK, "categ_id", "product_uom_id")
-        .distinct()
+    """Distinct quants with what is left of them after reservations, by product, location and what is left."""
+    rows = _quants(tables, p).select(
+        "product_id", "product_brand_id", "location_id", "lot_id", *_STOCK, "categ_id", "product_uom_id"
     )
+    return rows.distinct().orderBy("product_id", "location_id", "available_qty", F.asc_nulls_first("lot_id"), "quantity")
 
 
 def stock_availability_labelled(tables: Tables, p: StockParams) -> DataFrame:

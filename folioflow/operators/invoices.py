@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import in_window
@@ -14,9 +14,9 @@ from .taxes import RATE, line_taxes
 
 _TAX_TOTALS = (
     "subtotals array<struct<name:string>>, "
-    "groups_by_subtotal map<string, array<struct<tax_group_name:string, tax_group_amount:double>>>"
+    "groups_by_subtotal map<string, array<struct<tax_group_name:string, tax_group_amount:decimal(18,2)>>>"
 )
-_PAYMENTS = "content array<struct<name:string, amount:double>>"
+_PAYMENTS = "content array<struct<name:string, amount:decimal(18,2)>>"
 
 
 def _invoices(tables: Tables, p: InvoiceParams) -> DataFrame:
@@ -67,7 +67,7 @@ def invoice_journal_summary(tables: Tables, p: InvoiceParams) -> DataFrame:
 
 def invoice_tax_groups(widgets: DataFrame) -> DataFrame:
     """Tax groups under the first subtotal of each invoice's tax totals JSON, an empty list without one."""
-    totals = F.from_json("tax_totals_json", _TAX_TOTALS)
+    totals = _parsed("tax_totals_json", _TAX_TOTALS)
     first = F.get(totals["subtotals"], F.lit(0))["name"]
     groups = F.try_element_at(totals["groups_by_subtotal"], first)
     return widgets.select(
@@ -77,12 +77,18 @@ def invoice_tax_groups(widgets: DataFrame) -> DataFrame:
 
 def invoice_payments(widgets: DataFrame) -> DataFrame:
     """Content of each invoice's payments JSON; ``false`` or a missing content is an empty list."""
-    content = F.from_json("invoice_payments_widget", _PAYMENTS)["content"]
+    content = _parsed("invoice_payments_widget", _PAYMENTS)["content"]
     return widgets.select(
         "move_id", F.coalesce(content, F.array().cast(_array_of(_PAYMENTS))).alias("payments")
     )
 
 
+def _parsed(column: str, schema: str) -> Column:
+    """JSON of the invoice form: ``false``, ``null`` or nothing is no object, and what doesn't parse is an error."""
+    none = F.trim(F.col(column)).isin("false", "null", "")
+    return F.when(~none, F.from_json(column, schema, {"mode": "FAILFAST"}))
+
+
 def _array_of(schema: str) -> str:
     """The last ``array<struct<...>>`` named in a schema text."""
     start = schema.rindex("array<struct<")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.filters import day, in_window, keep_ids
 from ..functions.hierarchy import ancestors, group_members
 from ..functions.joins import lookup
-from ..functions.labels import TOTAL, partner_label, state_label
+from ..functions.labels import NO_PARTNER, TOTAL, partner_label, state_label
 from ..functions.money import european_number, no_amount, or_zero
 from ..params import LedgerParams
 from ..sources.tables import Tables
@@ -146,17 +146,63 @@ def _detail(tables: Tables, p: LedgerParams) -> DataFrame:
 
 
 def ledger_detail(tables: Tables, p: LedgerParams) -> DataFrame:
-    """Lines in the window with account, entry, journal and partner; opening and closing stay empty."""
-    return _detail(tables, p).drop("line_id")
+    """Lines in the window with account, entry, journal and partner; opening and closing stay empty.
+
+    Ordered by date, entry and partner name, lines without a partner last.
+    """
+    order = ["date", "move", F.col("partner") == NO_PARTNER, "partner", "line_id"]
+    return _detail(tables, p).orderBy(*order).drop("line_id")
 
 
 def ledger_by_account(tables: Tables, p: LedgerParams) -> DataFrame:
-    """Per account: opening, movement, closing. Here opening + debit - credit = closing."""
-    return _by_account(tables, p)
+    """Per account, by its code: opening, movement, closing. Here opening + debit - credit = closing."""
+    return _by_account(tables, p).orderBy("code", "account_id")
+
+
+def _entry_sums(tables: Tables, p: LedgerParams) -> DataFrame:
+    """Per (account, partner, entry): what came before the window, and in it net, debit, credit and lines.
+
+    Subtotals of several levels are built from these sums, so together they read the lines once.
+    """
+    date, debit, credit = F.col("date"), F.col(p.debit), F.col(p.credit)
+    lines = _chosen_lines(tables["account_move_line"], p).filter(date <= day(p.date_to))
+    before, inside = date < day(p.date_from), date >= day(p.date_from)
+    return lines.groupBy("account_id", "partner_id", "move_id").agg(
+        or_zero(F.sum(F.when(before, debit - credit))).alias("before"),
+        or_zero(F.sum(F.when(inside, debit - credit))).alias("net"),
+        or_zero(F.sum(F.when(inside, debit))).alias("debit"),
+        or_zero(F.sum(F.when(inside, credit))).alias("credit"),
+        F.count_if(inside).alias("n"),
+    )
+
+
+def _whole(sums: DataFrame) -> DataFrame:
+    """The sums with every column in use. Spark prunes columns for each use apart, and only uses of the same columns share
+    their exchange; no sum reaches the bound."""
+    bound = F.lit("1" + 25 * "0").cast("decimal(28,2)")
+    return sums.filter((F.greatest("before", "net", "debit", "credit") < bound) & (F.col("n") >= 0))
 
 
-def _by_account(tables: Tables, p: LedgerParams, date: Column | None = None) -> DataFrame:
-    rows = _with_account(_window_balances(tables, p, ["account_id"]), tables)
+def _balances_of(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Balances of the keys that have a line in the window, from entry sums."""
+    return (
+        _whole(sums)
+        .groupBy(*keys)
+        .agg(
+            F.sum("before").alias("initial"), F.sum("debit").alias("debit"), F.sum("credit").alias("credit"),
+            (F.sum("before") + F.sum("net")).alias("final"), F.sum("n").alias("n"),
+        )
+        .filter("n > 0")
+        .drop("n")
+    )
+
+
+def _by_account(
+    tables: Tables, p: LedgerParams, date: Column | None = None, sums: DataFrame | None = None
+) -> DataFrame:
+    keys = ["account_id"]
+    balances = _window_balances(tables, p, keys) if sums is None else _balances_of(sums, keys)
+    rows = _with_account(balances, tables)
     return _subtotal_rows(
         rows, p, date, account_id=F.col("account_id"), code=F.col("code"), name=F.col("account_name")
     )
@@ -166,29 +212,26 @@ def ledger_by_account_partner(tables: Tables, p: LedgerParams) -> DataFrame:
     """One row per (account, partner, entry) in the window.
 
     Debit and credit belong to the entry; opening and closing belong to (account, partner) and repeat on
-    each of its entries, so opening + debit - credit is not the closing here.
+    each of its entries, so opening + debit - credit is not the closing here. Ordered by account code and partner.
     """
-    return _by_account_partner(tables, p)
+    return _by_account_partner(tables, p, _entry_sums(tables, p), ordered=True)
 
 
-def _by_account_partner(tables: Tables, p: LedgerParams, date: Column | None = None) -> DataFrame:
+def _by_account_partner(
+    tables: Tables, p: LedgerParams, sums: DataFrame, date: Column | None = None, ordered: bool = False
+) -> DataFrame:
     keys = ["account_id", "partner_id"]
-    balances = _window_balances(tables, p, keys).select(*keys, "initial", "final")
-    entries = (
-        _chosen_lines(tables["account_move_line"], p)
-        .filter(in_window(F.col("date"), p.date_from, p.date_to))
-        .groupBy(*keys, "move_id")
-        .agg(
-            F.sum(or_zero(F.col(p.debit))).alias("debit"), F.sum(or_zero(F.col(p.credit))).alias("credit")
-        )
-    )
+    balances = _balances_of(sums, keys).select(*keys, "initial", "final")
+    entries = _whole(sums).filter("n > 0")
     e, b = entries.alias("e"), balances.alias("b")
     rows = e.join(
         b,
         (F.col("e.account_id") == F.col("b.account_id"))
         & F.col("e.partner_id").eqNullSafe(F.col("b.partner_id")),
-    ).select("e.account_id", "e.partner_id", "e.debit", "e.credit", "b.initial", "b.final")
+    ).select("e.account_id", "e.partner_id", "e.move_id", "e.debit", "e.credit", "b.initial", "b.final")
     rows = _with_partner(_with_account(rows, tables), tables)
+    if ordered:
+        rows = rows.orderBy("code", F.asc_nulls_last("partner_id"), "account_id", "move_id")
     return _subtotal_rows(
         rows,
         p,
@@ -204,13 +247,17 @@ def _by_account_partner(tables: Tables, p: LedgerParams, date: Column | None = N
 def ledger_by_partner(tables: Tables, p: LedgerParams) -> DataFrame:
     """Per partner over all accounts: opening, movement, closing.
 
-    Grouped by the partner itself, which is what the report means to show.
+    Grouped by the partner itself, which is what the report means to show. Ordered by tax number.
     """
-    return _by_partner(tables, p)
+    return _by_partner(tables, p).orderBy(F.asc_nulls_last("vat"), "partner")
 
 
-def _by_partner(tables: Tables, p: LedgerParams, date: Column | None = None) -> DataFrame:
-    rows = _with_partner(_window_balances(tables, p, ["partner_id"]), tables)
+def _by_partner(
+    tables: Tables, p: LedgerParams, date: Column | None = None, sums: DataFrame | None = None
+) -> DataFrame:
+    keys = ["partner_id"]
+    balances = _window_balances(tables, p, keys) if sums is None else _balances_of(sums, keys)
+    rows = _with_partner(balances, tables)
     return _subtotal_rows(rows, p, date, vat=F.col("vat"), partner=F.col("partner"))
 
 
@@ -242,6 +289,7 @@ def _ordered(rows: DataFrame, keys: list[Column]) -> DataFrame:
         _text_key("code"),
         _text_key("partner"),
         F.asc_nulls_first("date"),
+        _text_key("move"),
         F.asc_nulls_first("line_id"),
         F.asc("debit"),
         F.asc("credit"),
@@ -256,12 +304,13 @@ def ledger_combined(tables: Tables, p: LedgerParams) -> DataFrame:
     (partner, code), else (date, entry, partner). The first chosen of these decides.
     """
     parts = []
-    if "account_partner" in p.levels:
-        parts.append(ledger_by_account_partner(tables, p))
+    sums = _entry_sums(tables, p) if "account_partner" in p.levels else None
+    if sums is not None:
+        parts.append(_by_account_partner(tables, p, sums))
     if "account" in p.levels:
-        parts.append(ledger_by_account(tables, p))
+        parts.append(_by_account(tables, p, sums=sums))
     if "partner" in p.levels:
-        parts.append(ledger_by_partner(tables, p))
+        parts.append(_by_partner(tables, p, sums=sums))
     if "partner" in p.levels:
         keys = [_text_key("code"), _text_key("move"), _text_key("partner")]
     elif "account" in p.levels:
@@ -283,10 +332,11 @@ def ledger_combined_v2(tables: Tables, p: LedgerParams) -> DataFrame:
     level = p.levels[0] if p.levels else None
     start = day(p.date_from)
     parts = []
-    if level == "account_partner":
-        parts.append(_by_account_partner(tables, p, start))
+    sums = _entry_sums(tables, p) if level == "account_partner" else None
+    if sums is not None:
+        parts.append(_by_account_partner(tables, p, sums, start))
     if level in ("account", "account_partner"):
-        parts.append(_by_account(tables, p, start))
+        parts.append(_by_account(tables, p, start, sums))
     if level == "partner":
         parts.append(_by_partner(tables, p, start))
     by_entry = [F.asc("date"), _text_key("move")]

@@ -17,8 +17,8 @@ from .taxes import iva_by_line
 PURCHASE_TYPES = ("in_invoice", "in_refund", "in_receipt")
 
 
-def inventory_accounts(tables: Tables) -> DataFrame:
-    """(product_id, account_inventory): the lowest inventory account among the entries of its valuation.
+def inventory_accounts(tables: Tables, products: DataFrame) -> DataFrame:
+    """(product_id, account_inventory) of the ``products``: the lowest inventory account among the entries of its valuation.
 
     Entries are reduced to their lowest inventory account before they meet the layers, so each layer
     stays one row however busy its entry or its product is.
@@ -36,6 +36,7 @@ def inventory_accounts(tables: Tables) -> DataFrame:
         .agg(F.min("code").alias("code"))
     )
     layers = tables["stock_valuation_layer"].select("product_id", F.col("account_move_id").alias("move_id"))
+    layers = layers.join(products, "product_id", "left_semi")
     return layers.join(by_entry, "move_id").groupBy("product_id").agg(F.min("code").alias("account_inventory"))
 
 
@@ -69,16 +70,18 @@ def _purchases(tables: Tables, p: PeriodParams) -> DataFrame:
         F.col("id").alias("order_purchase_id"), F.col("id").alias("purchase_id"), F.col("name").alias("purchase")
     )
     headers = lookup(moves.join(partners, "invoice_partner_id", "left"), orders, "order_purchase_id", "move_id")
+    # Taxes and valuations of all time are cut down to the chosen lines before they are grouped.
+    chosen = lines.select("id", "move_id", "product_id").join(moves.select("move_id"), "move_id", "left_semi")
     products = (
         tables["product_product"]
         .select(F.col("id").alias("product_id"), "product_tmpl_id")
         .join(templates, "product_tmpl_id", "left")
-        .join(inventory_accounts(tables), "product_id", "left")
+        .join(inventory_accounts(tables, chosen.select("product_id")), "product_id", "left")
     )
     return (
         lines.join(headers, "move_id")
         .join(products, "product_id")
-        .join(iva_by_line(tables).withColumnRenamed("line_id", "id"), "id", "left")
+        .join(iva_by_line(tables, chosen.select(F.col("id").alias("line_id"))).withColumnRenamed("line_id", "id"), "id", "left")
     )
 
 

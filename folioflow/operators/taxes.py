@@ -11,8 +11,8 @@ from ..sources.tables import Tables
 RATE = "decimal(9,4)"
 
 
-def line_taxes(tables: Tables) -> DataFrame:
-    """(line_id, tax_id, amount, description, is_iva) for every tax on a line."""
+def line_taxes(tables: Tables, lines: DataFrame | None = None) -> DataFrame:
+    """(line_id, tax_id, amount, description, is_iva) for every tax on a line, or on those with a ``line_id`` in ``lines``."""
     taxes = tables["account_tax"].select(
         F.col("id").alias("tax_id"), "amount", "description", "dian_tax_type_id"
     )
@@ -24,17 +24,19 @@ def line_taxes(tables: Tables) -> DataFrame:
     bearing = tables["account_move_line_account_tax_rel"].select(
         F.col("account_move_line_id").alias("line_id"), F.col("account_tax_id").alias("tax_id")
     )
+    if lines is not None:
+        bearing = bearing.join(lines, "line_id", "left_semi")
     return bearing.join(known, "tax_id")
 
 
-def iva_by_line(tables: Tables) -> DataFrame:
+def iva_by_line(tables: Tables, lines: DataFrame | None = None) -> DataFrame:
     """Per line with taxes: the IVA tax of the lowest id with its rate, all IVA names and the summed rate.
 
     A line may carry several taxes in no given order, so the lowest id stands for "the" IVA.
     """
     iva = F.col("is_iva")
     return (
-        line_taxes(tables)
+        line_taxes(tables, lines)
         .groupBy("line_id")
         .agg(
             F.min(F.when(iva, F.struct("tax_id", "amount"))).alias("first_iva"),

@@ -105,9 +105,9 @@ def trial_balance(tables: Tables, p: BalanceParams) -> DataFrame:
     """Rows per account and analytic account, and per partner where ``by_partner`` is set.
 
     residual = before the window, balance = residual + movement. With ``omit_zero`` a row needs a
-    residual or a balance.
+    residual or a balance. Ordered by account code.
     """
-    return _detail(_rows(tables, p), tables, p)
+    return _detail(_rows(tables, p), tables, p).orderBy(*_row_order(p))
 
 
 def trial_balance_total(tables: Tables, p: BalanceParams) -> DataFrame:

@@ -20,6 +20,8 @@ def refresh_table(report: DataFrame, table: str, month_of: str | None = None) ->
     """Replace a result table, partitioned by the month of a date column where one is given."""
     if month_of is not None:
         report = report.withColumn("month", F.date_format(month_of, "yyyy-MM"))
+        # Months meet in few tasks, and a large month is split again: not a file per task and month.
+        report = report.hint("rebalance", "month")
     writer = report.write.mode("overwrite")
     if month_of is not None:
         writer = writer.partitionBy("month")
@@ -29,8 +31,10 @@ def refresh_table(report: DataFrame, table: str, month_of: str | None = None) ->
 def store_bucketed(rows: DataFrame, table: str, key: str, buckets: int) -> None:
     """Store a large table by ``key``, so that joins of tables stored alike need no shuffle.
 
-    Ledger lines by ``move_id`` and entries by ``id`` is the pair most reports join.
+    Ledger lines by ``move_id`` and entries by ``id`` is the pair most reports join. A join without a shuffle can't be
+    split at run time, so a key with a large share of the rows is better stored without buckets.
     """
+    rows = rows.repartition(buckets, key)
     rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
 
 
