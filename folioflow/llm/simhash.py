@@ -113,7 +113,8 @@ def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
     entries = prints.mapInArrow(ball_entries, "entry long, print long")
     sizes = entries.groupBy("entry").agg(F.count("*").alias("n"))
     shared = keep(sizes.filter("n > 1"), "entries")
-    met = entries.join(shared, "entry")
+    # Both sides grow with the corpus, so the plan is the same at every size.
+    met = entries.join(shared.hint("merge"), "entry")
     groups = met.filter(F.col("n") <= hot).groupBy("entry").agg(F.collect_list("print").alias("prints"))
     # Most groups are the same few fingerprints under another value: each set is compared once.
     small = groups.select(F.array_sort("prints").alias("prints")).distinct().mapInArrow(compare, "a long, b long")
