@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import between_moments, keep_ids
+from ..functions.headers import STOCK, with_headers
 from ..functions.joins import lookup
 from ..params import Ids, InventoryParams, StockParams
 from ..sources.tables import Tables
@@ -64,9 +65,10 @@ def stock_availability_labelled(tables: Tables, p: StockParams) -> DataFrame:
     ):
         names = tables[table].select(F.col("id").alias(key), F.col("name").alias(name))
         rows = lookup(rows, names, key, "product_id")
-    return rows.select(
+    rows = rows.select(
         "product", F.col("variant_code").alias("default_code"), "brand", "location", "lot", "category", "unit", *_STOCK
     ).distinct()
+    return with_headers(rows, STOCK)
 
 
 def _companies(tables: Tables) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import in_window, keep_ids
+from ..functions.headers import AUDIT, with_headers
 from ..functions.joins import lookup
 from ..functions.labels import audit_state_label, entry_label, state_label
 from ..functions.money import or_zero
@@ -60,7 +61,7 @@ def journal_audit_labelled(tables: Tables, p: PeriodParams) -> DataFrame:
     """
     accounts = tables["account_account"].select(F.col("id").alias("account_id"), F.col("code").alias("account"))
     rows = lookup(_audit(tables, p).join(accounts, "account_id", "left"), _partners(tables), "partner_id", "move_id")
-    return (
+    rows = (
         rows.groupBy("date", "move", "vat", "partner", "account", F.col("name_aml").alias("label"), "state")
         .agg(F.sum("debit").alias("debit"), F.sum("credit").alias("credit"))
         .withColumn("state", audit_state_label(F.col("state")))
@@ -69,6 +70,7 @@ def journal_audit_labelled(tables: Tables, p: PeriodParams) -> DataFrame:
             F.asc_nulls_last("partner"), F.asc_nulls_last("vat"), F.asc_nulls_last("label"),
         )
     )
+    return with_headers(rows, AUDIT)
 
 
 def _book(tables: Tables, p: JournalBookParams) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import day, in_window, keep_ids
+from ..functions.headers import LEDGER, with_headers
 from ..functions.hierarchy import ancestors, group_members
 from ..functions.joins import lookup
 from ..functions.labels import NO_PARTNER, TOTAL, partner_label, state_label
@@ -151,7 +152,7 @@ def ledger_detail(tables: Tables, p: LedgerParams) -> DataFrame:
     Ordered by date, entry and partner name, lines without a partner last.
     """
     order = ["date", "move", F.col("partner") == NO_PARTNER, "partner", "line_id"]
-    return _detail(tables, p).orderBy(*order).drop("line_id")
+    return with_headers(_detail(tables, p).orderBy(*order).drop("line_id"), LEDGER)
 
 
 def ledger_by_account(tables: Tables, p: LedgerParams) -> DataFrame:
@@ -294,7 +295,7 @@ def _ordered(rows: DataFrame, keys: list[Column]) -> DataFrame:
         F.asc("debit"),
         F.asc("credit"),
     ]
-    return rows.orderBy(*keys, *ties).drop("_part", "line_id")
+    return with_headers(rows.orderBy(*keys, *ties).drop("_part", "line_id"), LEDGER)
 
 
 def ledger_combined(tables: Tables, p: LedgerParams) -> DataFrame:

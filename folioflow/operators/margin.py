@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import in_window, keep_ids
+from ..functions.headers import MARGIN, with_headers
 from ..functions.labels import COST_PREFIX
 from ..functions.money import ratio, signed
 from ..params import PeriodParams
@@ -99,4 +100,5 @@ def product_margin_labelled(tables: Tables, p: PeriodParams) -> DataFrame:
         .groupBy("product", "default_code", "brand", "cost")
         .agg(F.sum("quantity").alias("quantity"), F.sum("price_subtotal").alias("price_subtotal"))
     )
-    return _with_margin(rows).select("product", "default_code", "brand", *_MARGIN)
+    rows = _with_margin(rows).select("product", "default_code", "brand", *_MARGIN)
+    return with_headers(rows, MARGIN)

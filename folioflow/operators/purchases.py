@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import in_window, keep_ids
+from ..functions.headers import PURCHASES, with_headers
 from ..functions.joins import lookup
 from ..functions.labels import INVENTORY_PREFIX
 from ..functions.money import discount_value, percent, signed
@@ -136,7 +137,7 @@ def purchase_lines_labelled(tables: Tables, p: PeriodParams) -> DataFrame:
     accounts = tables["account_account"].select(F.col("id").alias("account_id"), F.col("code").alias("account"))
     has_taxes = F.col("has_taxes").isNotNull()
     rows = _purchases(tables, p).join(journals, "journal_id", "left").join(accounts, "account_id", "left")
-    return rows.select(
+    rows = rows.select(
         "vat",
         "partner",
         "purchase",
@@ -154,3 +155,4 @@ def purchase_lines_labelled(tables: Tables, p: PeriodParams) -> DataFrame:
         _iva("iva_rate").alias("value_tax"),
         signed(F.col("amount_total"), _is_refund()).alias("amount_total"),
     )
+    return with_headers(rows, PURCHASES)

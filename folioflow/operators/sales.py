@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import in_window, keep_ids
+from ..functions.headers import SALES, with_headers
 from ..functions.joins import lookup
 from ..functions.labels import sold_type_label
 from ..functions.money import signed
@@ -128,7 +129,7 @@ def sales_lines_labelled(tables: Tables, p: PeriodParams) -> DataFrame:
     )
     analytics = _named(tables, "account_analytic_account", "analytic_account_id", "analytic")
     rows = lookup(_sold_lines(tables, headers, products), analytics, "analytic_account_id", "move_id")
-    return rows.select(
+    rows = rows.select(
         "invoice_date",
         "order",
         "invoice",
@@ -148,3 +149,4 @@ def sales_lines_labelled(tables: Tables, p: PeriodParams) -> DataFrame:
         "seller",
         "team",
     )
+    return with_headers(rows, SALES)

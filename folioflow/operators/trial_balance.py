@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.filters import day, keep_ids
+from ..functions.headers import BALANCE, with_headers
 from ..functions.hierarchy import group_members
 from ..functions.labels import TOTAL
 from ..functions.money import or_zero
@@ -107,7 +108,7 @@ def trial_balance(tables: Tables, p: BalanceParams) -> DataFrame:
     residual = before the window, balance = residual + movement. With ``omit_zero`` a row needs a
     residual or a balance. Ordered by account code.
     """
-    return _detail(_rows(tables, p), tables, p).orderBy(*_row_order(p))
+    return with_headers(_detail(_rows(tables, p), tables, p).orderBy(*_row_order(p)), BALANCE)
 
 
 def trial_balance_total(tables: Tables, p: BalanceParams) -> DataFrame:

@@ -44,12 +44,27 @@ def test_no_cross_join_no_python_no_single_task(static_plans, sf_dir, name):
     "name",
     ["trial_balance", "trial_balance_by_partner", "trial_balance_levels", "trial_balance_levels_by_partner",
      "trial_balance_total", "ledger_by_account", "ledger_by_partner", "journal_audit", "journal_audit_labelled",
-     "journal_book_print_rows", "journal_book_totals", "sales_lines", "sales_pivot", "journal_pivot", "ledger_group_rollup"],
+     "journal_book_print_rows", "journal_book_totals", "sales_lines", "sales_pivot", "journal_pivot", "ledger_group_rollup",
+     "ledger_by_account_partner"],
 )
 def test_one_scan_of_the_lines(static_plans, sf_dir, name):
     assert lineitem_scans(static_plans(name, sf_dir)) == 1
 
 
+@pytest.mark.parametrize(
+    "name", ["ledger_combined", "ledger_combined_v2", "ledger_combined_by_account_partner", "partner_subtotals"]
+)
+def test_two_scans_of_the_lines(static_plans, sf_dir, name):
+    """The detail and the subtotals, or two sets of filters."""
+    assert lineitem_scans(static_plans(name, sf_dir)) == 2
+
+
+def test_taxes_and_layers_are_cut_down_before_they_are_grouped(static_plans, sf_dir):
+    """Below the grouping of taxes by line, and of layers by product, is a semi join with the chosen lines."""
+    for name in ("purchase_lines", "purchase_lines_labelled"):
+        assert static_plans(name, sf_dir).count("LeftSemi") >= 4
+
+
 def test_scan_reads_used_columns_and_gets_the_dates(static_plans, sf_dir):
     plan = static_plans("trial_balance_no_analytic", sf_dir)
     (columns,) = re.findall(r"FileScan parquet \[([^\]]*\bl_[^\]]*)\]", plan)
