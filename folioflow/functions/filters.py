@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..params import Ids
 
 
+#: Partition column of stored ledger lines.
+ENTRY_MONTH = "entry_month"
+
+
 def day(value: date) -> Column:
     return F.lit(value).cast("date")
 
@@ -27,6 +31,18 @@ def in_window(column: Column, start: date, end: date) -> Column:
     return column.between(day(start), day(end))
 
 
+def in_months(lines: DataFrame, start: date | None, end: date) -> DataFrame:
+    """Lines of the months of a window, where they are stored by the month of their entry; else all lines.
+
+    A line has its entry's date, so the months only save reading others; the dates still decide.
+    """
+    if ENTRY_MONTH not in lines.columns:
+        return lines
+    if start is not None:
+        lines = lines.filter(F.col(ENTRY_MONTH) >= start.strftime("%Y-%m"))
+    return lines.filter(F.col(ENTRY_MONTH) <= end.strftime("%Y-%m"))
+
+
 def after_until(column: Column, start: date, end: date) -> Column:
     """The analysis screens leave the first day out."""
     return (column > day(start)) & (column <= day(end))

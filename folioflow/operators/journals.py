@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.filters import in_window, keep_ids
+from ..functions.filters import in_months, in_window, keep_ids
 from ..functions.headers import AUDIT, with_headers
 from ..functions.joins import lookup
 from ..functions.labels import audit_state_label, entry_label, state_label
@@ -24,7 +24,7 @@ def _entries_in(tables: Tables, p: PeriodParams) -> DataFrame:
 
 def _audit(tables: Tables, p: PeriodParams) -> DataFrame:
     """Sums at the grain of the ids; the date is the entry's."""
-    lines = keep_ids(tables["account_move_line"], "journal_id", p.journals)
+    lines = keep_ids(in_months(tables["account_move_line"], p.date_from, p.date_to), "journal_id", p.journals)
     lines = lines.select(
         "move_id", "partner_id", "account_id", "journal_id", F.col("name").alias("name_aml"), "debit", "credit"
     )
@@ -80,7 +80,7 @@ def _book(tables: Tables, p: JournalBookParams) -> DataFrame:
     moves = moves.select(
         F.col("id").alias("move_id"), F.col("name").alias("move"), F.col("state").alias("move_state"), "journal_id"
     )
-    lines = tables["account_move_line"].filter(in_window(F.col("date"), p.date_from, p.date_to))
+    lines = in_months(tables["account_move_line"], p.date_from, p.date_to).filter(in_window(F.col("date"), p.date_from, p.date_to))
     return lines.drop("journal_id").withColumnRenamed("name", "label").join(moves, "move_id")
 
 

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.filters import day, in_window, keep_ids
+from ..functions.filters import day, in_months, in_window, keep_ids
 from ..functions.headers import LEDGER, with_headers
 from ..functions.hierarchy import ancestors, group_members
 from ..functions.joins import lookup
@@ -56,7 +56,7 @@ def _balances(lines: DataFrame, keys: Sequence[str], p: LedgerParams, opening: C
 
 def _window_balances(tables: Tables, p: LedgerParams, keys: Sequence[str]) -> DataFrame:
     date = F.col("date")
-    lines = _chosen_lines(tables["account_move_line"], p).filter(date <= day(p.date_to))
+    lines = _chosen_lines(in_months(tables["account_move_line"], None, p.date_to), p).filter(date <= day(p.date_to))
     return (
         _balances(lines, keys, p, date < day(p.date_from), date >= day(p.date_from))
         .filter("n_in_window > 0")
@@ -111,7 +111,7 @@ def _subtotal_rows(rows: DataFrame, p: LedgerParams, date: Column | None = None,
 
 def _detail(tables: Tables, p: LedgerParams) -> DataFrame:
     """Report columns and ``line_id`` for the order."""
-    lines = _chosen_lines(tables["account_move_line"], p).filter(
+    lines = _chosen_lines(in_months(tables["account_move_line"], p.date_from, p.date_to), p).filter(
         in_window(F.col("date"), p.date_from, p.date_to)
     )
     moves = tables["account_move"].select(
@@ -166,7 +166,7 @@ def _entry_sums(tables: Tables, p: LedgerParams) -> DataFrame:
     Subtotals of several levels are built from these sums, so together they read the lines once.
     """
     date, debit, credit = F.col("date"), F.col(p.debit), F.col(p.credit)
-    lines = _chosen_lines(tables["account_move_line"], p).filter(date <= day(p.date_to))
+    lines = _chosen_lines(in_months(tables["account_move_line"], None, p.date_to), p).filter(date <= day(p.date_to))
     before, inside = date < day(p.date_from), date >= day(p.date_from)
     return lines.groupBy("account_id", "partner_id", "move_id").agg(
         or_zero(F.sum(F.when(before, debit - credit))).alias("before"),
@@ -364,7 +364,7 @@ def ledger_detail_with_balances(tables: Tables, p: LedgerParams) -> DataFrame:
     The balances are those of the local book over all companies, states and books.
     """
     keys = ["account_id", "partner_id"]
-    date, lines = F.col("date"), tables["account_move_line"]
+    date, lines = F.col("date"), in_months(tables["account_move_line"], None, p.date_to)
     balances = (
         lines.filter(date <= day(p.date_to))
         .groupBy(*keys)
@@ -373,7 +373,7 @@ def ledger_detail_with_balances(tables: Tables, p: LedgerParams) -> DataFrame:
             F.sum(F.col("debit") - F.col("credit")).alias("final"),
         )
     )
-    chosen = lines.filter(in_window(date, p.date_from, p.date_to)).filter(F.col("ifrs_type") != p.other_book)
+    chosen = in_months(lines, p.date_from, p.date_to).filter(in_window(date, p.date_from, p.date_to)).filter(F.col("ifrs_type") != p.other_book)
     if p.posted_only:
         chosen = chosen.filter(F.col("parent_state") == "posted")
     chosen = keep_ids(keep_ids(chosen, "account_id", p.accounts), "partner_id", p.partners)
@@ -420,10 +420,10 @@ def partner_subtotals(tables: Tables, p: LedgerParams) -> DataFrame:
     The opening obeys the state filter only; in the IFRS book it follows the mapped account
     (``ifrs_account_id``). closing = opening + debit - credit.
     """
-    lines, date = tables["account_move_line"], F.col("date")
+    lines, date = in_months(tables["account_move_line"], None, p.date_to), F.col("date")
     keys = ["account_id", "partner_id"]
     movement = (
-        _chosen_lines(lines, p)
+        _chosen_lines(in_months(lines, p.date_from, p.date_to), p)
         .filter(in_window(date, p.date_from, p.date_to))
         .groupBy(*keys)
         .agg(

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.filters import after_until, keep_ids
+from ..functions.filters import after_until, in_months, keep_ids
 from ..params import PeriodParams, StockParams
 from ..sources.tables import Tables
 from .inventory import stock_availability
@@ -91,7 +91,8 @@ def purchase_pivot(tables: Tables, p: PeriodParams, key: str = "invoice_date") -
 def journal_pivot_of_lines(tables: Tables, p: PeriodParams, key: str) -> DataFrame:
     """Per entry (``move_id``) or ``partner_id`` after the first day: number of entries, debit and credit."""
     moves = tables["account_move"].filter(after_until(F.col("date"), p.date_from, p.date_to))
-    lines = keep_ids(tables["account_move_line"], "journal_id", p.journals).select("move_id", "partner_id", "debit", "credit")
+    lines = in_months(tables["account_move_line"], p.date_from, p.date_to)
+    lines = keep_ids(lines, "journal_id", p.journals).select("move_id", "partner_id", "debit", "credit")
     lines = lines.join(moves.select(F.col("id").alias("move_id")), "move_id", "left_semi")
     by_entry = lines.groupBy(*dict.fromkeys((key, "move_id"))).agg(*_sums(["debit", "credit"]))
     return by_entry.groupBy(key).agg(F.count("*").alias("entries"), *_sums(["debit", "credit"]))
@@ -100,7 +101,8 @@ def journal_pivot_of_lines(tables: Tables, p: PeriodParams, key: str) -> DataFra
 def journal_pivot(tables: Tables, p: PeriodParams) -> DataFrame:
     """Number of entries with lines per date after the first day."""
     moves = tables["account_move"].filter(after_until(F.col("date"), p.date_from, p.date_to))
-    lines = keep_ids(tables["account_move_line"], "journal_id", p.journals).select(
+    lines = in_months(tables["account_move_line"], p.date_from, p.date_to)
+    lines = keep_ids(lines, "journal_id", p.journals).select(
         F.col("move_id").alias("id")
     )
     return moves.select("id", "date").join(lines, "id", "left_semi").groupBy("date").agg(

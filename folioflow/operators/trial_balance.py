@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.filters import day, keep_ids
+from ..functions.filters import day, in_months, keep_ids
 from ..functions.headers import BALANCE, with_headers
 from ..functions.hierarchy import group_members
 from ..functions.labels import TOTAL
@@ -27,7 +27,7 @@ def _not_zero() -> Column:
 
 def _rows(tables: Tables, p: BalanceParams) -> DataFrame:
     """Keys with their amounts and account names, before the other names are joined."""
-    lines = tables["account_move_line"].filter(
+    lines = in_months(tables["account_move_line"], None, p.date_to).filter(
         (F.col("date") <= day(p.date_to)) & F.col("company_id").isin(*p.companies)
     )
     if p.posted_only:

@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.filters import ENTRY_MONTH
+
 LOAD_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -28,6 +30,16 @@ def refresh_table(report: DataFrame, table: str, month_of: str | None = None) ->
     writer.saveAsTable(table)
 
 
+def store_ledger(lines: DataFrame, moves: DataFrame, table: str) -> None:
+    """Store ledger lines by the month of their entry, so that reports of a period read its months only.
+
+    Rows of a month meet before they are written, and a large month is split again: no file per task and month.
+    """
+    months = moves.select(F.col("id").alias("move_id"), F.date_format("date", "yyyy-MM").alias(ENTRY_MONTH))
+    rows = lines.join(months, "move_id").select(*lines.columns, ENTRY_MONTH).hint("rebalance", ENTRY_MONTH)
+    rows.write.mode("overwrite").partitionBy(ENTRY_MONTH).saveAsTable(table)
+
+
 def store_bucketed(rows: DataFrame, table: str, key: str, buckets: int) -> None:
     """Store a large table by ``key``, so that joins of tables stored alike need no shuffle.
 

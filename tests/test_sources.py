@@ -1,11 +1,17 @@
 from datetime import date, datetime
 
 import pytest
+from compare import STAR, connect, differences
+from pyspark.sql import functions as F
 from skewed import write_skewed
 
 from folioflow import BalanceParams, StarTables, Tables
+from folioflow.operators import journals, ledger
 from folioflow.operators.pivots import month
 from folioflow.operators.trial_balance import trial_balance
+from folioflow.params import JournalBookParams, LedgerParams, PeriodParams
+from folioflow.plans.catalogue import run
+from folioflow.plans.oracle import ORACLE
 from folioflow.sources import sinks
 
 P = BalanceParams(date(1998, 1, 1), date(1998, 12, 31), (1, 2))
@@ -90,6 +96,72 @@ def test_tables_stored_by_entry_join_without_a_shuffle(spark, star):
         spark.sql("DROP TABLE IF EXISTS stored_moves")
 
 
+def _files(spark, table):
+    return spark.table(table).inputFiles()
+
+
+def test_partitioned_and_bucketed_tables_have_few_files(spark, star):
+    """Not a file for each task and month, or task and bucket."""
+    report = star["account_move"].select("id", "date").repartition(40)
+    try:
+        sinks.refresh_table(report, "fresh_moves", month_of="date")
+        months = report.selectExpr("date_format(date, 'yyyy-MM') AS m").distinct().count()
+        assert len(_files(spark, "fresh_moves")) <= 2 * months
+        sinks.store_bucketed(report, "stored_moves", "id", 8)
+        assert len(_files(spark, "stored_moves")) == 8
+    finally:
+        spark.sql("DROP TABLE IF EXISTS fresh_moves")
+        spark.sql("DROP TABLE IF EXISTS stored_moves")
+
+
+def test_reports_read_the_months_of_their_window(spark, star):
+    """A ledger stored by entry month gives the same reports and is read by partition."""
+    names = ("account_account", "account_journal", "account_move", "res_partner", "account_analytic_account")
+    window, year = LedgerParams(date(1997, 3, 1), date(1997, 4, 30), (1, 2)), PeriodParams(date(1997, 3, 1), date(1997, 4, 30))
+    try:
+        sinks.store_ledger(star["account_move_line"], star["account_move"], "stored_ledger")
+        stored = Tables.from_frames({n: star[n] for n in names} | {"account_move_line": spark.table("stored_ledger")})
+        for report in (
+            lambda t: ledger.ledger_detail(t, window),
+            lambda t: ledger.ledger_by_account_partner(t, window),
+            lambda t: ledger.partner_subtotals(t, window),
+            lambda t: trial_balance(t, P),
+            lambda t: journals.journal_audit(t, year),
+            lambda t: journals.journal_book_print_rows(t, JournalBookParams(year.date_from, year.date_to)),
+        ):
+            found = report(stored)
+            assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, report(star).collect()), key=str)
+            plan = found._jdf.queryExecution().optimizedPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
+            assert "PartitionFilters: [isnotnull(entry_month" in plan
+        read = ledger.ledger_detail(stored, window).select("date").inputFiles()
+        assert len(read) < len(_files(spark, "stored_ledger"))
+    finally:
+        spark.sql("DROP TABLE IF EXISTS stored_ledger")
+
+
+@pytest.mark.parametrize("name", ["ledger_by_partner", "journal_audit_labelled", "journal_book_print_rows"])
+def test_keys_of_the_largest_scale(spark, sf_dir, tmp_path, name):
+    """Customer keys above 10^10 don't meet suppliers, entry keys above 10^12 keep their names apart."""
+    for table in STAR:
+        df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        for key, wide in (("c_custkey", f"c_custkey + {10**10}"), ("o_custkey", f"o_custkey + {10**10}"), ("o_orderkey", f"o_orderkey * 13 + {10**14}"), ("l_orderkey", f"l_orderkey * 13 + {10**14}")):
+            if key in df.columns:
+                df = df.withColumn(key, F.expr(wide))
+        df.coalesce(1).write.parquet(str(tmp_path / f"{table}.parquet"))
+    tables = StarTables(spark, str(tmp_path))
+    partners = tables["res_partner"]
+    assert partners.select("id").distinct().count() == partners.count()
+    named = tables["account_move"].filter("name <> '/'")
+    assert named.select("name").distinct().count() == named.count()
+    assert differences(run(name, spark, str(tmp_path)), connect(str(tmp_path)), ORACLE[name]) is None
+
+
+def test_a_file_with_too_many_rows_is_refused(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr("folioflow.sources.star._ROWS_PER_FILE", 100)
+    with pytest.raises(Exception, match="too many rows"):
+        StarTables(spark, sf_dir)["account_move_line"].select("id").collect()
+
+
 @pytest.mark.parametrize("file_format", ["parquet", "csv"])
 def test_export(spark, star, tmp_path, file_format):
     report = star["account_journal"]
