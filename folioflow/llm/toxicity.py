@@ -172,7 +172,8 @@ def choose(docs: list[list[int]], terms: list[str], clean_with: list[int], toxic
     chosen: list[int] = []
     gain = {t: evidence(len(own), clean_with[t], toxic, clean) for t, own in holders.items()}
     while gain and len(chosen) < TERMS:
-        t = max(gain, key=lambda t: (gain[t], -t))
+        # Of equal evidence the longest term, which other words are least likely to share.
+        t = max(gain, key=lambda t: (gain[t], len(terms[t]), -t))
         own = holders[t]
         now = evidence(sum(1 for d in own if left[d]), clean_with[t], toxic, clean)
         if now < gain[t] - 1e-9 or now < EVIDENCE:
