@@ -101,10 +101,8 @@ def test_by_entry_an_entry_shows_its_further_dates(spark):
 
 
 @pytest.mark.parametrize("sort_by", ["date", "move_name"])
-def test_print_rows_against_a_loop(spark, star, sort_by, monkeypatch):
-    """The page loop of the printed book, over the same sorted lines, with chunks of a few rows."""
-    monkeypatch.setattr(journals, "_LINES_PER_CHUNK", 3)
-    monkeypatch.setattr(journals, "_ENTRIES_PER_CHUNK", 5)
+def test_print_rows_against_a_loop(spark, star, sort_by):
+    """The page loop of the printed book, over the same sorted lines."""
     p = replace(BOOK, sort_by=sort_by)
     types = {r.id: r.type for r in star["account_journal"].collect()}
     want = []

@@ -210,6 +210,22 @@ def test_widgets(spark):
     assert paid == {1: [("p", 3.5)], 2: [], 3: []}
 
 
+@pytest.mark.parametrize("text", ['{"content":[{"name":"p","amount":3.5', "[1,", "nonsense", '{"content":[{"name":"p","amount":"much"}]}'])
+def test_broken_json_is_an_error(spark, text):
+    widgets = spark.createDataFrame([(1, text, text)], "move_id bigint, tax_totals_json string, invoice_payments_widget string")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        invoices.invoice_payments(widgets).collect()
+
+
+def test_widget_money_is_exact(spark):
+    widgets = spark.createDataFrame(
+        [(1, '{"content":[{"name":"p","amount":1234567890123.45}]}'), (2, None), (3, " false "), (4, "null"), (5, "")],
+        "move_id bigint, invoice_payments_widget string",
+    )
+    paid = {r.move_id: [c.amount for c in r.payments] for r in invoices.invoice_payments(widgets).collect()}
+    assert paid == {1: [Decimal("1234567890123.45")], 2: [], 3: [], 4: [], 5: []}
+
+
 def test_header_takes_the_lowest_order_of_its_lines(spark):
     others = {
         "sale_order_line": ("id bigint, order_id bigint", [(11, 6), (12, 5)]),
