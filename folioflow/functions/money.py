@@ -52,7 +52,7 @@ def european_number(amount: Column) -> Column:
 
 def two_decimals(amount: Column) -> Column:
     """1234.5 -> ``1234.50``."""
-    return F.format_string("%.2f", amount)
+    return amount.cast("decimal(38,2)").cast("string")
 
 
 def thousands_text(amount: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.filters import between_moments, keep_ids
 from ..functions.headers import STOCK, with_headers
 from ..functions.joins import lookup
+from ..functions.labels import code_and_name
 from ..params import Ids, InventoryParams, StockParams
 from ..sources.tables import Tables
 
@@ -54,6 +55,15 @@ def stock_availability(tables: Tables, p: StockParams) -> DataFrame:
     return rows.distinct().orderBy("product_id", "location_id", "available_qty", F.asc_nulls_first("lot_id"), "quantity")
 
 
+def product_labels(tables: Tables) -> DataFrame:
+    """Products as lists name them: ``[code] name``, or the name alone."""
+    templates = tables["product_template"].select(F.col("id").alias("product_tmpl_id"), "name")
+    products = tables["product_product"].select(F.col("id").alias("product_id"), "product_tmpl_id", "default_code")
+    return products.join(templates, "product_tmpl_id").select(
+        "product_id", code_and_name(F.col("default_code"), F.col("name")).alias("label")
+    )
+
+
 def stock_availability_labelled(tables: Tables, p: StockParams) -> DataFrame:
     """The same with names; quants that read the same are listed once."""
     rows = _quants(tables, p)

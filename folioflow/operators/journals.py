@@ -9,7 +9,7 @@ from ..functions.filters import in_months, in_window, keep_ids
 from ..functions.headers import AUDIT, with_headers
 from ..functions.joins import lookup
 from ..functions.labels import audit_state_label, entry_label, state_label
-from ..functions.money import or_zero
+from ..functions.money import or_zero, two_decimals
 from ..functions.sequences import with_previous_row
 from ..params import JournalBookParams, PeriodParams
 from ..sources.tables import Tables
@@ -117,6 +117,13 @@ def journal_book_totals(tables: Tables, p: JournalBookParams) -> DataFrame:
     )
 
 
+def journal_book_totals_text(tables: Tables, p: JournalBookParams) -> DataFrame:
+    """The totals as the book prints them, with two decimals."""
+    return journal_book_totals(tables, p).select(
+        "journal_id", two_decimals(F.col("debit")).alias("debit"), two_decimals(F.col("credit")).alias("credit")
+    )
+
+
 def journal_book_taxes(tables: Tables, p: JournalBookParams) -> DataFrame:
     """Per journal and tax: base of the lines bearing the tax, amount of the lines generated by it.
 

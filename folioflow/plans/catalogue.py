@@ -112,6 +112,7 @@ REPORTS: dict[str, Report] = {
     "journal_audit_of_journals": lambda t: journals.journal_audit(t, replace(PERIOD, journals=(2, 5))),
     "journal_book_lines": lambda t: journals.journal_book_lines(t, BOOK),
     "journal_book_totals": lambda t: journals.journal_book_totals(t, replace(BOOK, target_move="posted")),
+    "journal_book_totals_text": lambda t: journals.journal_book_totals_text(t, replace(BOOK, target_move="posted")),
     "journal_book_taxes": lambda t: journals.journal_book_taxes(t, BOOK),
     "journal_book_print_rows": lambda t: journals.journal_book_print_rows(t, BOOK),
     "journal_book_print_rows_by_entry": lambda t: journals.journal_book_print_rows(t, replace(BOOK, sort_by="move_name")),
@@ -131,6 +132,7 @@ REPORTS: dict[str, Report] = {
     "product_margin_labelled": lambda t: margin.product_margin_labelled(t, PERIOD),
     # stock and inventory
     "stock_availability": lambda t: inventory.stock_availability(t, STOCK),
+    "product_labels": lambda t: inventory.product_labels(t),
     "stock_availability_labelled": lambda t: inventory.stock_availability_labelled(t, STOCK),
     "stock_availability_filtered": lambda t: inventory.stock_availability(
         t, StockParams(locations=tuple(range(0, 1000, 2)), products=tuple(range(0, 100_000, 3)))
