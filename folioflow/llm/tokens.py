@@ -15,7 +15,6 @@ import json
 import os
 import re
 import struct
-import sys
 import uuid
 import zlib
 from array import array
@@ -37,10 +36,9 @@ DOCS_PER_FILE = 8192
 END_ID = 0
 #: Blocks that are encoded or decoded at a time.
 RUN = 64
-#: Chunks of text whose ids a worker remembers.
+#: Chunks of text whose ids a task remembers.
 REMEMBERED = 600_000
 
-_IRREGULAR = re.compile(r"\s\s|[^\S \n]|<\|")
 #: A word of Latin letters, perhaps with a mark after it: one piece, or two.
 _WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 _MARKS = ".,:;!?"
@@ -56,11 +54,16 @@ def byte_letters() -> dict[int, str]:
 _LETTERS = byte_letters()
 
 
+def regular(text: str) -> bool:
+    """Whether all white space is single spaces and line feeds between other characters, and no special token can be in it."""
+    return " ".join(text.split()) == text.replace("\n", " ") and "<|" not in text
+
+
 class Encoder:
     """Ids of whole texts by a byte-level tokenizer of the tokenizers library.
 
     Its pre-tokenizer never joins text across a single space or line feed between other characters (a space starts the
-    next piece, a line feed is a piece), so chunks between these are encoded once and remembered by the worker. A text
+    next piece, a line feed is a piece), so chunks between these are encoded once and remembered by the task. A text
     with other white space or what may be a special token is encoded as a whole.
     """
 
@@ -68,11 +71,9 @@ class Encoder:
         import tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        # A worker serves many tasks; what it knows stays with the library's module.
-        known = sys.modules["tokenizers"].__dict__.setdefault("_known_chunks", {})
-        if path not in known:
-            known[path] = (tokenizers.Tokenizer.from_file(path), {}, {})
-        self.tokenizer, self.spaced, self.bare = known[path]
+        self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        self.spaced: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
         self.line = self._ids(["\n"])[0]
         self.marks = dict(zip(_MARKS, self._ids(list(_MARKS)), strict=True))
 
@@ -99,7 +100,7 @@ class Encoder:
         if len(self.spaced) + len(self.bare) > REMEMBERED:
             self.spaced.clear()
             self.bare.clear()
-        split = [None if _IRREGULAR.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        split = [[line.split(" ") for line in t.split("\n")] if regular(t) else None for t in texts]
         first, later = set(), set()
         for lines in split:
             for words in lines or ():
