@@ -6,10 +6,17 @@ import html
 import re
 from dataclasses import dataclass
 
-# Fixed values of HTML: elements that begin and end blocks, that have no content, and whose content isn't text.
-BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul video".split())
+# Fixed values of HTML: elements that begin and end blocks, that have no content, whose content has no tags and isn't shown,
+# that hold elements of another language, and that stand for a picture or a player where one can be shown.
+BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template title iframe svg math object audio video canvas".split())
+RAW = frozenset("script style noscript title iframe".split())
+FOREIGN = frozenset("svg math".split())
+EMBEDDED = FOREIGN | frozenset("object audio video canvas".split())
+#: On the stack these are muted: templates, and raw elements of a drawing, where they are elements like any other.
+MUTED = RAW | {"template"}
+#: Blocks that enclose text.
+HOLDS = BLOCK - MUTED
 #: Elements that an opening tag ends, up to the nearest of the elements that hold them.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
@@ -41,55 +48,76 @@ def names_of(attributes: str) -> tuple[str, ...]:
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The blocks of a page in order. Character references are decoded, white space is one space; scripts, styles, titles
-    and the like have no text; what is never closed ends with what encloses it, or with the page."""
+    """The blocks of a page in order. Character references are decoded, white space is one space; scripts, styles, titles,
+    frames and templates have no text, all else has. What is never closed ends with what encloses it, or with the page; so
+    does a drawing or player. Only a script, style, title or frame without an end reaches to the end of the page."""
     page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], int]] = []
     parts: list[str] = []
     linked = links = at = count = 0
+    muted: int | None = None  # place of the outermost muted element of the stack
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                own = [x for x in stack if x[0] in BLOCK]
+                own = [x for x in stack if x[0] in HOLDS]
                 out.append(Block(text, tuple(x[0] for x in own), tuple(x[1] for x in own), min(1.0, linked / len(text)), own[-1][2] if own else 0))
             parts.clear()
         linked = 0
 
     def say(text: str) -> None:
         nonlocal linked
-        if text:
+        if text and muted is None:
             text = html.unescape(text) if "&" in text else text
             parts.append(text)
             linked += len(text.strip()) if links else 0
 
     def pop(place: int) -> None:
-        nonlocal links
+        nonlocal links, muted
         links -= sum(1 for x in stack[place:] if x[0] == "a")
+        muted = None if muted is not None and place <= muted else muted
         del stack[place:]
 
+    def foreign() -> bool:
+        """Whether the next element is one of a drawing or formula."""
+        near = next((x[0] for x in reversed(stack) if x[0] in FOREIGN or x[0] == "foreignobject" or x[0] in HOLDS), "")
+        return near in FOREIGN
+
     while (m := _TAG.search(page, at)) is not None:
         say(page[at : m.start()])
         at, name = m.end(), (m["name"] or "").lower()
         if not name:
             continue
         if m["end"]:
+            place = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            if muted is not None and (place is None or place >= muted):
+                if place is not None:
+                    pop(place)
+                continue
             if name in BLOCK or name == "br":
                 flush() if name != "br" else parts.append(" ")
-            place = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            elif name in EMBEDDED:
+                parts.append(" ")
             # An inline element's end doesn't reach beyond the block it is in.
-            if place is not None and (name in BLOCK or not any(x[0] in BLOCK for x in stack[place:])):
+            if place is not None and (name in BLOCK or not any(x[0] in HOLDS for x in stack[place:])):
                 pop(place)
             continue
-        if name in SILENT:
+        if name in EMBEDDED or name in MUTED:
+            parts.append(" ")
+        if name not in VOID and m["attributes"].endswith("/") and (name in FOREIGN or foreign()):
+            continue
+        if name in MUTED and (name == "template" or foreign()):
+            muted = len(stack) if muted is None else muted
+        elif name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
             at = len(page) if end is None else end.start()
-            parts.append(" ")
             continue
-        if name in BLOCK:
+        elif muted is not None:
+            pass
+        elif name in BLOCK:
             flush()
             ended, holders = ENDS.get(name, (set(), set()))
             for k in range(len(stack) - 1, -1, -1):

@@ -33,6 +33,35 @@ def test_blocks(page, expected):
     assert [b.text for b in blocks(page)] == expected
 
 
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        # Only raw text runs to its end tag; a drawing or player that is closed at once or never loses nothing.
+        ("<div><p>a<svg width='1'/>b</p><p>c</p></div><svg><path/></svg>d", ["a b", "c", "d"]), ("<div><svg/>a</div><p>b", ["a", "b"]), ("<p>a<math/>b", ["a b"]),
+        *((f"<div><p>a<{n} src='x'>b</p><p>c</p></div><p>d</p>", ["a b", "c", "d"]) for n in ("video", "audio", "object", "canvas", "svg", "math")),
+        *((f"<p>a<{n}></{n}>b</p>", ["a b"]) for n in ("video", "audio", "object", "canvas", "svg", "math")),
+        ("<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p>", ["let x=1 be"]), ("<div><object data='x'><p>fallback</p></object><p>a</div>", ["fallback", "a"]),
+        ("<p>a<video controls/>b</p><p>c", ["a b", "c"]), ("<div><canvas><p>a</p></div>b", ["a", "b"]),
+        # Titles, styles and scripts of a drawing are without text, closed or not, and so are templates.
+        ("<p>a<svg><title>t</title><style/><g/><style>.x{}</style></svg>b<p>c", ["a b", "c"]), ("<div><svg><title>t</svg>a</div>b", ["a", "b"]), ("<p>a<svg><script/></svg>b", ["a b"]),
+        ("<ul><li>a<template><li>x<a>y</a></template>b</ul>c", ["a b", "c"]), ("<div>a<template><div>x</div>y</div>b", ["a", "b"]), ("<p>a<template><div>x</template>b", ["a b"]),
+        ("<svg><foreignObject><div>a<p/>b</div></foreignObject></svg>c", ["a", "b", "c"]), ("<p>a<iframe>x<p></iframe>b", ["a", "b"]), ("<div>a<script/>b</div>", ["a"]),
+        ("<p>a" + "<svg><path/>" * 300 + "b<p>c", ["a b", "c"]),
+    ],
+)
+def test_embedded_elements_lose_no_text(page, expected):
+    assert [b.text for b in blocks(page)] == expected
+
+
+def test_article_with_a_player_keeps_its_text(chain):
+    page = "<html><body><article><h1>On tides</h1><p>{0}</p><p>First {0}{1} then {0}</p><p>Second {0}</p></article></body></html>"
+    words = "the sea rises and falls twice a day, and every harbour has a table that says when it does so."
+    whole = extraction.main_text(chain, page.format(words, ""))
+    assert whole.count(words) == 4
+    for tag in ("<svg viewBox='0'/>", "<video src='x'>", "<object data='x'>", "<canvas>", "<audio src='x'>", "<math/>"):
+        assert " ".join(extraction.main_text(chain, page.format(words, tag)).split()) == " ".join(whole.split()), tag
+
+
 def test_blocks_know_what_encloses_them():
     (a, b) = blocks('<body><nav class="top menu-2"><li><a href="/">x y</a></nav><p>z<a>z</a>')
     assert a.tags == ("body", "nav", "li") and a.names == ((), ("top", "menu"), ()) and a.link == 1.0
