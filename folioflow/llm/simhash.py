@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .store import keep, prepare
 
@@ -51,15 +52,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, print) of every row; a null text has no words."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, print long"
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, columns of ``also``, print) of every row; a null text has no words."""
+    rows = docs.select("doc_id", *also, F.col("text").cast("string").alias("text"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("print", T.LongType())])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column("text")), np.uint64, batch.num_rows)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "print"])
+            yield batch.drop_columns("text").append_column("print", pa.array(found.view(np.int64)))
 
     return rows.mapInArrow(measure, schema)
 
@@ -149,20 +150,26 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def grouped(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, columns of ``also``, print, root, component_id) of every row; each component has a ``root`` of its own, also
+    where components share a component_id or have none."""
+    prepare(docs.sparkSession)
+    rows = keep(fingerprints(docs, shingle, also), "prints")
+    distinct = keep(rows.groupBy("print").agg(F.min("doc_id").alias("first")), "distinct")
+    roots = components(links(distinct.select("print"), hot))
+    labelled = keep(distinct.join(roots, distinct.print == roots.node, "left").select("print", "first", F.coalesce("root", "print").alias("root")), "roots")
+    heads = keep(labelled.groupBy("root").agg(F.min("first").alias("component_id")), "heads")
+    names = keep(labelled.join(heads, "root").select("print", "root", "component_id"), "names")
+    return rows.join(names, "print").select("doc_id", *also, "print", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
     """(doc_id, print, component_id) of every row; a component's id is the smallest doc_id that links reach.
 
     Null texts and texts without words have fingerprint 0 and link like any other. Rows of one doc_id stay rows; a null
     doc_id is the smallest of a component only if there is no other. An empty table gives an empty one.
     """
-    prepare(docs.sparkSession)
-    rows = keep(fingerprints(docs, shingle), "prints")
-    distinct = keep(rows.groupBy("print").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(distinct.select("print"), hot))
-    labelled = keep(distinct.join(roots, distinct.print == roots.node, "left").select("print", "first", F.coalesce("root", "print").alias("root")), "roots")
-    heads = keep(labelled.groupBy("root").agg(F.min("first").alias("component_id")), "heads")
-    names = keep(labelled.join(heads, "root").select("print", "component_id"), "names")
-    return rows.join(names, "print").select("doc_id", "print", "component_id")
+    return grouped(docs, shingle, hot).select("doc_id", "print", "component_id")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
@@ -172,8 +179,21 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents with one of each component: its smallest doc_id, and of equal rows one, with the columns of ``docs``."""
-    kept = near_duplicates(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    return found.dropDuplicates(["doc_id"])
+    """The documents with one row of each component, with the columns of ``docs``.
+
+    It is that with the smallest doc_id, null last; of several such rows that with the smallest text, then the smallest
+    other columns. Rows are told apart by a number that is written with them, so components that share a doc_id or have
+    none keep a row each.
+    """
+    rows = keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    lead = grouped(rows, also=("_row",), **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    lead = keep(lead.select("root", "_row"), "lead")
+    # Written, so that Spark knows how few roots have several such rows: only their texts are compared.
+    least = keep(lead.groupBy("root").agg(F.count("*").alias("n"), F.min("_row").alias("_row")), "least")
+    tied = keep(lead.join(least.filter("n > 1").select("root"), "root"), "tied")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rest = F.to_json(F.struct(*own)).alias("rest")
+    texts = rows.select("_row", F.col("text").cast("string").alias("text"), rest).join(tied, "_row")
+    first = texts.groupBy("root").agg(F.min(F.struct("text", "rest", "_row")).alias("first")).select("first._row")
+    kept = least.filter("n = 1").select("_row").union(first)
+    return rows.join(kept, "_row", "left_semi").select(*own)

@@ -108,3 +108,23 @@ def test_empty_table(spark):
 def test_query(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted((tuple(r) for r in op6_simhash(spark, sf_dir).collect()), key=str) == plain(rows)
+
+
+def test_one_row_of_each_component_without_or_with_equal_ids(spark):
+    """Different texts under a null doc_id and under equal doc_ids all stay; of near-duplicates one row does, the same on every run."""
+    rng = random.Random(3)
+    words = lambda: [f"v{rng.randrange(10**6)}" for _ in range(300)]
+    single = [(i, " ".join(words()), "s") for i in [None] * 40 + [7] * 20 + [8]]
+    copies = [(None, " ".join(words()), "s")] * 3
+    mixed = " ".join(words())
+    base = words()
+    close = sorted({" ".join([*base[:k], *base[k + 1 :]]) for k in range(0, 300, 60)} | {" ".join(base)})
+    groups = plain_components([plain_fingerprint(t) for t in close])
+    kept_close = [(9, min(t for t in close if groups[plain_fingerprint(t)] == root), "s") for root in set(groups.values())]
+    rows = single + copies + [(None, mixed, "a"), (7, mixed, "z"), (7, mixed, "b"), (11, mixed, "a")] + [(9, t, "s") for t in close]
+    expected = sorted([*single, copies[0], (7, mixed, "b"), *kept_close], key=str)
+    for parts in (5, 2):
+        docs = spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id long, text string, source string").repartition(parts)
+        found = simhash.one_of_each(docs)
+        assert found.columns == docs.columns
+        assert sorted((tuple(r) for r in found.collect()), key=str) == expected
