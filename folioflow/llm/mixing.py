@@ -145,16 +145,16 @@ def place_in_order(seed: str = SEED) -> Column:
 
 
 def pattern_of(members: Column | None) -> Column:
-    return F.array_sort(F.array_distinct(F.array("source") if members is None else members))
+    return F.array_sort(F.array_distinct(F.array("source") if members is None else F.coalesce(members, F.array())))
 
 
 def decide(docs: DataFrame, weights=None, members: Column | None = None, most: int = 3, seed: str = SEED):
     """Sizes of the rows, the decision for each pattern (passes over it, last place of the rest), and words and target of
     each source.
 
-    ``members`` is an array of sources, by default the one in ``source``; null is a source of its own. ``weights`` maps
-    the sorted sources, null last, to weights, by default 1, 2, 3, 1, 2, 3 and so on. A null text has no words; rows of
-    one doc_id are taken alike; an empty table gives an empty mix. The driver holds a number per membership pattern.
+    ``members`` is an array of sources, by default the one in ``source``; null is a source of its own. No array
+    is an empty one: nothing is taken of a document without sources. ``weights`` maps the sorted sources, null last, to
+    weights, by default 1, 2, 3, 1, 2, 3 and so on. A null text has no words; rows of one doc_id are taken alike; an empty table gives an empty mix. The driver holds a number per membership pattern.
     """
     spark = prepare(docs.sparkSession)
     rows = keep(sizes(docs, pattern_of(members), place_in_order(seed)), "sizes")
@@ -174,13 +174,22 @@ def copies(u: Column) -> Column:
     return F.col("passes") + (u <= F.col("last")).cast("long")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: doc_id, size, source_size and target of its source, and the words the mix takes of it."""
-    rows, decided, words, wanted = decide(docs, **options)
-    per_source = [([s], int(words[s]), float(wanted[s])) for s in words]
-    per_source = docs.sparkSession.createDataFrame(per_source, "pattern array<string>, source_size long, target double")
+def mix(docs: DataFrame, members: Column | None = None, **options) -> DataFrame:
+    """One row per document: doc_id, size, source_size and target of its source, and the words the mix takes of it.
+
+    With ``members``, ``sources`` has the document's sources in order, null last, and source_size and target are arrays
+    with a value for each of them.
+    """
+    rows, decided, words, wanted = decide(docs, members=members, **options)
+    patterns = [[s] for s in words] if members is None else [r[0] for r in decided.select("pattern").collect()]
+    numbers = [(p, [int(words[s]) for s in p], [float(wanted[s]) for s in p]) for p in patterns]
+    schema = T.StructType([rows.schema["pattern"], T.StructField("source_size", T.ArrayType(T.LongType())), T.StructField("target", T.ArrayType(T.DoubleType()))])
+    per_pattern = docs.sparkSession.createDataFrame(numbers, schema)
     taken = (F.col("size") * copies(F.col("u"))).alias("taken")
-    return rows.join(decided, "pattern").join(per_source, "pattern").select("doc_id", "size", "source_size", "target", taken)
+    found = rows.join(decided, "pattern").join(per_pattern, "pattern")
+    if members is None:
+        return found.select("doc_id", "size", F.col("source_size")[0].alias("source_size"), F.col("target")[0].alias("target"), taken)
+    return found.select("doc_id", F.col("pattern").alias("sources"), "size", "source_size", "target", taken)
 
 
 def mixed_documents(docs: DataFrame, seed: str = SEED, members: Column | None = None, **options) -> DataFrame:

@@ -75,6 +75,27 @@ def test_overlapping_sources(spark):
     assert sorted((r.pattern, r.passes, r["last"]) for r in decided.collect()) == [(["a"], 1, -1), (["a", "b"], 1, -1), (["b"], 1, -1)]
 
 
+def test_mix_has_a_row_for_every_pattern(spark):
+    """Documents of one, several, null and no sources: none goes, and each has the numbers of its own sources."""
+    rows = [(k, "w " * 10, ["a"]) for k in range(10)] + [(100 + k, "w " * 10, ["b", "a"]) for k in range(30)] + [(200 + k, "w " * 10, ["b", "b"]) for k in range(5)]
+    rows += [(300, "w " * 10, [None, "a"]), (301, "w w", []), (302, "w w w", None), (None, "w", ["c", None, "b"]), (None, "w", ["c", None, "b"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, of array<string>").repartition(3)
+    _, _, words, wanted = mixing.decide(docs, members=F.col("of"))
+    assert words == {"a": 410, "b": 352, "c": 2, None: 12}
+    found = mixing.mix(docs, members=F.col("of")).collect()
+    known = {r.doc_id: r for r in found}
+    assert sorted(str(r.doc_id) for r in found) == sorted(str(r[0]) for r in rows)
+    for doc_id, text, of in rows:
+        own = sorted(set(of or []), key=lambda s: (s is None, s or ""))
+        r = known[doc_id]
+        assert (r.sources, r.size, r.source_size, r.target) == (own, size(text), [words[s] for s in own], [wanted[s] for s in own])
+        assert 0 <= r.taken <= 3 * r.size and (own or r.taken == 0)
+    taken = mixing.mixed_documents(docs, members=F.col("of")).collect()
+    assert sum(size(r.text) for r in taken) == sum(r.taken for r in found) > 0
+    empty = mixing.mix(docs.limit(0), members=F.col("of"))
+    assert empty.collect() == [] and empty.columns == ["doc_id", "sources", "size", "source_size", "target", "taken"]
+
+
 @pytest.mark.parametrize(("patterns", "wanted", "expected"), [
     ({("a",): 10}, {"a": 10.0}, {("a",): 10}), ({("a",): 10}, {"a": 25.0}, {("a",): 25}), ({("a",): 10}, {"a": 90.0}, {("a",): 30}),
     ({("a",): 10, ("a", "b"): 10}, {"a": 15.0, "b": 5.0}, {("a",): 10, ("a", "b"): 10}), ({("a",): 0}, {"a": 0.0}, {("a",): 0}),
