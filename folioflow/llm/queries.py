@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, extraction, mixing, orderhash, secrets, simhash, suffixes, tokens, toxicity, warc
+from . import decontaminate, extraction, lines, merkle, mixing, negatives, orderhash, secrets, simhash, suffixes, tokens, toxicity, warc
 
 #: File of a public tokenizer, named by its place in the installed package of vocabularies.
 TOKENIZER = "byte_bpe_50k.json"
@@ -62,6 +62,22 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_ownership, op2_suffix_dedup, op3_toxicity, op4_decontaminate, op5_order_minhash, op6_simhash, op7_token_files, op8_html_text, op9_warc, op10_mix)
-}
+    f.__name__: f
+    for f in (
+        op1_secret_ownership, op2_suffix_dedup, op3_toxicity, op4_decontaminate, op5_order_minhash, op6_simhash, op7_token_files,
+        op8_html_text, op9_warc, op10_mix, op11_line_dedup, op12_hard_negatives, op13_merkle,
+    )
+}

@@ -127,4 +127,109 @@ select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0):
 from docs left join per_row using (row)
 """
 
-SQL: dict[str, str] = {"op1_secret_ownership": OP1, "op4_decontaminate": OP4, "op9_warc": OP9, "op10_mix": OP10}
+OP11 = r"""
+with docs as (select row_number() over () as row, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+each as (
+  select row, i, lines[i] as line,
+    trim(translate(lines[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as key
+  from (select row, lines, unnest(range(1, len(lines) + 1)) as i from docs)),
+common as (select key from each where key <> '' group by key having count(distinct row) >= 10),
+kept as (
+  select row, count(common.key) as n_dropped, string_agg(line, chr(10) order by i) filter (common.key is null) as text
+  from each left join common using (key) group by row)
+select doc_id, len(lines)::bigint as n_lines, n_dropped::bigint as n_dropped, sha256(coalesce(text, '')) as kept_sha256
+from docs join kept using (row)
+"""
+
+OP12 = r"""
+with clean as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score
+  from clean a join clean b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+ranked as (
+  select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as rank,
+    vec_id as negative_id, positive_score, score as negative_score
+  from positives join scored using (anchor_id)
+  where not same and 80 * positive_score <= 100 * score and score <= positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from ranked where rank <= 5
+"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(v) for v in ("doc_id::varchar", "source", "lang", "n_chars::varchar", text)) + ")"
+
+
+def _levels(name: str, n: int) -> str:
+    """Levels 0 to n of a tree over (g, k, n, node), and the siblings before and after each node of a level."""
+    parts = []
+    for i in range(n):
+        parts.append(f"""
+{name}{i}_around as (
+  select a.g, a.k, coalesce(string_agg(b.node, '' order by b.k) filter (b.k < a.k), '') as before,
+    coalesce(string_agg(b.node, '' order by b.k) filter (b.k > a.k), '') as after
+  from {name}{i} a join {name}{i} b on a.g = b.g and a.k // 16 = b.k // 16 where a.n > 1 group by a.g, a.k),
+{name}{i + 1} as (
+  select g, k // 16 as k, (n + 15) // 16 as n, sha256(string_agg(node, '' order by k)) as node
+  from {name}{i} where n > 1 group by g, k // 16, (n + 15) // 16
+  union all select g, k, n, node from {name}{i} where n = 1),""")
+    return "".join(parts)
+
+
+def _fold(name: str, n: int, rows: str, key: str, place: str, proof: str, node: str, out: str) -> str:
+    """Rows with their siblings appended to ``proof`` and ``node`` folded, level by level."""
+    parts = []
+    for i in range(n):
+        source = rows if i == 0 else f"{out}{i - 1}"
+        parts.append(f"""
+{out}{i} as (
+  select r.* replace ({proof} || coalesce(before || after, '') as {proof},
+    case when before is null then {node} else sha256(before || {node} || after) end as {node})
+  from {source} r left join {name}{i}_around a on a.g = r.{key} and a.k = r.{place} // {16**i}),""")
+    return "".join(parts)
+
+
+_LEVELS, _SOURCE_LEVELS = 8, 4
+OP13 = f"""
+with crc as (
+  select row, list_reduce(
+    flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda c, x: case when x >= 0 then xor(c, x) when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, 4294967295::bigint) as state
+  from (select row_number() over () as row, doc_id from documents)),
+rows as (
+  select row_number() over () as row, doc_id, case when source is null then '0' else '1' || source end as g, {_leaf("text")} as leaf,
+    {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as changed
+  from documents),
+leaves as (
+  select doc_id, g, leaf, case when xor(state, 4294967295) % 5 = 0 then changed else leaf end as folded, '' as proof,
+    row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as k, count(*) over (partition by g) as n
+  from rows left join crc using (row)),
+t0 as (select g, k, n, leaf as node from leaves),{_levels("t", _LEVELS)}
+s0 as (select 'all' as g, row_number() over (order by g) - 1 as k, count(*) over () as n, node, g as source from t{_LEVELS}),
+s0_names as (select source, k as place, node as subroot from s0),
+u0 as (select g, k, n, node from s0),{_levels("u", _SOURCE_LEVELS)}{_fold("t", _LEVELS, "leaves", "g", "k", "proof", "folded", "f")}
+placed as (select f.*, 'all' as every, place, subroot from f{_LEVELS - 1} f join s0_names on source = f.g),{_fold("u", _SOURCE_LEVELS, "placed", "every", "place", "proof", "folded", "v")}
+root as (select node as root from u{_SOURCE_LEVELS})
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, folded as folded_root, folded = root as verified from v{_SOURCE_LEVELS - 1}, root
+"""
+
+SQL: dict[str, str] = {
+    "op1_secret_ownership": OP1,
+    "op4_decontaminate": OP4,
+    "op9_warc": OP9,
+    "op10_mix": OP10,
+    "op11_line_dedup": OP11,
+    "op12_hard_negatives": OP12,
+    "op13_merkle": OP13,
+}

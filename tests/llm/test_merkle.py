@@ -1,0 +1,118 @@
+import hashlib
+import zlib
+
+import pytest
+
+from folioflow.llm import merkle
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def h(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def leaf(row, text):
+    return h("".join("-" if x is None else f"{len(str(x).encode())}:{x}" for x in (row[0], row[1], row[2], row[3], text)))
+
+
+def levels_of(nodes):
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        last = levels[-1]
+        levels.append([h("".join(last[k : k + 16])) for k in range(0, len(last), 16)])
+    return levels
+
+
+def way(levels, k):
+    """(siblings before, siblings after) of node k, level by level."""
+    out = []
+    for nodes in levels[:-1]:
+        a = k // 16 * 16
+        out.append(("".join(nodes[a:k]), "".join(nodes[k + 1 : a + 16])))
+        k //= 16
+    return out
+
+
+def plain(rows):
+    """Whole trees in memory."""
+    by = {}
+    for row in rows:
+        by.setdefault(row[1], []).append((row, leaf(row, row[4])))
+    names = sorted(by, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {}
+    for s in names:
+        by[s].sort(key=lambda x: (x[0][0] is not None, x[0][0] or 0, x[1]))
+        trees[s] = levels_of([x[1] for x in by[s]])
+    top = levels_of([trees[s][-1][0] for s in names])
+    out = []
+    for at, s in enumerate(names):
+        for k, (row, own) in enumerate(by[s]):
+            steps = way(trees[s], k) + way(top, at)
+            node = own
+            if row[0] is not None and zlib.crc32(str(row[0]).encode()) % 5 == 0:
+                node = leaf(row, row[4] if row[4] is None else row[4].translate(LOWER))
+            for before, after in steps:
+                node = h(before + node + after)
+            out.append((row[0], own, trees[s][-1][0], top[-1][0], h("".join(a + b for a, b in steps)), node, node == top[-1][0]))
+    return sorted(out, key=str)
+
+
+def ours(spark, rows):
+    docs = spark.createDataFrame([(*r, 1, "own", 2.5) for r in rows], "doc_id long, source string, lang string, n_chars long, text string, pos int, grp string, node double")
+    docs = docs.withColumnRenamed("node", "a.b").repartition(5)
+    return sorted((tuple(r) for r in merkle.report(docs).collect()), key=str)
+
+
+def sized(**sizes):
+    rows, at = [], 0
+    for source, n in sizes.items():
+        for _ in range(n):
+            rows.append((at, None if source == "none" else source.replace("empty", ""), "en" if at % 3 else None, at * 7, f"Text {at} of É" if at % 11 else None))
+            at += 1
+    return rows
+
+
+@pytest.mark.parametrize("levels", [1, 3])
+def test_by_whole_trees(spark, monkeypatch, levels):
+    monkeypatch.setattr(merkle, "BLOCK_LEVELS", levels)
+    rows = sized(none=20, empty=1, a=1, b=2, c=16, d=17, e=255, f=257, ü=300)
+    rows += [(None, "a", None, None, None), (None, "a", None, None, "x"), (7, "a", "en", 1, "Twice"), (7, "a", "en", 1, "Twice"), (7, "a", "en", 1, "other"), (8, "z", "", 0, ""), (9, "z", None, None, "A" * 100_000)]
+    assert ours(spark, rows) == plain(rows)
+
+
+def test_many_sources_and_several_rounds(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "BLOCK_LEVELS", 1)
+    rows = sized(**{f"s{k:03}": 1 + k % 3 for k in range(300)}, big=4500)
+    assert ours(spark, rows) == plain(rows)
+
+
+@pytest.mark.parametrize("n", [1, 2, 16, 17])
+def test_one_source(spark, n):
+    rows = sized(only=n)
+    got = ours(spark, rows)
+    assert got == plain(rows)
+    if n == 1:
+        assert got[0][1] == got[0][2] == got[0][3]
+
+
+def test_tampering_shows(spark):
+    got = ours(spark, sized(a=200, b=3))
+    changed = {r[0] for r in got if not r[6]}
+    assert changed == {k for k in range(203) if zlib.crc32(str(k).encode()) % 5 == 0 and k % 11}
+
+
+def test_empty_table(spark):
+    assert ours(spark, []) == []
+
+
+def test_open_subtrees_get_their_witnesses_when_siblings_complete():
+    tree = merkle.Subtree()
+    nodes = [h(str(k)) for k in range(40)]
+    for k, node in enumerate(nodes):
+        tree.append(node)
+        assert len(tree.parts[0]) == (k + 1) // 16 * 16
+    root = tree.finish(2)
+    assert root == levels_of(nodes)[-1][0]
+    for k, node in enumerate(nodes):
+        assert merkle.folded(node, *tree.witness(k, 2)) == root
