@@ -20,7 +20,7 @@ from .store import keep, prepare
 #: What is stripped at both ends of a line.
 WHITE = " \t\n\x0b\x0c\r"
 LEAST_DOCS = 10
-#: Lines of a range, about; lines that are looked at for frequent keys; and the part of them from which a key is sliced.
+#: Lines of a range at most, about; lines that are looked at for frequent keys; and the part of them from which a key is sliced.
 RANGE, SAMPLE, SHARE = 1_000_000, 1_000_000, 1 / 2000
 
 
@@ -38,15 +38,16 @@ def line_keys(text: Column) -> Column:
     return F.transform(F.split(lower, "\n", -1), hashed)
 
 
-def frequent(lines: DataFrame, total: int) -> DataFrame:
+def frequent(lines: DataFrame, total: int, n: int) -> DataFrame:
     """(h, g, slices) of keys with many lines, at most 1 / SHARE of them, by a sample of rows.
 
-    It only decides how keys are cut into tasks; a key it misses or adds changes no result.
+    A slice has about a quarter of the lines of a range, of which there are ``n``. It only decides how keys are cut into
+    tasks; a key it misses or adds changes no result.
     """
     part = min(1.0, SAMPLE / max(total, 1))
     least = max(2.0, SHARE * part * total)
     seen = lines.sample(part, 1).groupBy("h", "g").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    return seen.select("h", "g", (F.floor(F.col("n") / (part * RANGE / 4)) + 2).cast("int").alias("slices"))
+    return seen.select("h", "g", F.ceil(F.col("n") * (4 * n / (part * max(total, 1)))).cast("int").alias("slices"))
 
 
 def streamed(lines: DataFrame, n: int) -> DataFrame:
@@ -63,7 +64,7 @@ def marked(lines: DataFrame, total: int) -> DataFrame:
     """Every line (h, g, row, pos) with n_docs, the number of rows that have its key, and whether it is the key's first."""
     conf = lines.sparkSession.conf.get("spark.sql.shuffle.partitions")
     n = max(int(conf), math.ceil(total / RANGE))
-    hot = keep(frequent(lines, total), "frequent")
+    hot = keep(frequent(lines, total, n), "frequent")
     # Hashes are even, so ranges of equal width are ranges of about equal size.
     plain = F.shiftright(F.shiftrightunsigned("h", 32) * F.lit(n).cast("long"), 32).cast("int")
     piece = F.pmod(F.xxhash64("row"), "slices").cast("int")
