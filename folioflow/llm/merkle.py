@@ -221,7 +221,8 @@ def manifest(docs: DataFrame, changed: Column | None = None) -> DataFrame:
     leaf = leaf_of()
     other = F.lit(None).cast("string") if changed is None else changed
     rows = docs.select(F.col("source").cast("string").alias("grp"), F.col("doc_id").cast("long").alias("doc_id"), leaf.alias("node"), other.alias("changed"))
-    leaves = keep(numbered(rows, "grp", "doc_id", "node"), "leaves")
+    # Written first: sorting into ranges reads its rows twice, and texts are to be read and hashed once.
+    leaves = keep(numbered(keep(rows, "hashes"), "grp", "doc_id", "node"), "leaves")
     subroots, rounds = tree(leaves)
     sources = keep(numbered(subroots.select(F.lit("").alias("all"), F.col("grp").alias("of"), "node"), "all", "of"), "sources")
     tops, top_rounds = tree(sources.select(F.col("all").alias("grp"), "pos", "n", "node"))
