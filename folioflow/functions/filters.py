@@ -12,6 +12,8 @@ from ..params import Ids
 
 #: Partition column of stored ledger lines.
 ENTRY_MONTH = "entry_month"
+#: Its value for lines that have no month in common with their entry.
+OTHER_MONTH = "other"
 
 
 def day(value: date) -> Column:
@@ -32,15 +34,18 @@ def in_window(column: Column, start: date, end: date) -> Column:
 
 
 def in_months(lines: DataFrame, start: date | None, end: date) -> DataFrame:
-    """Lines of the months of a window, where they are stored by the month of their entry; else all lines.
+    """Lines of the months of a window, where they are stored by month; else all lines.
 
-    A line has its entry's date, so the months only save reading others; the dates still decide.
+    Lines with another date than their entry are always among them. The months only save reading others; the dates still
+    decide.
     """
     if ENTRY_MONTH not in lines.columns:
         return lines
+    month = F.col(ENTRY_MONTH)
+    inside = month <= end.strftime("%Y-%m")
     if start is not None:
-        lines = lines.filter(F.col(ENTRY_MONTH) >= start.strftime("%Y-%m"))
-    return lines.filter(F.col(ENTRY_MONTH) <= end.strftime("%Y-%m"))
+        inside = inside & (month >= start.strftime("%Y-%m"))
+    return lines.filter(month.isNotNull() & (inside | (month == OTHER_MONTH)))
 
 
 def after_until(column: Column, start: date, end: date) -> Column:

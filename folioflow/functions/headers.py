@@ -47,10 +47,9 @@ STOCK = {
 
 def with_headers(report: DataFrame, labels: dict[str, str]) -> DataFrame:
     """The report with the label of each column in its metadata, under ``label``; columns that aren't shown have none."""
-    for name in report.columns:
-        if name in labels:
-            report = report.withMetadata(name, {"label": labels[name]})
-    return report
+    # One projection: a column at a time would analyse the whole plan again for each.
+    columns = [(name, F.col(f"`{name}`")) for name in report.columns]
+    return report.select(*[c.alias(name, metadata={"label": labels[name]}) if name in labels else c for name, c in columns])
 
 
 def headers(report: DataFrame) -> dict[str, str]:

@@ -10,7 +10,7 @@ from ..functions.joins import lookup
 from ..functions.money import line_subtotal, or_zero, percent, thousands_text
 from ..params import InvoiceParams
 from ..sources.tables import Tables
-from .taxes import RATE, line_taxes
+from .taxes import RATE, currency_step, line_taxes, no_rules, rules_by_line, with_tax_totals
 
 _TAX_TOTALS = (
     "subtotals array<struct<name:string>>, "
@@ -123,6 +123,37 @@ def line_amounts(tables: Tables) -> DataFrame:
     )
 
 
+def line_amounts_by_rules(tables: Tables, bearing: str = "account_move_line_account_tax_rel") -> DataFrame:
+    """Per line: subtotal after discount, tax and total, by the rules of every kind of tax.
+
+    Taxes may be a percentage, an amount per unit, a share of the amount with tax, or a group of taxes; be in the price or
+    not; and raise the base of later ones. They are computed on the price before discount; the discount is taken off the
+    amount without taxes. Amounts are rounded to the step of the line's currency, two decimals without one. ``bearing``
+    names the table of a line's taxes; a NULL price or quantity is zero.
+    """
+    steps = tables["res_currency"].select(F.col("id").alias("currency_id"), "rounding")
+    price, quantity = or_zero(F.col("price_unit")), or_zero(F.col("quantity"))
+    lines = tables["account_move_line"].select(
+        F.col("id").alias("line_id"), "move_id", F.col("name").alias("line"), "product_id", "currency_id",
+        price.alias("price_unit"), quantity.alias("quantity"), or_zero(F.col("discount")).cast("decimal(9,4)").alias("discount"),
+    )
+    rows = lookup(lines, steps, "currency_id", "line_id").join(rules_by_line(tables, bearing), "line_id", "left")
+    rows = rows.withColumns({"step": currency_step(F.col("rounding")), "rules": F.coalesce("rules", no_rules())})
+    rows = with_tax_totals(rows, F.col("rules"), F.col("price_unit"), F.col("quantity"), F.col("step"))
+    bare = F.size("rules") == 0
+    before = F.when(bare, F.col("price_unit") * F.col("quantity")).otherwise(F.col("excluded"))
+    kept = (before * (100 - F.col("discount")) * percent()).cast("decimal(28,10)")
+    tax = F.col("included") - F.col("excluded")
+
+    def money(amount: Column) -> Column:
+        return (F.round(amount / F.col("step"), 0) * F.col("step")).cast("decimal(18,4)")
+
+    return rows.select(
+        "line_id", "move_id", "line", "product_id", money(kept).alias("price_subtotal"), tax.cast("decimal(18,4)").alias("price_tax"),
+        money(kept + tax).alias("price_total"),
+    )
+
+
 def line_iva_rates(tables: Tables) -> DataFrame:
     """Per line: its IVA rates as printed on the invoice, in the order of the taxes."""
     rates = (

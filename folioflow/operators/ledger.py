@@ -2,7 +2,8 @@
 
 The subtotals read the lines up to ``date_to`` once: opening, movement and closing are conditional sums
 of one partial + final aggregation, and names are joined to the small result. Ledger subtotals list the
-keys that have a line inside the window (a key with an opening only does not appear).
+keys that have a line inside the window (a key with an opening only does not appear). Where balances of
+closed months are kept (``sources.balances``), they stand for the lines before the window's first month.
 
 Foreign keys of the lines are taken as valid, so entries are only joined where a report shows them.
 """
@@ -16,11 +17,13 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import day, in_months, in_window, keep_ids
 from ..functions.headers import LEDGER, with_headers
-from ..functions.hierarchy import ancestors, group_members
+from ..functions.hierarchy import group_members, rolled_up
 from ..functions.joins import lookup
 from ..functions.labels import NO_PARTNER, TOTAL, partner_label, state_label
 from ..functions.money import european_number, no_amount, or_zero
+from ..functions.sequences import with_running_sum
 from ..params import LedgerParams
+from ..sources.balances import lines_until
 from ..sources.tables import Tables
 
 
@@ -56,7 +59,7 @@ def _balances(lines: DataFrame, keys: Sequence[str], p: LedgerParams, opening: C
 
 def _window_balances(tables: Tables, p: LedgerParams, keys: Sequence[str]) -> DataFrame:
     date = F.col("date")
-    lines = _chosen_lines(in_months(tables["account_move_line"], None, p.date_to), p).filter(date <= day(p.date_to))
+    lines = _chosen_lines(lines_until(tables, p.date_from, p.date_to), p).filter(date <= day(p.date_to))
     return (
         _balances(lines, keys, p, date < day(p.date_from), date >= day(p.date_from))
         .filter("n_in_window > 0")
@@ -110,7 +113,7 @@ def _subtotal_rows(rows: DataFrame, p: LedgerParams, date: Column | None = None,
 
 
 def _detail(tables: Tables, p: LedgerParams) -> DataFrame:
-    """Report columns and ``line_id`` for the order."""
+    """Report columns, ``line_id`` for the order, and ``net``, debit - credit."""
     lines = _chosen_lines(in_months(tables["account_move_line"], p.date_from, p.date_to), p).filter(
         in_window(F.col("date"), p.date_from, p.date_to)
     )
@@ -143,7 +146,8 @@ def _detail(tables: Tables, p: LedgerParams) -> DataFrame:
         "final": no_amount(),
         "state": state_label(F.col("move_state")),
     }
-    return rows.select(*[cells.get(c, F.col(c)).alias(c) for c in _columns(p)], F.col("id").alias("line_id"))
+    net = (F.col(p.debit) - F.col(p.credit)).alias("net")
+    return rows.select(*[cells.get(c, F.col(c)).alias(c) for c in _columns(p)], F.col("id").alias("line_id"), net)
 
 
 def ledger_detail(tables: Tables, p: LedgerParams) -> DataFrame:
@@ -152,7 +156,7 @@ def ledger_detail(tables: Tables, p: LedgerParams) -> DataFrame:
     Ordered by date, entry and partner name, lines without a partner last.
     """
     order = ["date", "move", F.col("partner") == NO_PARTNER, "partner", "line_id"]
-    return with_headers(_detail(tables, p).orderBy(*order).drop("line_id"), LEDGER)
+    return with_headers(_detail(tables, p).orderBy(*order).drop("line_id", "net"), LEDGER)
 
 
 def ledger_by_account(tables: Tables, p: LedgerParams) -> DataFrame:
@@ -166,7 +170,7 @@ def _entry_sums(tables: Tables, p: LedgerParams) -> DataFrame:
     Subtotals of several levels are built from these sums, so together they read the lines once.
     """
     date, debit, credit = F.col("date"), F.col(p.debit), F.col(p.credit)
-    lines = _chosen_lines(in_months(tables["account_move_line"], None, p.date_to), p).filter(date <= day(p.date_to))
+    lines = _chosen_lines(lines_until(tables, p.date_from, p.date_to), p).filter(date <= day(p.date_to))
     before, inside = date < day(p.date_from), date >= day(p.date_from)
     return lines.groupBy("account_id", "partner_id", "move_id").agg(
         or_zero(F.sum(F.when(before, debit - credit))).alias("before"),
@@ -277,7 +281,7 @@ def _text_key(column: str) -> Column:
 
 def _combine(tables: Tables, p: LedgerParams, parts: list[DataFrame]) -> DataFrame:
     """Detail, then subtotal parts; ``_part`` and ``line_id`` make the order total."""
-    rows = _detail(tables, p).withColumn("_part", F.lit(len(parts)))
+    rows = _detail(tables, p).drop("net").withColumn("_part", F.lit(len(parts)))
     for number, part in enumerate(parts):
         rows = rows.unionByName(part.withColumn("_part", F.lit(number)), allowMissingColumns=True)
     return rows
@@ -355,7 +359,7 @@ def tax_ledger_order(tables: Tables, p: LedgerParams) -> DataFrame:
     rows = _detail(tables, p)
     return rows.orderBy(
         _text_key("code"), _text_key("partner"), F.asc("date"), _text_key("move"), F.asc("line_id")
-    ).drop("line_id")
+    ).drop("line_id", "net")
 
 
 def ledger_detail_with_balances(tables: Tables, p: LedgerParams) -> DataFrame:
@@ -364,9 +368,9 @@ def ledger_detail_with_balances(tables: Tables, p: LedgerParams) -> DataFrame:
     The balances are those of the local book over all companies, states and books.
     """
     keys = ["account_id", "partner_id"]
-    date, lines = F.col("date"), in_months(tables["account_move_line"], None, p.date_to)
+    date, lines = F.col("date"), tables["account_move_line"]
     balances = (
-        lines.filter(date <= day(p.date_to))
+        lines_until(tables, p.date_from, p.date_to).filter(date <= day(p.date_to))
         .groupBy(*keys)
         .agg(
             F.sum(F.when(date < day(p.date_from), F.col("debit") - F.col("credit"))).alias("initial"),
@@ -420,7 +424,7 @@ def partner_subtotals(tables: Tables, p: LedgerParams) -> DataFrame:
     The opening obeys the state filter only; in the IFRS book it follows the mapped account
     (``ifrs_account_id``). closing = opening + debit - credit.
     """
-    lines, date = in_months(tables["account_move_line"], None, p.date_to), F.col("date")
+    lines, date = tables["account_move_line"], F.col("date")
     keys = ["account_id", "partner_id"]
     movement = (
         _chosen_lines(in_months(lines, p.date_from, p.date_to), p)
@@ -430,7 +434,7 @@ def partner_subtotals(tables: Tables, p: LedgerParams) -> DataFrame:
             F.sum(or_zero(F.col(p.debit))).alias("debit"), F.sum(or_zero(F.col(p.credit))).alias("credit")
         )
     )
-    before = lines.filter(date < day(p.date_from))
+    before = lines_until(tables, p.date_from, p.date_from, net=False).filter(date < day(p.date_from))
     if p.posted_only:
         before = before.filter(F.col("parent_state") == "posted")
     opening = before.groupBy(*keys).agg(
@@ -474,6 +478,21 @@ def partner_subtotals(tables: Tables, p: LedgerParams) -> DataFrame:
     )
 
 
+def ledger_running_balance(tables: Tables, p: LedgerParams) -> DataFrame:
+    """Lines in the window, each with the balance of its account after it.
+
+    The balance starts at the account's opening and adds debit - credit in the order of date, entry and label, so that of
+    an account's last line is its closing; a line with one side NULL adds nothing, as in the subtotals. Ordered by
+    account code.
+    """
+    order = [F.col(c) for c in ("date", "move", "line", "debit", "credit", "line_id")]
+    rows = with_running_sum(_detail(tables, p), "net", "running", ["account_id"], order)
+    openings = _window_balances(tables, p, ["account_id"]).select(F.col("account_id").alias("_account"), F.col("initial").alias("_opening"))
+    rows = rows.join(openings, rows["account_id"] == openings["_account"]).withColumn("balance", F.col("_opening") + F.col("running"))
+    rows = rows.orderBy("code", "account_id", *order).select(*[c for c in _columns(p) if c not in ("initial", "final")], "balance")
+    return with_headers(rows, LEDGER)
+
+
 def ledger_group_rollup(tables: Tables, p: LedgerParams) -> DataFrame:
     """Account subtotals rolled up to their account group and on to each parent group.
 
@@ -486,16 +505,8 @@ def ledger_group_rollup(tables: Tables, p: LedgerParams) -> DataFrame:
         .groupBy("account_id")
         .agg(F.max_by("group_id", "prefix_length").alias("id"))
     )
-    rolled = (
-        accounts.select("account_id", *amounts)
-        .join(direct, "account_id")
-        .join(ancestors(groups), "id")
-        .groupBy("ancestor_id")
-        .agg(*[F.sum(a).alias(a) for a in amounts])
-        .join(groups.select(F.col("id").alias("ancestor_id"), "code", "name"), "ancestor_id")
-        .select(
-            F.lit(True).alias("bold"), F.lit(True).alias("group"),
-            F.col("ancestor_id").alias("account_id"), "code", "name", *amounts,
-        )
+    sums = rolled_up(groups, accounts.select("account_id", *amounts).join(direct, "account_id"), amounts)
+    rolled = sums.join(groups.select("id", "code", "name"), "id").select(
+        F.lit(True).alias("bold"), F.lit(True).alias("group"), F.col("id").alias("account_id"), "code", "name", *amounts
     )
     return accounts.unionByName(rolled).orderBy("code", F.desc("group"))

@@ -1,7 +1,8 @@
 """Trial balance: opening residual, movement and balance per account, analytic account and partner.
 
 One scan of the lines up to ``date_to`` gives the key set, the residual and the movement together. All
-those lines make keys, whatever their book; only the lines of the book add amounts.
+those lines make keys, whatever their book; only the lines of the book add amounts. Balances of closed
+months, where they are kept, stand for the lines before the window's first month.
 """
 
 from __future__ import annotations
@@ -9,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.filters import day, in_months, keep_ids
+from ..functions.filters import day, keep_ids
 from ..functions.headers import BALANCE, with_headers
 from ..functions.hierarchy import group_members
 from ..functions.labels import TOTAL
 from ..functions.money import or_zero
 from ..params import BalanceParams
+from ..sources.balances import lines_until
 from ..sources.tables import Tables
 
 AMOUNTS = ("residual", "debit", "credit", "balance")
@@ -27,7 +29,7 @@ def _not_zero() -> Column:
 
 def _rows(tables: Tables, p: BalanceParams) -> DataFrame:
     """Keys with their amounts and account names, before the other names are joined."""
-    lines = in_months(tables["account_move_line"], None, p.date_to).filter(
+    lines = lines_until(tables, p.date_from, p.date_to, net=False).filter(
         (F.col("date") <= day(p.date_to)) & F.col("company_id").isin(*p.companies)
     )
     if p.posted_only:

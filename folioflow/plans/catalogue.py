@@ -23,6 +23,7 @@ from ..params import (
 from ..functions.hierarchy import child_of
 from ..session import prepare
 from ..sources import StarTables, Tables
+from ..sources.balances import BalanceCube, month_balances, with_cube
 
 FROM, TO = date(1998, 1, 1), date(1998, 12, 31)
 START, END = datetime(1998, 1, 1), datetime(1998, 12, 31, 23, 59, 59)
@@ -38,6 +39,11 @@ STOCK = StockParams()
 ALWAYS = InventoryParams()
 YEAR = InventoryParams(START, END)
 
+# A window that begins and ends inside a month, and the first month that isn't closed.
+PART_FROM, PART_TO, OPEN = date(1998, 2, 10), date(1998, 11, 20), date(1998, 4, 1)
+PART_LEDGER = LedgerParams(PART_FROM, PART_TO, COMPANIES)
+PART_BALANCE = BalanceParams(PART_FROM, PART_TO, COMPANIES)
+
 Report = Callable[[Tables], DataFrame]
 
 
@@ -72,6 +78,11 @@ def _quarters(t: Tables) -> DataFrame:
     return pivots.pivot_table(report, ["invoice_user_id"], "quarter", ["q1", "q2", "q3", "q4"], "price_subtotal")
 
 
+def _kept(t: Tables) -> Tables:
+    """The tables with the balances of closed months beside them."""
+    return with_cube(t, BalanceCube(month_balances(t["account_move_line"]), OPEN))
+
+
 REPORTS: dict[str, Report] = {
     # ledger
     "ledger_detail": lambda t: ledger.ledger_detail(t, LEDGER),
@@ -98,6 +109,14 @@ REPORTS: dict[str, Report] = {
     "partner_subtotals_ifrs": lambda t: ledger.partner_subtotals(t, replace(LEDGER, book="ifrs")),
     "ledger_group_rollup": lambda t: ledger.ledger_group_rollup(t, LEDGER),
     "tax_ledger_order": lambda t: ledger.tax_ledger_order(t, LEDGER),
+    "ledger_running_balance": lambda t: ledger.ledger_running_balance(t, LEDGER),
+    # with balances of closed months
+    "ledger_by_account_from_months": lambda t: ledger.ledger_by_account(_kept(t), PART_LEDGER),
+    "ledger_by_account_partner_from_months": lambda t: ledger.ledger_by_account_partner(_kept(t), PART_LEDGER),
+    "ledger_detail_with_balances_from_months": lambda t: ledger.ledger_detail_with_balances(_kept(t), PART_LEDGER),
+    "partner_subtotals_from_months": lambda t: ledger.partner_subtotals(_kept(t), PART_LEDGER),
+    "trial_balance_from_months": lambda t: trial_balance.trial_balance(_kept(t), PART_BALANCE),
+    "trial_balance_by_partner_from_months": lambda t: trial_balance.trial_balance(_kept(t), replace(PART_BALANCE, by_partner=True)),
     # trial balance
     "trial_balance": lambda t: trial_balance.trial_balance(t, BALANCE),
     "trial_balance_ifrs": lambda t: trial_balance.trial_balance(t, replace(BALANCE, book="ifrs", omit_zero=False)),
@@ -155,6 +174,7 @@ REPORTS: dict[str, Report] = {
     "invoice_detail_refunds": lambda t: invoices.invoice_detail(t, replace(INVOICES, move_type="out_refund")),
     "invoice_detail_bills": lambda t: invoices.invoice_detail(t, replace(INVOICES, move_type="in_invoice")),
     "line_amounts": lambda t: invoices.line_amounts(t).drop("line_id"),
+    "line_amounts_by_rules": lambda t: invoices.line_amounts_by_rules(t, "account_move_line_tax_mix_rel").drop("line_id"),
     "line_iva_rates": lambda t: invoices.line_iva_rates(t).drop("line_id"),
     "order_links": lambda t: invoices.order_links(t),
     "order_links_lines": lambda t: invoices.order_links_lines(t).drop("line_id"),

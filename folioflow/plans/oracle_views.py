@@ -14,7 +14,7 @@ VIEWS: dict[str, str] = {
         select -1 - s_suppkey, s_name, concat('S', cast(s_suppkey as varchar)), s_nationkey, null from supplier""",
     "res_city": "select n_nationkey as id, n_name as name from nation",
     "res_users": "select * from (values (0,0),(1,1),(2,2),(3,3),(4,4),(5,5),(6,6)) as t(id,partner_id)",
-    "res_currency": "select * from (values (1,'COP'),(2,'USD')) as t(id,name)",
+    "res_currency": "select * from (values (1,'COP',1),(2,'USD',5)) as t(id,name,step_cents)",
     "crm_team": "select * from (values (1,'Equipo Norte'),(2,'Equipo Centro'),(3,'Equipo Sur')) as t(id,name)",
     "account_account": """
         select * from (values (1,'413501','Ventas A',1),(2,'413595','Ventas B',1),(3,'143501','Inventario A',3),

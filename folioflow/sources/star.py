@@ -70,7 +70,7 @@ class StarTables(Tables):
         return self._spark.range(7).selectExpr("id", "id AS partner_id")
 
     def _res_currency(self) -> DataFrame:
-        return self._values("id, name", "(1L,'COP'),(2L,'USD')")
+        return self._values("id, name, rounding", "(1L,'COP',0.01),(2L,'USD',0.05)")
 
     def _crm_team(self) -> DataFrame:
         return self._values("id, name", "(1L,'Equipo Norte'),(2L,'Equipo Centro'),(3L,'Equipo Sur')")
@@ -102,10 +102,35 @@ class StarTables(Tables):
         return numbers.selectExpr("id", "concat('AN', id) AS name")
 
     def _account_tax(self) -> DataFrame:
-        iva = ",".join(f"({n}L,{n}.00,1L,'IVA {n}')" for n in range(1, 9))
-        taxes = self._values("id, amount, dian_tax_type_id, description", f"{iva},(20L,2.50,6L,'RTE 2.5')")
+        """Plain percentages, and taxes of every kind of rule from 31 on."""
+        iva = ",".join(f"({n}L,{n}.00,1L,'IVA {n}',{n},'percent',false,false,true)" for n in range(1, 9))
+        others = (
+            "(20L,2.50,6L,'RTE 2.5',20,'percent',false,false,true),(31L,19.00,1L,'IVA 19',10,'percent',false,false,true),"
+            "(32L,19.00,1L,'IVA 19 incl',11,'percent',true,false,true),(33L,1.25,6L,'Bolsa',1,'fixed',false,true,true),"
+            "(34L,8.00,6L,'Consumo',5,'percent',false,false,true),(35L,10.00,6L,'Sobre',6,'division',true,false,true),"
+            "(36L,0.00,6L,'Grupo',2,'group',false,false,true),(37L,5.00,6L,'Llana',7,'percent',false,false,false)"
+        )
+        taxes = self._values(
+            "id, amount, dian_tax_type_id, description, sequence, amount_type, price_include, include_base_amount, is_base_affected",
+            f"{iva},{others}",
+        )
         return taxes.withColumn("amount", F.expr("CAST(amount AS DECIMAL(9,4))"))
 
+    def _account_tax_filiation_rel(self) -> DataFrame:
+        """Members of the tax groups."""
+        return self._values("parent_tax, child_tax", "(36L,31L),(36L,33L)")
+
+    def _account_move_line_tax_mix_rel(self) -> DataFrame:
+        """(line, tax): a mix of every kind of rule, by product."""
+        return (
+            self._numbered_lines()
+            .selectExpr(
+                "id AS account_move_line_id",
+                """explode(CASE l_partkey % 7 WHEN 0 THEN array(31L) WHEN 1 THEN array(32L) WHEN 2 THEN array(33L, 34L)
+                    WHEN 3 THEN array(35L) WHEN 4 THEN array(36L) WHEN 5 THEN array(33L, 37L) END) AS account_tax_id""",
+            )
+        )
+
     def _dian_tax_type(self) -> DataFrame:
         return self._values("id, dian_code", "(1L,'01'),(6L,'06')")
 

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable, Mapping
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 
+if TYPE_CHECKING:
+    from .balances import BalanceCube
+
 
 class Tables:
     """Named tables, opened lazily: a report only touches what it asks for."""
 
+    #: Balances of closed months, if any are kept.
+    cube: BalanceCube | None = None
+
     def __init__(self, load: Callable[[str], DataFrame]):
         self._load = load
         self._opened: dict[str, DataFrame] = {}
@@ -19,6 +27,12 @@ class Tables:
             self._opened[name] = self._load(name)
         return self._opened[name]
 
+    def having(self, cube: BalanceCube) -> Tables:
+        """The same tables with month balances."""
+        other = copy.copy(self)
+        other.cube = cube
+        return other
+
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str) -> Tables:
         """One Parquet file or folder per table under ``root``."""

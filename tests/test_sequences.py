@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from skewed import write_skewed
 
-from folioflow.functions.sequences import in_runs, with_previous_row
+from folioflow.functions.sequences import in_runs, with_previous_row, with_running_sum
 from folioflow.operators import journals
 from folioflow.plans.catalogue import BOOK
 from folioflow.sources import StarTables
@@ -49,3 +49,24 @@ def test_a_hot_entry_is_cut_into_runs(spark, tmp_path_factory, leading):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert hottest > total / 4
     assert max(sizes) < 4 * total / 40
+
+
+def test_running_sum_by_adding_up(spark, monkeypatch):
+    pick = random.Random(5)
+    rows = [(n, pick.choice(["a", "a", "a", "b", None]), pick.choice([None, 1, -2, 5])) for n in range(3000)]
+    df = spark.createDataFrame(rows, "n int, k string, v int").repartition(6)
+    expected, sums = {}, {}
+    for n, k, v in rows:
+        sums[k] = sums.get(k, 0) + (v or 0)
+        expected[n] = sums[k]
+    got = with_running_sum(df, "v", "total", ["k"], [F.col("n")])
+    assert got.columns == ["n", "k", "v", "total"]
+    assert {r.n: r.total for r in got.collect()} == expected
+
+
+def test_running_sum_of_one_key_is_spread(spark):
+    """A key that has all rows is cut into as many windows as there are runs."""
+    df = spark.range(40_000).selectExpr("id AS n", "1 AS k", "1 AS v")
+    runs = in_runs(df, [F.col("k")], [F.col("n")]).groupBy("_run").count().collect()
+    assert len(runs) > 4 and max(r["count"] for r in runs) < 0.3 * 40_000
+    assert with_running_sum(df, "v", "total", ["k"], [F.col("n")]).filter("total <> n + 1").count() == 0

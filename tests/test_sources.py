@@ -1,7 +1,9 @@
 from datetime import date, datetime
+from decimal import Decimal
 
 import pytest
 from compare import STAR, connect, differences
+from erp import erp, money
 from pyspark.sql import functions as F
 from skewed import write_skewed
 
@@ -174,3 +176,59 @@ def test_export(spark, star, tmp_path, file_format):
 def test_month(spark):
     (row,) = spark.sql("SELECT DATE '1998-05-17' AS d").select(month("d").alias("m")).collect()
     assert row.m == date(1998, 5, 1)
+
+
+def test_lines_with_another_date_than_their_entry_are_kept(spark):
+    """Reports by the line's date and by the entry's give the same over the stored ledger."""
+    lines = [
+        {"debit": money(1)}, {"move_id": 2, "debit": money(2)}, {"move_id": 3, "debit": money(4)}, {"move_id": 99, "debit": money(8)},
+        {"date": None, "debit": money(16)}, {"date": date(1997, 1, 1), "move_id": 2, "debit": money(32)},
+    ]
+    moves = [{"id": 1}, {"id": 2, "date": date(1997, 1, 5)}, {"id": 3, "date": None}]
+    t = erp(spark, lines, moves)
+    p = LedgerParams(date(1998, 1, 1), date(1998, 12, 31), (1,))
+    spark.sql("CREATE DATABASE IF NOT EXISTS odd_dates")
+    try:
+        sinks.store_ledger(t["account_move_line"], t["account_move"], "odd_dates.lines")
+        stored = erp(spark, lines, moves)
+        stored._opened["account_move_line"] = spark.table("odd_dates.lines")
+        assert spark.table("odd_dates.lines").count() == 6
+        for report in (lambda x: ledger.ledger_by_account(x, p), lambda x: journals.journal_audit(x, PeriodParams(date(1997, 1, 1), date(1997, 12, 31)))):
+            assert sorted(map(tuple, report(stored).collect()), key=str) == sorted(map(tuple, report(t).collect()), key=str) != []
+    finally:
+        spark.sql("DROP DATABASE odd_dates CASCADE")
+
+
+def test_only_months_that_changed_are_written(spark):
+    def report(rows):
+        return spark.createDataFrame(rows, "day date, name string, amount decimal(18,2), n bigint")
+
+    def row(y, m, name, amount, n=1):
+        return (date(y, m, 3) if y else None, name, Decimal(amount), n)
+
+    first = [row(1998, 1, "a", "1.10"), row(1998, 1, "b", "2"), row(1998, 2, "a", "3"), row(1998, 3, None, "4"), row(0, 1, "x", "9")]
+    spark.sql("CREATE DATABASE IF NOT EXISTS monthly")
+
+    def files():
+        found = {}
+        for path in spark.table("monthly.r").inputFiles():
+            found.setdefault(path.split("/")[-2].removeprefix("month="), set()).add(path)
+        return found
+
+    try:
+        assert sinks.refresh_months(report(first), "monthly.r", "day") == ["1998-01", "1998-02", "1998-03", "none"]
+        before = files()
+        assert sinks.refresh_months(report(first[::-1]), "monthly.r", "day") == []
+        assert files() == before
+        # Same sums in one month, another in the next, one gone, a new one.
+        second = [row(1998, 1, "a", "2.10"), row(1998, 1, "b", "1"), row(1998, 2, "a", "3"), row(1998, 4, "n", "4"), row(0, 1, "x", "9")]
+        assert sinks.refresh_months(report(second), "monthly.r", "day") == ["1998-01", "1998-03", "1998-04"]
+        after = files()
+        assert set(after) == {"1998-01", "1998-02", "1998-04", "__HIVE_DEFAULT_PARTITION__"}
+        assert after["1998-02"] == before["1998-02"] and not after["1998-01"] & before["1998-01"]
+        got = spark.table("monthly.r").drop("month").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(second, key=str)
+        assert sinks.refresh_months(report(second[:4]), "monthly.r", "day") == ["none"]
+        assert spark.table("monthly.r").count() == 4
+    finally:
+        spark.sql("DROP DATABASE monthly CASCADE")
