@@ -17,17 +17,19 @@ import re
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .order import shard_of, shards
 from .packing import BLOCK, decode, encode
 from .store import commit, fresh, opened, prepare, read_bytes, write_bytes
+from .texts import pieces
 
 MAGIC = b"PFB1"
 FOOTER = "<QQQQ4s"
@@ -36,12 +38,14 @@ DOCS_PER_FILE = 8192
 END_ID = 0
 #: Blocks that are encoded or decoded at a time.
 RUN = 64
-#: Chunks of text whose ids a task remembers.
-REMEMBERED = 600_000
+#: Bytes that a task's remembered chunks may take, what one takes beside its ids, and the longest chunk remembered.
+REMEMBERED, EACH, LONGEST = 96 << 20, 160, 64
+#: Bytes of text that are encoded at a time.
+PIECE = 1 << 20
 
-#: A word of Latin letters, perhaps with a mark after it: one piece, or two.
-_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
-_MARKS = ".,:;!?"
+
+#: Letters that are one piece, perhaps with a mark after them, which is one of its own.
+_WORD, _MARKS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+[.,:;!?]?"), ".,:;!?"
 
 
 def byte_letters() -> dict[int, str]:
@@ -63,8 +67,9 @@ class Encoder:
     """Ids of whole texts by a byte-level tokenizer of the tokenizers library.
 
     Its pre-tokenizer never joins text across a single space or line feed between other characters (a space starts the
-    next piece, a line feed is a piece), so chunks between these are encoded once and remembered by the task. A text
-    with other white space or what may be a special token is encoded as a whole.
+    next piece, a line feed is a piece), so chunks between these are encoded once and remembered by the task, up to a
+    number of bytes. Texts are cut into chunks as a column: distinct chunks are looked up, and their ids are taken from
+    one array. A text with other white space or what may be a special token is encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -72,45 +77,102 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
-        self.line = self._ids(["\n"])[0]
-        self.marks = dict(zip(_MARKS, self._ids(list(_MARKS)), strict=True))
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: set[str], known: dict[str, bytes], before: str) -> None:
-        """Remember new chunks. Words are looked up in the model directly, which is what the pre-tokenizer comes to."""
-        tokenize, rest = self.tokenizer.model.tokenize, []
-        for chunk in chunks.difference(known):
-            body = chunk[:-1] if chunk[-1:] in self.marks else chunk
-            if not _WORD.fullmatch(body):
-                rest.append(chunk)
-                continue
-            ids = known.get(body)
-            if ids is None:
-                piece = (before + body).encode().decode("latin-1").translate(_LETTERS)
-                ids = known[body] = array("I", [t.id for t in tokenize(piece)]).tobytes()
-            if body is not chunk:
-                known[chunk] = ids + self.marks[chunk[-1]]
-        known.update(zip(rest, self._ids([before + c for c in rest]), strict=True))
+        (self.line,) = self._whole("\n").tolist()
+        letter = self.tokenizer.id_to_token(self._whole(" ").tolist()[0])[0]
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.spaced = np.zeros(size, bool)
+        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(letter)]] = True
+        self.lines = np.arange(size) == self.line
+        self.marks = {m: int(self._whole(m)[0]) for m in _MARKS}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, chunks: list[str], mark: str, starts: np.ndarray) -> None:
+        """Ids of chunks, each after ``mark``: all in one text, cut where a token starts with the mark."""
+        if not chunks:
+            return
+        ids = self._whole(mark + mark.join(chunks))
+        cuts = np.flatnonzero(starts[ids])
+        if len(cuts) != len(chunks) or cuts[0]:
+            each = [self._whole(mark + c) for c in chunks]
+            ids, cuts = np.concatenate(each), np.cumsum([0, *map(len, each)])[:-1]
+        self._remember(chunks if mark == " " else [mark + c for c in chunks], ids, cuts)
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Ids of words after a space, perhaps with a mark behind. A word is one piece, which the model knows how to cut."""
+        if not words:
+            return
+        bodies = [w[:-1] if w[-1] in self.marks else w for w in words]
+        pieces_ = (" " + "\n ".join(bodies)).encode().decode("latin-1").translate(_LETTERS).split(_LETTERS[10])
+        tokenize, ids, cuts, marks = self.tokenizer.model.tokenize, [], [], self.marks
+        for word, body, piece in zip(words, bodies, pieces_, strict=True):
+            cuts.append(len(ids))
+            ids += [t.id for t in tokenize(piece)]
+            if body is not word:
+                ids.append(marks[word[-1]])
+        self._remember(words, np.array(ids, np.uint32), np.array(cuts))
+
+    def _remember(self, chunks: list[str], ids: np.ndarray, cuts: np.ndarray) -> None:
+        n, at = len(self.known), self.used
+        while at + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + len(chunks) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        self.ids[at : at + len(ids)] = ids
+        self.starts[n : n + len(chunks)] = at + cuts
+        self.lengths[n : n + len(chunks)] = np.diff(np.append(cuts, len(ids)))
+        self.used += len(ids)
+        self.known.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+
+    def _regular(self, texts: list[str]) -> list[np.ndarray]:
+        """A line feed before each text makes its first chunk one that follows a line feed; its id is left out again."""
+        if 4 * self.used + EACH * len(self.known) > REMEMBERED:
+            self._forget()
+        column = pa.array(["\n" + t.replace("\n", " \n") for t in texts], pa.large_string())
+        parts = pc.split_pattern(column, " ")
+        coded = parts.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int32, len(chunks))
+        missing = np.flatnonzero(at < 0)
+        new = [chunks[k] for k in missing.tolist()]
+        for short in (True, False):  # long chunks last: they aren't remembered
+            some = [c for c in new if (len(c) <= LONGEST) == short]
+            if not short:
+                kept, used = len(self.known), self.used
+            spaced = [c for c in some if c[0] != "\n"]
+            words = [c for c in spaced if _WORD.fullmatch(c)]
+            self._learn_words(words)
+            self._learn([c for c in spaced if c not in self.known] if words else spaced, " ", self.spaced)
+            self._learn([c[1:] for c in some if c[0] == "\n" and len(c) > 1], "\n", self.lines)
+            if "\n" in some:
+                self._learn([""], "\n", self.lines)
+        at[missing] = np.fromiter(map(self.known.__getitem__, new), np.int32, len(new))
+        at = at[coded.indices.to_numpy()]
+        lengths = self.lengths[at]
+        ends = np.cumsum(lengths)
+        # Every chunk's ids follow its first one.
+        step = np.repeat(self.starts[at] - (ends - lengths), lengths)
+        step += np.arange(len(step))
+        ids = self.ids[step]
+        edges = np.concatenate([[0], ends])[parts.offsets.to_numpy()]
+        if len(self.known) > kept:
+            self.known = {c: k for c, k in self.known.items() if k < kept}
+            self.used = used
+            if len(self.ids) > 4 * max(used, 1 << 16):
+                self.ids = self.ids[: 2 * used + 1].copy()
+        return [ids[a + 1 : b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.spaced) + len(self.bare) > REMEMBERED:
-            self.spaced.clear()
-            self.bare.clear()
-        split = [[line.split(" ") for line in t.split("\n")] if regular(t) else None for t in texts]
-        first, later = set(), set()
-        for lines in split:
-            for words in lines or ():
-                first.add(words[0])
-                later.update(words[1:])
-        self._learn(first, self.bare, "")
-        self._learn(later, self.spaced, " ")
-        whole = iter(self._ids([t for t, lines in zip(texts, split, strict=True) if lines is None]))
-        bare, spaced = self.bare.__getitem__, self.spaced.__getitem__
-        return [next(whole) if lines is None else self.line.join([bare(words[0]) + b"".join(map(spaced, words[1:])) for words in lines]) for lines in split]
+        plain = [regular(t) for t in texts]
+        known = iter(self._regular([t for t, p in zip(texts, plain, strict=True) if p]) if any(plain) else ())
+        return [np.asarray(next(known) if p else self._whole(t), "<u4").tobytes() for t, p in zip(texts, plain, strict=True)]
 
 
 def file_parts(docs: Iterator[tuple[int | None, bytes]], told: dict) -> Iterator[bytes]:
@@ -196,8 +258,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
         def stream() -> Iterator[tuple[int | None, bytes]]:
             for batch in batches:
                 shard[0] = batch.column("shard")[0].as_py()
-                for a in range(0, batch.num_rows, 64):
-                    part = batch.slice(a, 64)
+                for part in pieces(batch, "text", PIECE):
                     ids = encoder.encode(part.column("text").to_pylist())
                     for doc_id, own in zip(part.column("doc_id").to_pylist(), ids, strict=True):
                         yield doc_id, own + end

@@ -64,3 +64,26 @@ def test_empty_table(spark):
 def test_query(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, op7_token_files(spark, sf_dir).collect())) == sorted(expected(rows))
+
+
+def test_texts_without_spaces_are_not_remembered():
+    import tracemalloc
+
+    rng = random.Random(1)
+    encoder = tokens.Encoder(tokenizer_path())
+    encoder.encode(["warm up"])
+    tracemalloc.start()
+    for _ in range(250):  # 50,000 texts of 200 characters
+        encoder.encode(["".join(chr(rng.randrange(0x4E00, 0x4F00)) for _ in range(200)) for _ in range(200)])
+    assert len(encoder.known) < 100 and tracemalloc.get_traced_memory()[0] < 20 << 20
+    tracemalloc.stop()
+
+
+def test_remembered_chunks_are_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 20_000)
+    encoder = tokens.Encoder(tokenizer_path())
+    for k in range(50):
+        texts = [f"word{n} other{n * 7}, {n}\nnext{n}" for n in range(k * 50, k * 50 + 50)]
+        for text, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encoder.known) < 20_000 // tokens.EACH + 300
