@@ -12,7 +12,7 @@ from ..params import PeriodParams, StockParams
 from ..sources.tables import Tables
 from .inventory import stock_availability
 from .margin import product_margin
-from .purchases import purchase_lines
+from .purchases import purchase_amounts
 from .sales import sales_lines
 
 
@@ -52,6 +52,24 @@ def pivot_table(
     return report.groupBy(*rows).pivot(col, list(values)).agg(F.sum(measure))
 
 
+def pivot_distinct(report: DataFrame, rows: Sequence[str], cols: Sequence[str], key: str, name: str) -> DataFrame:
+    """Number of different values of a whole-number ``key`` per cell, with row, column and grand totals in long form.
+
+    Such numbers don't add up, so a cell keeps the values themselves as bits, a bitmap for each run of 32,768 values, and
+    totals are counted from united bitmaps. The report is read once and reduced to cells in its own tasks; a NULL key isn't
+    counted, and a cell with no other has none.
+    """
+    keyed = report.withColumns({"_bucket": F.coalesce(F.bitmap_bucket_number(key), F.lit(0)), "_position": F.bitmap_bit_position(key)})
+    cells = keyed.groupBy(*rows, *cols, "_bucket").agg(F.bitmap_construct_agg("_position").alias("_bits"))
+    keys = [*rows, *cols]
+    sets = list(dict.fromkeys(((*rows, *cols), (*rows,), (*cols,), ())))
+    united = cells.groupingSets([[F.col(k) for k in (*s, "_bucket")] for s in sets], *[F.col(k) for k in (*keys, "_bucket")]).agg(
+        *[(F.grouping(k) == 1).alias(f"total_{k}") for k in keys], F.bitmap_count(F.bitmap_or_agg("_bits")).alias("_n")
+    )
+    flags = [f"total_{k}" for k in keys]
+    return united.groupBy(*keys, *flags).agg(F.sum("_n").alias(name))
+
+
 def list_totals(report: DataFrame, measures: Sequence[str]) -> DataFrame:
     """Footer of a list: the sum of each measure."""
     return report.agg(*_sums(measures))
@@ -79,7 +97,7 @@ def purchase_pivot(tables: Tables, p: PeriodParams, key: str = "invoice_date") -
     ``amount_total`` adds the header total of every line and so counts an invoice once per line;
     ``invoice_total`` counts each invoice once.
     """
-    report = purchase_lines(tables, p).filter(after_until(F.col("invoice_date"), p.date_from, p.date_to))
+    report = purchase_amounts(tables, p, key == "purchase_id").filter(after_until(F.col("invoice_date"), p.date_from, p.date_to))
     by_invoice = report.groupBy(*dict.fromkeys((key, "invoice_id"))).agg(
         F.sum("amount_untaxed").alias("amount_untaxed"),
         F.sum("amount_total").alias("amount_total"),
@@ -110,6 +128,18 @@ def journal_pivot(tables: Tables, p: PeriodParams) -> DataFrame:
     )
 
 
+def journal_pivot_totals(tables: Tables, p: PeriodParams, key: str = "account_id") -> DataFrame:
+    """Number of entries per date after the first day and ``key`` of their lines, with the totals of dates, keys and all.
+
+    An entry counts once in a total, however many keys its lines have.
+    """
+    moves = tables["account_move"].filter(after_until(F.col("date"), p.date_from, p.date_to))
+    lines = in_months(tables["account_move_line"], p.date_from, p.date_to)
+    lines = keep_ids(lines, "journal_id", p.journals).select("move_id", key)
+    dated = lines.join(moves.select(F.col("id").alias("move_id"), "date"), "move_id")
+    return pivot_distinct(dated, ["date"], [key], "move_id", "entries")
+
+
 def margin_pivot(tables: Tables, p: PeriodParams, key: str = "product_id") -> DataFrame:
     """Subtotal per product, or per ``product_brand_id``, with the grand total."""
     return pivot_groups(product_margin(tables, p), [key], ["price_subtotal"])

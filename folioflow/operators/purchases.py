@@ -41,18 +41,41 @@ def inventory_accounts(tables: Tables, products: DataFrame) -> DataFrame:
     return layers.join(by_entry, "move_id").groupBy("product_id").agg(F.min("code").alias("account_inventory"))
 
 
+def _invoices(tables: Tables, p: PeriodParams) -> DataFrame:
+    """Posted purchase documents of the window."""
+    moves = tables["account_move"].filter(
+        F.col("move_type").isin(*PURCHASE_TYPES)
+        & (F.col("state") == "posted")
+        & in_window(F.col("invoice_date"), p.date_from, p.date_to)
+    )
+    return keep_ids(moves, "partner_id", p.partners)
+
+
+def purchase_amounts(tables: Tables, p: PeriodParams, with_order: bool = False) -> DataFrame:
+    """(invoice_date, invoice_id, amount_untaxed, amount_total) of ``purchase_lines``, and ``purchase_id`` if asked for.
+
+    The same lines without what only names them: a line needs a product, and its document.
+    """
+    moves = _invoices(tables, p).select(
+        F.col("id").alias("invoice_id"), "invoice_date", "order_purchase_id",
+        signed(F.col("amount_total"), _is_refund()).alias("amount_total"),
+    )
+    if with_order:
+        orders = tables["purchase_order"].select(F.col("id").alias("order_purchase_id"), F.col("id").alias("purchase_id"))
+        moves = lookup(moves, orders, "order_purchase_id", "invoice_id")
+    lines = tables["account_move_line"].select(F.col("move_id").alias("invoice_id"), "product_id", F.col("balance").alias("amount_untaxed"))
+    products = tables["product_product"].select(F.col("id").alias("product_id"))
+    rows = lines.join(moves.drop("order_purchase_id"), "invoice_id").join(products, "product_id", "left_semi")
+    return rows.drop("product_id")
+
+
 def _purchases(tables: Tables, p: PeriodParams) -> DataFrame:
     """Product lines of posted purchase documents, with their header, product and inventory account.
 
     Partner and order belong to the header, template and inventory account to the product; they are
     joined there, so the lines themselves move only for their header, product and taxes.
     """
-    moves = tables["account_move"].filter(
-        F.col("move_type").isin(*PURCHASE_TYPES)
-        & (F.col("state") == "posted")
-        & in_window(F.col("invoice_date"), p.date_from, p.date_to)
-    )
-    moves = keep_ids(moves, "partner_id", p.partners).select(
+    moves = _invoices(tables, p).select(
         F.col("id").alias("move_id"), "invoice_date", F.col("partner_id").alias("invoice_partner_id"),
         F.col("name").alias("invoice"), "ref", F.col("journal_id").alias("invoice_journal_id"),
         "amount_total", "move_type", "order_purchase_id",

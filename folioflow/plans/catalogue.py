@@ -20,6 +20,7 @@ from ..params import (
     PeriodParams,
     StockParams,
 )
+from ..functions.domains import search
 from ..functions.hierarchy import child_of
 from ..session import prepare
 from ..sources import StarTables, Tables
@@ -38,6 +39,9 @@ INVOICES = InvoiceParams(FROM, TO)
 STOCK = StockParams()
 ALWAYS = InventoryParams()
 YEAR = InventoryParams(START, END)
+# Windows that cut the dates of templates, and those of locations and warehouses.
+TEMPLATES = InventoryParams(datetime(2000, 1, 11), datetime(2000, 2, 5, 12))
+PLACES = InventoryParams(datetime(1995, 1, 3), datetime(1995, 1, 6, 12))
 
 # A window that begins and ends inside a month, and the first month that isn't closed.
 PART_FROM, PART_TO, OPEN = date(1998, 2, 10), date(1998, 11, 20), date(1998, 4, 1)
@@ -78,6 +82,23 @@ def _quarters(t: Tables) -> DataFrame:
     return pivots.pivot_table(report, ["invoice_user_id"], "quarter", ["q1", "q2", "q3", "q4"], "price_subtotal")
 
 
+def _partners_of(t: Tables, cities: range) -> DataFrame:
+    return t["res_partner"].filter(F.col("city_id").isin(*cities)).select("id")
+
+
+def _products_of(t: Tables, categories: range) -> DataFrame:
+    templates = t["product_template"].filter(F.col("categ_id").isin(*categories)).select(F.col("id").alias("product_tmpl_id"))
+    return t["product_product"].join(templates, "product_tmpl_id", "left_semi").select("id")
+
+
+# Searches of the analysis screens: a product by its code or name; a customer and a category with all below them.
+STOCK_SEARCH = ["|", ("product_id.default_code", "ilike", "p1"), ("product_id", "ilike", "ring")]
+SALES_SEARCH = [
+    ("partner_id", "child_of", range(0, 1000, 30)), "|", ("categ_id", "child_of", (1001, 1003)),
+    "!", "|", ("product_id.product_tmpl_id.name", "ilike", "steel"), ("analytic_account_id", "=", False),
+]
+
+
 def _kept(t: Tables) -> Tables:
     """The tables with the balances of closed months beside them."""
     return with_cube(t, BalanceCube(month_balances(t["account_move_line"]), OPEN))
@@ -91,7 +112,7 @@ REPORTS: dict[str, Report] = {
     ),
     "ledger_by_account": lambda t: ledger.ledger_by_account(t, LEDGER),
     "ledger_detail_filtered": lambda t: ledger.ledger_detail(
-        t, replace(LEDGER, accounts=(1, 2, 5), partners=tuple(range(0, 1000, 2)), analytics=(1, 2, 3))
+        t, replace(LEDGER, accounts=(1, 2, 5), partners=_partners_of(t, range(0, 13)), analytics=(1, 2, 3))
     ),
     "ledger_by_account_ifrs": lambda t: ledger.ledger_by_account(t, replace(LEDGER, book="ifrs")),
     "ledger_by_account_text": lambda t: ledger.ledger_by_account_text(t, LEDGER),
@@ -137,7 +158,7 @@ REPORTS: dict[str, Report] = {
     "journal_book_print_rows_by_entry": lambda t: journals.journal_book_print_rows(t, replace(BOOK, sort_by="move_name")),
     # purchases, sales, margin
     "purchase_lines": lambda t: purchases.purchase_lines(t, PERIOD),
-    "purchase_lines_of_partners": lambda t: purchases.purchase_lines(t, replace(PERIOD, partners=tuple(range(0, 1000, 3)))),
+    "purchase_lines_of_partners": lambda t: purchases.purchase_lines(t, replace(PERIOD, partners=_partners_of(t, range(5, 14)))),
     "purchase_lines_labelled": lambda t: purchases.purchase_lines_labelled(t, PERIOD),
     "sales_lines": lambda t: sales.sales_lines(t, PERIOD),
     "sales_lines_labelled": lambda t: sales.sales_lines_labelled(t, PERIOD),
@@ -147,6 +168,7 @@ REPORTS: dict[str, Report] = {
     "sales_lines_child_of_partner": lambda t: child_of(
         sales.sales_lines(t, PERIOD), "partner_id", t["res_partner"], (0, 10, 20, 30, 45)
     ),
+    "sales_lines_search": lambda t: search(sales.sales_lines(t, PERIOD), t, SALES_SEARCH),
     "product_margin": lambda t: margin.product_margin(t, PERIOD),
     "product_margin_labelled": lambda t: margin.product_margin_labelled(t, PERIOD),
     # stock and inventory
@@ -154,16 +176,17 @@ REPORTS: dict[str, Report] = {
     "product_labels": lambda t: inventory.product_labels(t),
     "stock_availability_labelled": lambda t: inventory.stock_availability_labelled(t, STOCK),
     "stock_availability_filtered": lambda t: inventory.stock_availability(
-        t, StockParams(locations=tuple(range(0, 1000, 2)), products=tuple(range(0, 100_000, 3)))
+        t, StockParams(locations=t["stock_location"].filter("usage = 'internal'").select("id"), products=_products_of(t, range(10, 31)))
     ),
     "stock_availability_search": lambda t: inventory.stock_availability(t, StockParams(search="RING")),
+    "stock_availability_domain": lambda t: search(inventory.stock_availability(t, STOCK), t, STOCK_SEARCH),
     "inventory_transfers": lambda t: inventory.inventory_transfers(t, YEAR),
     "inventory_categories": lambda t: inventory.inventory_categories(t, ALWAYS),
-    "inventory_categories_year": lambda t: inventory.inventory_categories(t, YEAR),
+    "inventory_categories_year": lambda t: inventory.inventory_categories(t, TEMPLATES),
     "inventory_warehouses": lambda t: inventory.inventory_warehouses(t, ALWAYS),
-    "inventory_warehouses_year": lambda t: inventory.inventory_warehouses(t, YEAR),
+    "inventory_warehouses_year": lambda t: inventory.inventory_warehouses(t, PLACES),
     "inventory_locations": lambda t: inventory.inventory_locations(t, ALWAYS),
-    "inventory_locations_year": lambda t: inventory.inventory_locations(t, YEAR),
+    "inventory_locations_year": lambda t: inventory.inventory_locations(t, PLACES),
     "sales_order_totals": lambda t: inventory.sales_order_totals(t),
     "stock_on_hand_as_of": lambda t: inventory.stock_on_hand_as_of(t, END),
     # invoices
@@ -191,6 +214,7 @@ REPORTS: dict[str, Report] = {
     "purchase_pivot_by_order": lambda t: pivots.purchase_pivot(t, PERIOD, "purchase_id"),
     "purchase_pivot_by_invoice": lambda t: pivots.purchase_pivot(t, PERIOD, "invoice_id"),
     "journal_pivot": lambda t: pivots.journal_pivot(t, PERIOD),
+    "journal_pivot_totals": lambda t: pivots.journal_pivot_totals(t, PERIOD),
     "journal_pivot_by_entry": lambda t: pivots.journal_pivot_of_lines(t, PERIOD, "move_id"),
     "journal_pivot_by_partner": lambda t: pivots.journal_pivot_of_lines(t, PERIOD, "partner_id"),
     "margin_pivot": lambda t: pivots.margin_pivot(t, PERIOD),

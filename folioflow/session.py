@@ -10,8 +10,14 @@ RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Partner and category trees may be larger than the default limit of a recursive query.
-    "spark.sql.cteRecursionRowLimit": "-1",
+    # A period is a filter on entries. Where lines and entries are shuffled for their join, Spark first drops lines that have no
+    # such entry, by a Bloom filter of the entries. Its default limits are for smaller tables than a ledger's entries of a
+    # year; these bound it at 32 MB, which is what travels to the tasks.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "2GB",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "8000000",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "32000000",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": str(1 << 28),
 }
 
 

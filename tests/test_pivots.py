@@ -28,3 +28,15 @@ def test_wide(spark):
 def test_footers(spark):
     report = pivots.report_footers({"one": (sample(spark), ["m"])})
     assert [(r.report, r.measure, float(r.total)) for r in report.collect()] == [("one", "m", 9.0)]
+
+
+def test_distinct_keys_are_counted_once_in_totals(spark):
+    rows = [(k % 3 if k % 7 else None, "ab"[k % 2], (k * 37) % 100 - 20 + 40_000 * (k % 4)) for k in range(600)] + [(9, "z", None)]
+    df = spark.createDataFrame(rows, "r int, c string, k bigint")
+    want = {}
+    for r, c, k in rows:
+        for key in ((r, c, False, False), (r, None, False, True), (None, c, True, False), (None, None, True, True)):
+            want.setdefault(key, set()).add(k)
+    want = {key: len(found - {None}) for key, found in want.items()}
+    got = pivots.pivot_distinct(df, ["r"], ["c"], "k", "n").collect()
+    assert {(x.r, x.c, x.total_r, x.total_c): x.n for x in got} == want and len(got) == len(want)

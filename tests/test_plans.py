@@ -4,7 +4,9 @@ import re
 
 import pytest
 
-from folioflow.plans.catalogue import REPORTS, run
+from folioflow import Tables
+from folioflow.operators import journals, pivots
+from folioflow.plans.catalogue import PERIOD, REPORTS, run
 
 # Reports that end in sums over everything; each side of the exchange has one row per task.
 WHOLE_TOTALS = {
@@ -73,3 +75,21 @@ def test_scan_reads_used_columns_and_gets_the_dates(static_plans, sf_dir):
         "l_orderkey", "l_linenumber", "l_extendedprice", "l_tax", "l_returnflag", "l_linestatus"
     }
     assert "LessThan(o_orderdate,1999-01-01" in plan
+
+
+def test_a_period_of_entries_filters_the_lines_before_their_shuffle(spark, star, tmp_path):
+    """With entries too many to broadcast, the scan of the lines is filtered by a Bloom filter of the period's entries."""
+    for name in ("account_move", "account_move_line"):
+        star[name].repartition(4).write.parquet(f"{tmp_path}/{name}")
+    tables = Tables.from_parquet(spark, str(tmp_path))
+    options = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1"}
+    for option, value in options.items():
+        spark.conf.set(option, value)
+    try:
+        for report in (journals._audit(tables, PERIOD), pivots.journal_pivot(tables, PERIOD)):
+            plan = report._jdf.queryExecution().optimizedPlan().toString()
+            assert "might_contain" in plan
+    finally:
+        for option in options:
+            spark.conf.unset(option)
+    assert spark.conf.get("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold") == "2GB"

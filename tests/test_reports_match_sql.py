@@ -64,3 +64,9 @@ ANCHORS = {
 @pytest.mark.parametrize("name", sorted(ANCHORS))
 def test_row_counts(spark, sf_dir, name):
     assert contract.queries()[name](spark, sf_dir).count() == ANCHORS[name]
+
+
+def test_no_report_is_empty():
+    """A report without rows proves nothing by matching its SQL."""
+    con = connect("/root/testdata/sf0.01")
+    assert [n for n in NAMES if con.execute(f"select count(*) from ({ORACLE[n]})").fetchone()[0] == 0] == []
