@@ -8,7 +8,7 @@ their own when only one owner has them. Everything runs in DataFrame functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import keep, prepare
@@ -25,27 +25,17 @@ OPAQUE = (r"[A-Za-z0-9+/_-]{24,}", 0, 24)
 COPIED_OWNERS, COPIED_REPOS = 3, 10
 
 
-def spans_of(text: Column, kind: str, rank: int, pattern: str, group: int, least: int) -> Column:
-    """array<struct<start, rank, end, kind, value>> of the leftmost matches that don't overlap, by code points.
-
-    What lies between the matches comes from splitting by the same pattern; its lengths and the matches' give the places.
-    """
+def matches_of(text: Column, kind: str, pattern: str, group: int) -> Column:
+    """array<struct<gap:int, whole:int, value:string>> of the leftmost matches that don't overlap: the code points before
+    each since the one before, its own, and its value. What lies between comes from splitting by the same pattern."""
     # A run that can't be long enough needn't be cut out; where matches are maximal runs the bound can be in the pattern.
     quick = {"access": r"AKIA[A-Z0-9]{14}", "hex": r"[0-9a-f]{16}"}.get(kind, pattern)
     pattern = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}.get(kind, pattern)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
-    span = "struct<start:int,rank:int,end:int,kind:string,value:string>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("found"))
-
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.length(x["whole"])
-        one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(state["found"], F.array(one))).otherwise(state["found"]).alias("found"))
-
-    found = F.aggregate(pairs, begin, step, lambda state: state["found"])
-    return F.when(text.rlike(quick), found).otherwise(F.array().cast(f"array<{span}>"))
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
+    parts = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
+    found = F.transform(parts, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["whole"]).alias("whole"), x["value"].alias("value")))
+    return F.when(text.rlike(quick), found).otherwise(F.array().cast("array<struct<gap:int,whole:int,value:string>>"))
 
 
 def looks_random(value: Column) -> Column:
@@ -54,16 +44,38 @@ def looks_random(value: Column) -> Column:
     return mixes & (F.size(F.array_distinct(F.split(value, ""))) >= 8)
 
 
-def find(docs: DataFrame, repo: str = "doc_id", owner: str = "source") -> DataFrame:
-    """(row, doc_id, repo, owner, spans) of every row, base kinds before opaque ones; a null text has no spans."""
+def find(docs: DataFrame, repo: str = "doc_id", owner: str = "source") -> tuple[DataFrame, DataFrame]:
+    """Rows (row, doc_id, repo, owner), and their spans (row, repo, owner, start, rank, end, kind, value): base kinds, and opaque ones apart
+    from them. A null text has no spans.
+
+    Places are sums over the matches before, taken in the order of a row's matches; overlaps are found among its spans in
+    order of their start. So a row costs as much as it has matches.
+    """
     prepare(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    kinds = {**BASE, "opaque": OPAQUE}
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"), text.alias("text"))
-    kinds = [spans_of(F.col("text"), kind, rank, *rule) for rank, (kind, rule) in enumerate(BASE.items())]
-    mixed = F.filter(spans_of(F.col("text"), "opaque", len(BASE), *OPAQUE), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]"))
-    rows = rows.select("row", "doc_id", "repo", "owner", F.concat(*kinds).alias("base"), mixed.alias("more"))
-    apart = F.filter("more", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return rows.select("row", "doc_id", "repo", "owner", F.concat("base", apart).alias("spans"))
+    found = F.filter(F.array(*[F.struct(F.lit(r).alias("rank"), matches_of(F.col("text"), k, *rule[:2]).alias("own")) for r, (k, rule) in enumerate(kinds.items())]), lambda x: F.size(x["own"]) > 0)
+    rows = keep(rows.select("row", "doc_id", "repo", "owner", found.alias("found")), "matches")
+    each = rows.select("row", "repo", "owner", F.explode("found").alias("x")).select("row", "repo", "owner", "x.rank", F.posexplode("x.own").alias("pos", "m"))
+    each = each.select("row", "repo", "owner", "rank", "pos", "m.gap", "m.whole", "m.value").repartition("row")
+    upto = Window.partitionBy("row", "rank").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("end", F.sum(F.col("gap") + F.col("whole")).over(upto).cast("int")).withColumn("start", F.col("end") - F.col("whole"))
+    least = F.lit(None)
+    for r, (_, _, length) in enumerate(kinds.values()):
+        least = F.when(F.col("rank") == r, length).otherwise(least)
+    base = F.col("rank") < len(BASE)
+    mixes = F.col("value").rlike("[0-9]") & F.col("value").rlike("[a-z]") & F.col("value").rlike("[A-Z]")
+    each = each.filter((F.length("value") >= least) & (base | mixes))
+    # A base span that begins at or before an opaque one overlaps it if any of them ends after its start; a later one, if the next begins before its end.
+    before = Window.partitionBy("row").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("rank")).rowsBetween(Window.unboundedPreceding, -1)
+    reach, follows = F.max(F.when(base, F.col("end"))).over(before), F.min(F.when(base, F.col("start"))).over(after)
+    each = each.withColumns({"reach": reach, "follows": follows})
+    hit = (F.coalesce("reach", F.lit(-1)) > F.col("start")) | F.coalesce(F.col("follows") < F.col("end"), F.lit(False))
+    each = each.filter(base | ~hit)
+    names = F.element_at(F.array(*[F.lit(k) for k in kinds]), F.col("rank") + 1)
+    return rows.select("row", "doc_id"), each.select("row", "repo", "owner", "start", "rank", "end", names.alias("kind"), "value")
 
 
 def ownership(spans: DataFrame) -> DataFrame:
@@ -77,15 +89,15 @@ def ownership(spans: DataFrame) -> DataFrame:
 
 
 def classified(docs: DataFrame, repo: str = "doc_id", owner: str = "source") -> tuple[DataFrame, DataFrame]:
-    """Rows (row, doc_id), and their spans (row, doc_id, start, rank, end, kind, value_hash, n_repos, n_owners, copied, live)."""
-    found = keep(find(docs, repo, owner), "spans")
-    each = found.filter(F.size("spans") > 0).withColumn("s", F.explode("spans")).select("row", "doc_id", "repo", "owner", "s.start", "s.rank", "s.end", "s.kind", F.sha2("s.value", 256).alias("value_hash"), looks_random(F.col("s.value")).alias("random"))
+    """Rows (row, doc_id), and their spans (row, start, rank, end, kind, value_hash, n_repos, n_owners, copied, live)."""
+    rows, spans = find(docs, repo, owner)
+    each = keep(spans.select("row", "repo", "owner", "start", "rank", "end", "kind", F.sha2("value", 256).alias("value_hash"), looks_random(F.col("value")).alias("random")), "spans")
     # Written first: the join is one of two plain exchanges then, which Spark splits at a hot value.
     counts = keep(ownership(each), "ownership")
     told = each.drop("repo", "owner").join(counts, "value_hash")
     copied = (F.col("n_owners") >= COPIED_OWNERS) | (F.col("n_repos") >= COPIED_REPOS)
     told = told.withColumn("copied", copied).withColumn("live", (F.col("n_owners") == 1) & ~copied & F.col("random")).drop("random")
-    return found.select("row", "doc_id"), told
+    return rows, told
 
 
 def report(docs: DataFrame, repo: str = "doc_id", owner: str = "source") -> DataFrame:

@@ -69,7 +69,20 @@ def test_queries_with_sql(spark, sf_dir):
     from compare import differences
 
     con = duckdb.connect()
-    for name in ("documents", "benchmark", "pages"):
+    for name in ("documents", "benchmark", "pages", "embeddings"):
         con.execute(f"create view {name} as select * from read_parquet('{sf_dir}/{name}.parquet')")
     for name, sql in SQL.items():
         assert differences(QUERIES[name](spark, sf_dir), con, sql) is None, name
+
+
+def test_a_text_of_many_matches_takes_time_in_proportion(spark):
+    import time
+
+    rng = __import__("random").Random(2)
+    line = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows = [(1, " ".join(line() for _ in range(50_000)) + " Zx9Zx9Zx9Zx9abcABC123defDEF456 token=abcdefghijkl", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    start = time.monotonic()
+    got = [tuple(r) for r in secrets.report(docs).collect()]
+    assert time.monotonic() - start < 60
+    assert got == plain(rows)
