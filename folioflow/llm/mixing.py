@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .store import keep, prepare
+from .store import keep, prepare, shielded
 from .texts import flat, pieces
 
 SEED = "mix-1"
@@ -54,24 +54,57 @@ def sizes(docs: DataFrame, members: Column, order: Column) -> DataFrame:
 
 def targets(words: dict, weights: dict, most: int, total: int) -> dict:
     """Shares of ``total`` by weight; none above ``most`` times its source's words, what is over goes to the others."""
-    out, open_ = {}, set(words)
+    out, open_ = {}, dict.fromkeys(words)
     while open_:
         weight = sum(weights[s] for s in open_)
         left = total - sum(out.values())
         share = {s: left * weights[s] / weight for s in open_}
-        full = {s for s in open_ if share[s] > most * words[s]}
+        full = [s for s in open_ if share[s] > most * words[s]]
         if not full:
             return out | share
         out |= {s: float(most * words[s]) for s in full}
-        open_ -= full
+        for s in full:
+            del open_[s]
     return out
 
 
+def components(patterns: list[tuple]) -> list[list[tuple]]:
+    """Patterns that share sources, directly or through others, together."""
+    top: dict = {}
+
+    def find(s):
+        while top[s] != s:
+            top[s] = s = top[top[s]]
+        return s
+
+    for pattern in patterns:
+        for s in pattern:
+            top.setdefault(s, s)
+            top[find(s)] = find(pattern[0])
+    groups: dict = defaultdict(list)
+    for pattern in patterns:
+        groups[find(pattern[0]) if pattern else ()].append(pattern)
+    return list(groups.values())
+
+
 def flow(patterns: dict[tuple, int], wanted: dict, most: int) -> dict[tuple, int]:
     """Words taken of each pattern: a maximal flow of patterns to source targets at the least convex repetition cost.
 
-    Successive shortest paths; potentials keep Dijkstra's costs from being negative.
+    Patterns that share no source don't compete, so each component is a flow of its own; that of a pattern alone with
+    its source is known. Patterns are taken in order, so that of flows of equal cost it is always the same one.
     """
+    taken = {p: 0 for p in patterns}
+    for group in components(sorted(patterns, key=lambda p: [(s is None, s or "") for s in p])):
+        if len(group) == 1 and len(group[0]) == 1:
+            taken[group[0]] = min(round(wanted[group[0][0]]), most * patterns[group[0]])
+        elif group[0]:
+            sources = sorted({s for p in group for s in p}, key=lambda s: (s is None, s or ""))
+            taken |= cheapest({p: patterns[p] for p in group}, {s: wanted[s] for s in sources}, most)
+    return taken
+
+
+def cheapest(patterns: dict[tuple, int], wanted: dict, most: int) -> dict[tuple, int]:
+    """The flow of a component. Successive shortest paths; potentials keep Dijkstra's costs from being negative."""
     graph: dict = defaultdict(list)  # node -> [to, capacity, cost, place of the reverse arc]
 
     def arc(a, b, capacity: int, cost: int) -> None:
@@ -161,7 +194,10 @@ def decide(docs: DataFrame, weights=None, members: Column | None = None, most: i
     patterns = {tuple(r[0]): int(r[1]) for r in rows.groupBy("pattern").agg(F.sum("size")).collect()}
     sources = sorted({s for p in patterns for s in p}, key=lambda s: (s is None, s or ""))
     weights = {s: 1 + i % 3 for i, s in enumerate(sources)} if weights is None else weights(sources)
-    words = {s: sum(n for p, n in patterns.items() if s in p) for s in sources}
+    words = dict.fromkeys(sources, 0)
+    for p, n in patterns.items():
+        for s in p:
+            words[s] += n
     wanted = targets(words, weights, most, sum(patterns.values()))
     taken = flow(patterns, wanted, most)
     plan = [(list(p), *(divmod(taken[p], n) if n else (0, 0))) for p, n in patterns.items()]
@@ -193,11 +229,10 @@ def mix(docs: DataFrame, members: Column | None = None, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: str = SEED, members: Column | None = None, **options) -> DataFrame:
-    """The documents as the mix takes them: each row as often as it is taken, with the columns of ``docs``."""
+    """The documents as the mix takes them: each row as often as it is taken, with the columns of ``docs``, whatever their
+    names. A null text has no words and is taken as often as its place in the order says; rows of one doc_id are taken
+    alike; a null source is one of its own; an empty table stays empty."""
     _, decided, _, _ = decide(docs, seed=seed, members=members, **options)
-    decided = decided.select(F.col("pattern").alias("_pattern"), "passes", "last").withColumnsRenamed({"passes": "_passes", "last": "_last"})
-    own = [F.col(f"d.`{c}`") for c in docs.columns]
-    marked = docs.select("*", pattern_of(members).alias("_own"), place_in_order(seed).alias("_place")).alias("d")
-    times = F.col("_passes") + (F.col("_place") <= F.col("_last")).cast("long")
-    joined = marked.join(decided, F.col("_own") == F.col("_pattern"))
-    return joined.withColumn("_again", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*own)
+    rows, restored = shielded(docs, pattern_of(members).alias("pattern"), place_in_order(seed).alias("u"))
+    joined = rows.join(decided, "pattern")
+    return restored(joined.withColumn("again", F.explode(F.array_repeat(F.lit(1), copies(F.col("u")).cast("int")))))

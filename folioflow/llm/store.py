@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from pathlib import Path
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.scratch import shared_dir
 
 #: Arrow batches that fit a small Python worker even where texts are long.
 OPTIONS = {
@@ -26,15 +29,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it names none (tests on one machine), a folder of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(Path(tempfile.mkdtemp(prefix="corpus-")).as_uri())
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
 def fresh(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -73,12 +67,40 @@ def read_bytes(uri: str) -> bytes:
         return f.read()
 
 
-def commit(folder: str, names: list[tuple[str, str]], manifest: bytes) -> None:
-    """Give the finished temporary files their names, then publish the manifest; a folder without one isn't complete."""
+def commit(spark: SparkSession, folder: str, names: list[tuple[str, str]], manifest: bytes) -> None:
+    """Give the finished temporary files their names, then publish the manifest; a folder without one isn't complete.
+
+    Files are named by tasks. A task that is repeated finds files that have their names already.
+    """
     store, path = opened(folder)
     store.create_dir(path, recursive=True)
-    for temporary, final in names:
-        store.move(f"{path}/{temporary}", f"{path}/{final}")
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, at = opened(folder)
+        for batch in batches:
+            for temporary, final in zip(batch.column("temporary").to_pylist(), batch.column("final").to_pylist(), strict=True):
+                kinds = [x.type for x in own.get_file_info([f"{at}/{temporary}", f"{at}/{final}"])]
+                if kinds[0] == fs.FileType.File:
+                    own.move(f"{at}/{temporary}", f"{at}/{final}")
+                elif kinds[1] != fs.FileType.File:
+                    raise FileNotFoundError(f"{folder}/{temporary}")
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    if names:
+        rows = spark.createDataFrame(names, "temporary string, final string")
+        rows.repartition(min(len(names), 4 * spark.sparkContext.defaultParallelism)).mapInArrow(name, "n long").collect()
     with store.open_output_stream(f"{path}/_manifest.tmp", compression=None) as out:
         out.write(manifest)
     store.move(f"{path}/_manifest.tmp", f"{path}/manifest.json")
+
+
+def shielded(docs: DataFrame, *helpers: Column) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The table with its columns named by their places, so that no helper column can clash with one, whatever its name,
+    and the helpers beside them; and what gives the columns back, with their names and in their order."""
+    places = [(f"_c{k}", name) for k, name in enumerate(docs.columns)]
+    quoted = [F.col("`" + name.replace("`", "``") + "`").alias(place) for place, name in places]
+
+    def restored(rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(place).alias(name) for place, name in places])
+
+    return docs.select(*quoted, *helpers), restored

@@ -111,3 +111,25 @@ def test_flow(patterns, wanted, expected):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(docs).collect() == [] and mixing.mixed_documents(docs).collect() == []
+
+
+def test_stage_keeps_columns_of_any_name(spark):
+    names = ("_own", "_place", "_pattern", "_again", "_passes", "pattern", "u", "passes", "a.b")
+    docs = spark.createDataFrame([(k, "w " * 5, "ab"[k % 2], *range(9)) for k in range(20)], "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    taken = mixing.mixed_documents(docs)
+    assert taken.columns == docs.columns
+    assert taken.count() == 20 and taken.filter("`a.b` = 8 and _own = 0 and u = 6").count() == 20
+    nulls = spark.createDataFrame([(None, None, None), (1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
+    assert mixing.mixed_documents(nulls).columns == nulls.columns
+
+
+def test_many_sources_that_share_nothing(spark):
+    import time
+
+    start = time.monotonic()
+    patterns = {(f"s{k}",): 10 + k % 7 for k in range(100_000)} | {("s1", "s2"): 50, ("s2", "s3"): 5}
+    wanted = {f"s{k}": 25.0 for k in range(100_000)}
+    taken = mixing.flow(patterns, wanted, 3)
+    assert time.monotonic() - start < 10
+    assert taken[("s9",)] == 25 and sum(taken[p] for p in patterns if p[0] in ("s1", "s2", "s3")) == 75
+    assert list(mixing.flow(dict(reversed(patterns.items())), wanted, 3).items()) != [] and mixing.flow(dict(reversed(patterns.items())), wanted, 3) == taken
