@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import keep, prepare
+from .store import keep, prepare, shielded
 from .texts import byte_values, flat, mixed, pieces, polynomial
 
 WINDOW = 10
@@ -168,9 +168,12 @@ def _marked(part: pa.RecordBatch, matcher: Matcher) -> pa.RecordBatch:
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
-    """The documents without a benchmark window in them, with the columns of ``docs``."""
-    marked = mark(docs, bench, **options)
-    return marked.filter(F.size("_hits") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents without a benchmark window in them, with the columns of ``docs``, whatever their names.
+
+    Nulls, ties and empty tables as in ``mark``: a null text has no window and stays, equal rows stay or go together.
+    """
+    rows, restored = shielded(docs, F.col("text").cast("string").alias("text"))
+    return restored(mark(rows, bench, rows.columns[:-1], **options).filter(F.size("_hits") == 0))
 
 
 def report(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Cutting a table into shards of a fixed number of rows in the order of a key, the same on every run."""
+"""Cutting a table into shards of about equal numbers of rows in the order of a key, the same on every run."""
 
 from __future__ import annotations
 
@@ -14,10 +14,14 @@ from pyspark.sql import types as T
 from .store import keep
 
 
-def shards(df: DataFrame, key: str, rows: int) -> list[tuple]:
+#: Shards of a table at most: the driver holds two keys of each.
+MOST = 50_000
+
+
+def shards(df: DataFrame, key: str, rows: int, most: int = MOST) -> list[tuple]:
     """(first key, last key) of each run of ``rows`` rows in ascending order of ``key``; nulls come first and don't count.
 
-    Only keys are sorted. The driver gets a number per partition and two keys per shard. Rows of one key share a shard:
+    Runs are longer where there would be more than ``most`` of them. Only keys are sorted. The driver gets a number per partition and two keys per shard. Rows of one key share a shard:
     a key that would reach into the next shard is the last of its own.
     """
     schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("at", T.LongType()), T.StructField("key", df.schema[key].dataType)])
@@ -38,6 +42,7 @@ def shards(df: DataFrame, key: str, rows: int) -> list[tuple]:
         total += n
     if not total:
         return []
+    rows = max(rows, math.ceil(total / most))
     starts = df.sparkSession.createDataFrame(starts, "part long, start long")
     place = numbered.join(starts, "part").select("key", (F.col("start") + F.col("at")).alias("place"))
     edges = place.filter((F.pmod("place", F.lit(rows)) == 0) | (F.pmod("place", F.lit(rows)) == rows - 1) | (F.col("place") == total - 1))

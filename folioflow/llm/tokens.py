@@ -281,7 +281,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
         manifest.append({"file": f"ids-{r.shard:08d}.pfb", "start": start, "docs": r.docs, "ids": r.ids, "bytes": r.size})
         start += r.ids
     names = [(r.name, m["file"]) for r, m in zip(done, manifest, strict=True)]
-    commit(folder, names, json.dumps({"tokenizer": os.path.basename(tokenizer), "end_id": end_id, "files": manifest}).encode())
+    commit(docs.sparkSession, folder, names, json.dumps({"tokenizer": os.path.basename(tokenizer), "end_id": end_id, "files": manifest}).encode())
     return manifest
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import keep, prepare
+from .store import keep, prepare, shielded
 
 #: Labelled rows to learn from (expected number; the bound of what the driver and each worker hold).
 SAMPLE = 20_000
@@ -209,7 +209,8 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
-    """A lexicon from the labelled documents that aren't held out; of several labels of a document the highest counts."""
+    """A lexicon from the labelled documents that aren't held out; of several labels of a document the highest counts, and
+    of several texts of one doc_id one is learned from."""
     spark = prepare(docs.sparkSession)
     known = labels.filter("doc_id is not null and toxic is not null").filter(~is_held_out(F.col("doc_id")))
     total = known.count()
@@ -218,7 +219,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = keep(texts.join(F.broadcast(known), "doc_id").select("text", "toxic"), "labelled")
+    # One text for each id, whatever the number of rows that share it: the one with the smallest hash.
+    texts = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("one"))
+    rows = keep(texts.select("one.text", "one.toxic"), "labelled")
     n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     seeds = {f" {t} ": SEED_WEIGHT for t in SEED_TERMS}
@@ -265,9 +268,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
                 folded = fold(text.as_py())
                 own = set()
                 for start in {s for s, _ in lexicon.found(folded)}:
-                    after = folded[start : start + 80].split(" ")
-                    before = folded[max(0, start - 81) : start - 1].rsplit(" ", 1)[-1]
-                    own.update({f" {after[0]} ", f" {before} {after[0]} ", f" {' '.join(after[:2]).strip()} "})
+                    first = folded.find(" ", start)
+                    first = len(folded) if first < 0 else first
+                    second = folded.find(" ", first + 1)
+                    two = folded[start : len(folded) if second < 0 else second].strip()
+                    before = folded[folded.rfind(" ", 0, max(0, start - 1)) + 1 : max(0, start - 1)]
+                    own.update({f" {folded[start:first]} ", f" {before} {folded[start:first]} ", f" {two} "})
                 seen.update((phrase, label) for phrase in own)
         keys = list(seen)
         yield pa.record_batch([pa.array([p for p, _ in keys], pa.string()), pa.array([t for _, t in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], names=["phrase", "toxic", "n"])
@@ -322,6 +328,10 @@ def report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that aren't found toxic, with the columns of ``docs``."""
-    found = scored(docs, learn(docs, labels, **options))
-    return found.filter(F.col("_score") < THRESHOLD).drop("_score")
+    """The documents that aren't found toxic, with the columns of ``docs``, whatever their names.
+
+    A null text is scored as an empty one; equal rows stay or go together; an empty table stays empty, and without labels
+    the lexicon is the fixed one.
+    """
+    rows, restored = shielded(docs, F.col("text").cast("string").alias("text"))
+    return restored(scored(rows, learn(docs, labels, **options), rows.columns[:-1]).filter(F.col("_score") < THRESHOLD))

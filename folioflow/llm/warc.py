@@ -2,7 +2,7 @@
 
 Pages are cut into shards in ascending page_id order. A task streams a shard into gzip files, a member for each record,
 and begins a new file when one has reached the size to roll at. Headers and digests are made anew from the page. Files
-are written under temporary names; the driver gives them their names and publishes the manifest last.
+are written under temporary names; tasks give them their names, and the driver publishes the manifest last.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from .order import shard_of, shards
 from .store import commit, fresh, keep, opened, prepare, read_bytes
 
-PAGES_PER_SHARD = 2000
-#: Compressed bytes at which a file is full.
-ROLL_BYTES = 64 << 20
+#: Bytes of payload in a shard: of a large table more, so that it has no more than ``MOST_SHARDS``.
+SHARD_BYTES, MOST_SHARDS = 16 << 20, 20_000
+#: Compressed bytes at which a file is full: this part of a shard's payload, within bounds. A shard has several files.
+ROLL_PART, LEAST_ROLL, MOST_ROLL = 1 / 16, 256 << 10, 1 << 30
 #: Payloads of fewer bytes are never written as revisits.
 LEAST_BYTES = 100
 DATE = "1970-01-01T00:00:00Z"
@@ -87,7 +88,15 @@ def originals(pages: DataFrame) -> DataFrame:
 WRITTEN = pa.schema([("shard", pa.int64()), ("roll", pa.int64()), ("name", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 
 
-def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, pages_per_shard: int = PAGES_PER_SHARD, date: str = DATE) -> list[dict]:
+def sizes(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[int, int]:
+    """Pages of a shard and bytes at which its files roll, for a table."""
+    n, total = pages.agg(F.count("*"), F.sum(F.octet_length(F.col("html").cast("string")))).first()
+    shard_bytes = max(shard_bytes, (total or 0) // MOST_SHARDS)
+    roll = min(MOST_ROLL, max(LEAST_ROLL, int(shard_bytes * ROLL_PART)))
+    return max(1, n * shard_bytes // max(total or 0, 1)), roll
+
+
+def write_warc(pages: DataFrame, folder: str, roll_bytes: int | None = None, pages_per_shard: int | None = None, date: str = DATE) -> list[dict]:
     """Write a record per page to archives in ``folder`` and return the manifest's entries.
 
     Of equal payloads of at least 100 bytes, the smallest page_id's is the response and the others revisit it; among rows
@@ -95,7 +104,9 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, page
     come first, and an empty table gives a manifest without files. Other columns aren't read.
     """
     prepare(pages.sparkSession)
-    cuts = shards(pages, "page_id", pages_per_shard)
+    by_size, roll_at = sizes(pages)
+    roll_bytes = roll_bytes or roll_at
+    cuts = shards(pages, "page_id", pages_per_shard or by_size, MOST_SHARDS)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.lit(1).alias("kind"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("original"))
     # What was found out about a page travels to its shard as a row before it, so pages are shuffled once.
     told = originals(pages).select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "original")
@@ -120,7 +131,7 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, page
     schema = "shard long, roll long, name string, records long, bytes long, sha256 string"
     done = sorted(rows.mapInArrow(write, schema).collect(), key=lambda r: (r.shard, r.roll))
     manifest = [{"file": f"pages-{r.shard:08d}-{r.roll:04d}.warc.gz", "records": r.records, "bytes": r.bytes, "sha256": r.sha256} for r in done]
-    commit(folder, [(r.name, m["file"]) for r, m in zip(done, manifest, strict=True)], json.dumps({"files": manifest}).encode())
+    commit(pages.sparkSession, folder, [(r.name, m["file"]) for r, m in zip(done, manifest, strict=True)], json.dumps({"files": manifest}).encode())
     return manifest
 
 

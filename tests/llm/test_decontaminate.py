@@ -52,9 +52,10 @@ def test_by_every_place(spark, limit):
     d = spark.createDataFrame([Row(doc_id=i, text=t, _text="own", n_words=1, item_id=2) for i, t in docs]).repartition(3)
     b = spark.createDataFrame([Row(item_id=i, text=t, lang="en") for i, t in bench])
     expected = plain(docs, bench)
-    assert sorted((tuple(r) for r in decontaminate.report(d.drop("_text"), b, limit=limit).collect()), key=str) == expected
-    kept = decontaminate.decontaminate(d.drop("_text"), b, limit=limit)
-    assert kept.columns == ["doc_id", "text", "n_words", "item_id"]
+    assert sorted((tuple(r) for r in decontaminate.report(d, b, limit=limit).collect()), key=str) == expected
+    d = d.withColumns({"_hits": decontaminate.F.lit(1), "a.b`c": decontaminate.F.lit("x"), "_c0": decontaminate.F.lit(0)})
+    kept = decontaminate.decontaminate(d, b, limit=limit)
+    assert kept.columns == d.columns == ["doc_id", "text", "_text", "n_words", "item_id", "_hits", "a.b`c", "_c0"]
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r[0]) for r in expected if not r[5])
 
 

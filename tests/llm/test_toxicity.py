@@ -59,7 +59,7 @@ def test_learned_terms_find_held_out_documents(spark):
     rows = corpus()
     docs = spark.createDataFrame([Row(doc_id=i, text=t, toxic=9, _score=1) for i, t, _ in rows])
     labels = spark.createDataFrame([Row(doc_id=i, quality=1, toxic=y) for i, _, y in rows])
-    found = {r.doc_id: r for r in toxicity.report(docs.drop("_score"), labels).collect()}
+    found = {r.doc_id: r for r in toxicity.report(docs, labels).collect()}
     for i, _, y in rows:
         assert found[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
         assert (found[i].predicted == 1) == (found[i].score >= 0.7) and 0 <= found[i].score <= 1
@@ -94,3 +94,29 @@ def test_query(spark, sf_dir):
     found = op3_toxicity(spark, sf_dir).collect()
     assert sorted(r.doc_id for r in found) == sorted(texts)
     assert all(r.score == lexicon.score(texts[r.doc_id]) for r in found)
+
+
+def test_stage_keeps_columns_of_any_name(spark):
+    rows = corpus(300)
+    docs = spark.createDataFrame([(i, t, 9, "s", 0.5) for i, t, _ in rows], "doc_id long, text string, _score int, _text string, `a.b` double")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    kept = toxicity.clean_documents(docs, labels)
+    assert kept.columns == docs.columns
+    assert 0 < kept.filter("_score = 9 and _text = 's' and `a.b` = 0.5").count() == kept.count() < 300
+    assert toxicity.clean_documents(docs.limit(0), labels.limit(0)).collect() == []
+
+
+def test_one_text_of_an_id_is_learned_from(spark):
+    """An id that many rows share brings one of them."""
+    rows = corpus(300)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(0, f"copy {k}") for k in range(500)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    seen = []
+    real = toxicity.keep
+    try:
+        toxicity.keep = lambda df, name: seen.append(real(df, name)) or seen[-1]
+        toxicity.learn(docs, labels)
+    finally:
+        toxicity.keep = real
+    ids = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert seen[0].count() == len(ids)

@@ -66,3 +66,14 @@ def test_empty_table(spark):
 def test_query(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()]
     assert sorted((tuple(r) for r in op9_warc(spark, sf_dir).collect()), key=str) == plain(rows)
+
+
+def test_a_shard_has_several_files(spark, monkeypatch):
+    monkeypatch.setattr(warc, "LEAST_ROLL", 1)
+    docs = spark.range(400).selectExpr("id as page_id", "'u' as url", "concat(id, repeat(uuid(), 40)) as html")
+    made = store.keep(docs, "pages")
+    _, roll = warc.sizes(made, 64 << 10)
+    monkeypatch.setattr(warc, "SHARD_BYTES", 64 << 10)
+    files = [m["file"] for m in warc.write_warc(made, store.fresh(spark, "test"), roll_bytes=roll, pages_per_shard=warc.sizes(made, 64 << 10)[0])]
+    shards = {f.split("-")[1] for f in files}
+    assert 5 < len(shards) < 20 and len(files) >= 3 * len(shards)
