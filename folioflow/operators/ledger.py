@@ -24,6 +24,7 @@ from ..functions.money import european_number, no_amount, or_zero
 from ..functions.sequences import with_running_sum
 from ..params import LedgerParams
 from ..sources.balances import lines_until
+from ..sources.scratch import written
 from ..sources.tables import Tables
 
 
@@ -499,7 +500,9 @@ def ledger_group_rollup(tables: Tables, p: LedgerParams) -> DataFrame:
     An account belongs to the group with the longest code its own code starts with.
     """
     groups, amounts = tables["account_group"], ("initial", "debit", "credit", "final")
-    accounts = ledger_by_account(tables, p).select("bold", "group", "account_id", "code", "name", *amounts)
+    accounts = _by_account(tables, p).select("bold", "group", "account_id", "code", "name", *amounts)
+    # Written, as the rounds of the roll-up and the listing both start from them: the lines are read once.
+    accounts = written(accounts, "subtotals")
     direct = (
         group_members(tables["account_account"], groups)
         .groupBy("account_id")
