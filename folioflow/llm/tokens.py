@@ -15,6 +15,8 @@ import json
 import os
 import re
 import struct
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -175,6 +177,17 @@ class Encoder:
         return [np.asarray(next(known) if p else self._whole(t), "<u4").tobytes() for t, p in zip(texts, plain, strict=True)]
 
 
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this worker process, with what it remembers from earlier tasks.
+
+    Functions travel by value, and their globals with them, so what stays between tasks is in a module of its own.
+    """
+    held = sys.modules.setdefault("folioflow_worker", types.ModuleType("folioflow_worker"))
+    if getattr(held, "path", None) != path:
+        held.encoder, held.path = Encoder(path), path
+    return held.encoder
+
+
 def file_parts(docs: Iterator[tuple[int | None, bytes]], told: dict) -> Iterator[bytes]:
     """A file's bytes from (doc_id, ids as little-endian u32); ``told`` gets its numbers."""
     yield MAGIC
@@ -253,7 +266,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
     rows = rows.withColumn("shard", shard_of(F.col("doc_id"), cuts)).repartitionById(n, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, shard = Encoder(tokenizer), np.array([end_id], "<u4").tobytes(), [None]
+        encoder, end, shard = worker_encoder(tokenizer), np.array([end_id], "<u4").tobytes(), [None]
 
         def stream() -> Iterator[tuple[int | None, bytes]]:
             for batch in batches:
