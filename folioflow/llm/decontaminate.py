@@ -1,8 +1,9 @@
 """Benchmark decontamination: the words of documents that lie in a window of a benchmark item.
 
-The windows of a block of items, a block holding a bounded number of bytes, are broadcast as hashes with their text.
-Every task scans its texts' windows against the hashes, verifies each hit against the text, and marks the words it
-covers. A benchmark of several blocks is scanned block by block; no document meets another.
+The windows of a block of items, a block holding a bounded number of bytes, are broadcast as arrays: sorted hashes, the
+items of each, and where its words are in the block's text. Every task scans its texts' windows against the hashes,
+verifies each hit by the bytes of its words, and marks the words it covers. A benchmark of several blocks is scanned block
+by block: only the hits of a pass are written, under the number of their row. No document meets another.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from .store import keep, prepare, shielded
 from .texts import byte_values, flat, mixed, pieces, polynomial
 
 WINDOW = 10
-#: Bytes of benchmark text in one broadcast block.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text in one broadcast block, and of a part of an item's text, as a share of a block.
+BLOCK_BYTES, PART = 8 << 20, 8
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -60,59 +61,118 @@ def word_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
         return mixed(np.add.reduceat(value, first) + size.astype(np.uint64))
 
 
-def windows(items: pa.RecordBatch | pa.Table, width: int = WINDOW) -> dict[int, dict[int, tuple]]:
-    """By window length: hash -> [(text of the window, ids of the items that have it)]."""
-    found: dict[int, dict[int, dict]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-    for item, text in zip(items.column("item_id").to_pylist(), items.column("text"), strict=True):
-        data, first, last, _ = split_words(pa.array([text.as_py()], pa.string()))
-        if not len(first):
-            continue
-        length = min(width, len(first))
-        raw, hashes = data.tobytes(), polynomial(word_hashes(data, first, last), length, JOIN)
-        words = [raw[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-        for i, h in enumerate(hashes.tolist()):
-            found[length][h][b" ".join(words[i : i + length])].add(item)
-    return {n: {h: [(t, sorted(ids, key=str)) for t, ids in x.items()] for h, x in by.items()} for n, by in found.items()}
+def windows(items: pa.Table, width: int = WINDOW) -> dict:
+    """The windows of a block as arrays: ``ids`` of its items and their type, ``text`` (all words, a space after each), and by window length
+    the distinct windows: hashes ascending, first byte and bytes in the text, and the items of each (where they start in
+    a list of items, and that list)."""
+    texts, found, passed, size = [], defaultdict(list), 0, 0
+    for batch in items.to_batches():
+        for part in pieces(batch, "text"):
+            data, first, last, before = split_words(part.column("text"))
+            long, h = last - first, word_hashes(data, first, last)
+            at = np.cumsum(long + 1) - long - 1
+            text = np.full(int((long + 1).sum()), 32, np.uint8)
+            text[np.repeat(at, long) + np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)] = data[WORD[data]]
+            counts = np.diff(before)
+            owner, length = np.repeat(np.arange(len(counts)), counts), np.repeat(np.minimum(counts, width), counts)
+            for n in np.unique(length).tolist():
+                run = polynomial(h, n, JOIN)
+                i = np.flatnonzero((length[: len(run)] == n) & (owner[: len(run)] == owner[n - 1 :]))
+                found[n].append((run[i], at[i] + size, at[i + n - 1] + long[i + n - 1] - at[i], owner[i] + passed))
+            texts.append(text.tobytes())
+            passed, size = passed + part.num_rows, size + len(text)
+    text = b"".join(texts)
+    tables = {n: _distinct(text, *(np.concatenate(x) for x in zip(*own, strict=True))) for n, own in found.items()}
+    return {"ids": items.column("item_id").to_pylist(), "kind": items.schema.field("item_id").type, "text": text, "tables": tables}
+
+
+def _distinct(text: bytes, h: np.ndarray, at: np.ndarray, size: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.lexsort((item, h))
+    h, at, size, item = h[order], at[order], size[order], item[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    # Different windows of one hash are told apart by their bytes.
+    kind, kinds = np.zeros(len(h), np.int64), defaultdict(dict)
+    for k in np.flatnonzero(~new).tolist():
+        j = int(head[k])
+        own = text[at[k] : at[k] + size[k]]
+        if own != text[at[j] : at[j] + size[j]]:
+            kind[k] = kinds[j].setdefault(own, len(kinds[j]) + 1)
+    order = np.lexsort((item, kind, h))
+    h, at, size, item, kind = h[order], at[order], size[order], item[order], kind[order]
+    new[1:] = (h[1:] != h[:-1]) | (kind[1:] != kind[:-1])
+    once = new.copy()
+    once[1:] |= item[1:] != item[:-1]
+    starts = np.append(np.flatnonzero(new[once]), np.count_nonzero(once))
+    return h[new], at[new].astype(np.uint32), size[new].astype(np.uint32), starts.astype(np.uint32), item[once].astype(np.uint32)
 
 
 class Matcher:
     """Hits of a block's windows in texts."""
 
-    def __init__(self, tables: dict[int, dict[int, tuple]]):
-        self.tables = tables
+    def __init__(self, block: dict):
+        self.ids, self.kind, self.text, self.tables = block["ids"], block["kind"], block["text"], block["tables"]
         self.filters = {}
-        for n, table in tables.items():
-            keys = np.sort(np.fromiter(table, np.uint64, len(table)))
-            bits = max(16, int(len(keys)).bit_length() + 6)
+        for n, (keys, *_) in self.tables.items():
+            bits = max(16, int(len(keys)).bit_length() + 4)
             small = np.zeros(1 << bits, bool)
             small[keys >> np.uint64(64 - bits)] = True
             self.filters[n] = (keys, small, np.uint64(64 - bits))
 
     def hits(self, column: pa.Array):
-        """Words of each text; (place of the first word, length, items) of each verified hit; words before each text."""
+        """(Place of the first word, length, window) of each verified hit; words before each text, and in all."""
         data, first, last, before = split_words(column)
         h, out = word_hashes(data, first, last), []
         owner = np.repeat(np.arange(len(before) - 1), np.diff(before))
         raw = None
         for n, (keys, small, shift) in self.filters.items():
+            _, at, size, _, _ = self.tables[n]
             run = polynomial(h, n, JOIN) if len(h) >= n else h[:0]
             maybe = np.flatnonzero(small[run >> shift])
             maybe = maybe[owner[maybe] == owner[maybe + n - 1]]
-            maybe = maybe[keys[np.minimum(np.searchsorted(keys, run[maybe]), len(keys) - 1)] == run[maybe]]
-            for i in maybe.tolist():
+            low, high = np.searchsorted(keys, run[maybe]), np.searchsorted(keys, run[maybe], side="right")
+            some = high > low
+            for i, a, b in zip(maybe[some].tolist(), low[some].tolist(), high[some].tolist(), strict=True):
                 raw = data.tobytes() if raw is None else raw
-                words = b" ".join([raw[a:b] for a, b in zip(first[i : i + n].tolist(), last[i : i + n].tolist(), strict=True)])
-                out += [(i, n, ids) for text, ids in self.tables[n][int(run[i])] if text == words]
+                words = b" ".join([raw[x:y] for x, y in zip(first[i : i + n].tolist(), last[i : i + n].tolist(), strict=True)])
+                out += [(i, n, k) for k in range(a, b) if int(size[k]) == len(words) and self.text.startswith(words, int(at[k]))]
         return out, before
 
+    def items(self, found: set[tuple[int, int]]) -> set:
+        """The ids of the items that have one of the windows (length, window)."""
+        out = set()
+        for n, k in found:
+            _, _, _, starts, items = self.tables[n]
+            out.update(items[starts[k] : starts[k + 1]].tolist())
+        return {self.ids[i] for i in out}
+
 
-def blocks(bench: DataFrame, limit: int) -> Iterator[pa.Table]:
-    """The benchmark in blocks of about ``limit`` bytes: items go to a block by the hash of their id."""
-    bench = bench.select("item_id", F.col("text").cast("string").alias("text")).filter("text is not null")
-    total = bench.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+def blocks(bench: DataFrame, limit: int, width: int = WINDOW) -> list[DataFrame]:
+    """The benchmark in blocks of about ``limit`` bytes, by a hash of id and text. Rows that are equal count once; a text of
+    more than an eighth of a block is cut into parts that overlap by ``width`` - 1 words, and so have the same windows."""
+    most = max(1, limit // PART)
+    rows = bench.select("item_id", F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                data, first, last, _ = split_words(row.column("text"))
+                n = len(first)
+                if len(data) <= most or n <= width:
+                    yield row
+                    continue
+                step = max(1, n * most // len(data))
+                raw = data.tobytes()
+                parts = [raw[first[a] : last[min(a + step + width - 1, n) - 1]].decode() for a in range(0, n - width + 1, step)]
+                ids = row.column("item_id").take(pa.array([0] * len(parts)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(parts, row.schema.field("text").type)], schema=row.schema)
+
+    kept = keep(rows.mapInArrow(cut, rows.schema), "items")
+    total = kept.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, math.ceil(total / limit))
-    for k in range(n):
-        yield bench.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).toArrow()
+    return [kept.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
 def mark(docs: DataFrame, bench: DataFrame, carry: list[str] | None = None, width: int = WINDOW, limit: int = BLOCK_BYTES) -> DataFrame:
@@ -120,51 +180,76 @@ def mark(docs: DataFrame, bench: DataFrame, carry: list[str] | None = None, widt
     _n_words, _hits (runs of hit words as first word and length, merged), _items (ids of items with a window in it).
 
     A null text has no words and no hits; an item without words has no window; equal items are all named (those without
-    an id count as one and aren't); an empty benchmark hits nothing. Rows are neither dropped nor merged.
+    an id count as one and aren't); an empty benchmark hits nothing. Rows are neither dropped nor merged. A benchmark of
+    several blocks needs rows that can be told apart between the passes: the documents are written with a number once.
     """
     spark = prepare(docs.sparkSession)
     carry = docs.columns if carry is None else carry
-    item = T.ArrayType(bench.schema["item_id"].dataType)
     runs = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("length", T.LongType())]))
-    frame = docs.select(*carry, F.col("text").cast("string").alias("_text"), F.lit(None).cast("long").alias("_n_words"), F.array().cast(runs).alias("_hits"), F.array().cast(item).alias("_items"))
-    schema, earlier = frame.schema, None
-    for items in blocks(bench, limit):
-        if earlier is not None:
-            frame = keep(earlier, "marked")
-        table = spark.sparkContext.broadcast(windows(items, width))
-
-        def scan(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
+    added = [T.StructField("_n_words", T.LongType()), T.StructField("_hits", runs), T.StructField("_items", T.ArrayType(bench.schema["item_id"].dataType))]
+
+    def scanned(frame: DataFrame, block: DataFrame, all_rows: bool) -> DataFrame:
+        table = spark.sparkContext.broadcast(windows(block.toArrow(), width))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(table.value)
             for batch in batches:
                 for part in pieces(batch, "_text"):
-                    yield _marked(part, matcher)
+                    yield _marked(part, matcher, all_rows)
+
+        return frame.mapInArrow(scan, T.StructType([f for f in frame.schema if f.name != "_text"] + added))
+
+    frame = docs.select(*carry, F.col("text").cast("string").alias("_text"))
+    first, *others = blocks(bench, limit, width)
+    if not others:
+        return scanned(frame, first, True)
+    frame = keep(frame.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    texts = frame.select("_row", "_text")
+    found = keep(scanned(texts, first, True), "hits")
+    for block in others:
+        found = found.union(keep(scanned(texts, block, False), "hits"))
+    # A row has at most one entry from each block.
+    each = found.groupBy("_row").agg(F.max("_n_words").alias("_n_words"), F.flatten(F.collect_list("_hits")).alias("_hits"), F.flatten(F.collect_list("_items")).alias("_items"))
+    return frame.drop("_text").join(each.mapInArrow(_settled, each.schema), "_row").drop("_row")
+
+
+def _spans(hits: list[tuple[int, int]]) -> list[dict]:
+    """Runs (first, length) merged where they meet."""
+    merged: list[list[int]] = []
+    for a, n in sorted(hits):
+        if merged and a <= merged[-1][0] + merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], a + n - merged[-1][0])
+        else:
+            merged.append([a, n])
+    return [{"first": a, "length": n} for a, n in merged]
+
 
-        earlier = frame.mapInArrow(scan, schema)
-    return earlier.drop("_text")
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hits = [_spans([(x["first"], x["length"]) for x in own]) for own in batch.column("_hits").to_pylist()]
+        items = [sorted(set(own), key=str) for own in batch.column("_items").to_pylist()]
+        put = {"_hits": hits, "_items": items}
+        columns = [pa.array(put[f.name], f.type) if f.name in put else batch.column(f.name) for f in batch.schema]
+        yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
 
-def _marked(part: pa.RecordBatch, matcher: Matcher) -> pa.RecordBatch:
+def _marked(part: pa.RecordBatch, matcher: Matcher, all_rows: bool) -> pa.RecordBatch:
     found, before = matcher.hits(part.column("_text"))
-    hits, items = part.column("_hits").to_pylist(), part.column("_items").to_pylist()
     by_row = defaultdict(list)
     if found:
         rows = np.searchsorted(before, [i for i, _, _ in found], side="right") - 1
         for row, hit in zip(rows.tolist(), found, strict=True):
             by_row[row].append(hit)
+    hits, items = [[] for _ in range(part.num_rows)], [[] for _ in range(part.num_rows)]
     for row, own in by_row.items():
         start = int(before[row])
-        spans = sorted([(x["first"], x["length"]) for x in hits[row]] + [(i - start, n) for i, n, _ in own])
-        merged: list[list[int]] = []
-        for a, n in spans:
-            if merged and a <= merged[-1][0] + merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], a + n - merged[-1][0])
-            else:
-                merged.append([a, n])
-        hits[row] = [{"first": a, "length": n} for a, n in merged]
-        items[row] = sorted(set(items[row]).union(*(ids for _, _, ids in own)), key=str)
-    put = {"_n_words": np.diff(before), "_hits": hits, "_items": items}
-    columns = [pa.array(put[f.name], f.type) if f.name in put else part.column(f.name) for f in part.schema]
-    return pa.RecordBatch.from_arrays(columns, schema=part.schema)
+        hits[row] = _spans([(i - start, n) for i, n, _ in own])
+        items[row] = sorted(matcher.items({(n, k) for _, n, k in own}), key=str)
+    names = [name for name in part.schema.names if name != "_text"]
+    spans = pa.list_(pa.struct([("first", pa.int64()), ("length", pa.int64())]))
+    columns = [part.column(n) for n in names] + [pa.array(np.diff(before), pa.int64()), pa.array(hits, spans), pa.array(items, pa.list_(matcher.kind))]
+    out = pa.RecordBatch.from_arrays(columns, names=[*names, "_n_words", "_hits", "_items"])
+    return out if all_rows else out.take(pa.array(sorted(by_row), pa.int64()))
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:

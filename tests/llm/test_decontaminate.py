@@ -1,7 +1,12 @@
 import hashlib
+import pickle
 import random
 import re
+import time
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 
@@ -64,3 +69,56 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[:4] for r in decontaminate.report(docs, bench).collect()] == [(1, 2, 0, 0)]
     assert decontaminate.report(docs.limit(0), bench).collect() == []
+
+
+def found_in(block, texts):
+    matcher = decontaminate.Matcher(block)
+    hits, before = matcher.hits(pa.array(texts, pa.string()))
+    out = [(set(), set()) for _ in texts]
+    for i, n, k in hits:
+        row = int(np.searchsorted(before, i, side="right")) - 1
+        out[row][0].update(range(i - int(before[row]), i - int(before[row]) + n))
+        out[row][1].update(matcher.items({(n, k)}))
+    return [(len(a), len(b)) for a, b in out]
+
+
+def test_windows_of_one_hash_are_told_apart_by_their_words(monkeypatch):
+    docs, bench = made()
+    real = decontaminate.polynomial
+    monkeypatch.setattr(decontaminate, "polynomial", lambda *a: real(*a) % np.uint64(5) << np.uint64(61))
+    docs = [d for d in docs if d[0] != 62]
+    bench = [(k, t) for k, (_, t) in enumerate(bench)]
+    block = decontaminate.windows(pa.table({"item_id": [i for i, _ in bench], "text": pa.array([t for _, t in bench], pa.string())}))
+    assert all(len(set(keys.tolist())) <= 5 for keys, *_ in block["tables"].values())
+    expected = {r[0:4:1] for r in ((k, *x[1:4]) for k, d in enumerate(docs) for x in plain([d], bench))}
+    assert {(k, len(words(d[1])), *f) for (k, d), f in zip(enumerate(docs), found_in(block, [t or "" for _, t in docs]), strict=True)} == expected
+
+
+def test_a_whole_block_takes_bounded_memory():
+    """8 MB of different windows; a third of the items share one passage."""
+    rng = np.random.default_rng(3)
+    shared = " ".join(f"s{k}" for k in range(40))
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 100)) + (" " + shared if k % 3 == 0 else "") for k in range(9_000)]
+    items = pa.table({"item_id": range(len(texts)), "text": texts})
+    assert sum(map(len, texts)) > 7 << 20
+    tracemalloc.start()
+    start = time.monotonic()
+    block = decontaminate.windows(items)
+    seconds, most = time.monotonic() - start, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 400 << 20 and len(pickle.dumps(block)) < 48 << 20 and seconds < 60
+    assert found_in(block, [shared, texts[7], "w1 " + texts[9]]) == [(40, 3_000), (100, 1), (140, 3_000)]
+
+
+def test_long_items_in_parts_and_rows_without_an_id(spark):
+    """Parts of a text have its windows and no others; equal rows and rows without an id don't pile up in a block."""
+    rng = random.Random(5)
+    text = [f"v{rng.randrange(300)}" for _ in range(3_000)]
+    bench = [(1, " ".join(text)), *((None, f"{k} " + " ".join(text[k : k + 12])) for k in range(50)), *[(2, "just nine words are too few to be cut")] * 100]
+    docs = [(k, " ".join(text[a : a + 25])) for k, a in enumerate(range(0, 2_990, 130))] + [(90, " ".join(text[:9])), (91, "JUST nine words, are too few to be cut!")]
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert len(decontaminate.blocks(b, 4_000)) > 4
+    expected = plain(docs, [(i, t) for i, t in bench if i is not None])
+    got = sorted((tuple(r) for r in decontaminate.report(d, b, limit=4_000).collect()), key=str)
+    assert [(r[0], r[1], r[2], r[4], r[5]) for r in got] == [(r[0], r[1], r[2], r[4], r[5]) for r in expected]
