@@ -11,15 +11,21 @@ class Chain:
     def __init__(self, index: dict[str, int], weights: np.ndarray, moves: np.ndarray, starts: np.ndarray):
         self.index, self.weights, self.moves, self.starts = index, weights, moves, starts
 
+    def score(self, names: list[str]) -> list[float]:
+        """What features add to both labels."""
+        return self.weights[[self.index[n] for n in names if n in self.index]].sum(axis=0).tolist()
+
     def decode(self, features: list[list[str]]) -> list[int]:
-        """The likeliest labels of a sequence (Viterbi)."""
-        if not features:
+        """The likeliest labels of a sequence."""
+        return self.best([self.score(names) for names in features])
+
+    def best(self, scores: list[list[float]]) -> list[int]:
+        """The likeliest labels where the features of each place add so much to both (Viterbi)."""
+        if not scores:
             return []
         (a, b), (c, d) = self.moves.tolist()
-        index, weights = self.index, self.weights
         best, back = None, []
-        for names in features:
-            own = weights[[index[n] for n in names if n in index]].sum(axis=0).tolist()
+        for own in scores:
             if best is None:
                 best = [own[0] + self.starts[0], own[1] + self.starts[1]]
                 continue

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from dataclasses import dataclass
 
 # Fixed values of HTML: elements that begin and end blocks, that have no content, whose content has no tags and isn't shown,
@@ -31,13 +33,89 @@ _NAMES = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|
 _PART = re.compile(r"[a-z]+")
 
 
+class Element:
+    """A block element that encloses text; ``parent`` is the next one around it."""
+
+    __slots__ = ("tag", "names", "parent")
+
+    def __init__(self, tag: str, names: tuple[str, ...], parent: Element | None):
+        self.tag, self.names, self.parent = tag, names, parent
+
+
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]  # enclosing block elements, outermost first
-    names: tuple[tuple[str, ...], ...]  # words of class, id, role and itemprop of each
+    element: Element | None  # the innermost element around it; blocks share those around them
     link: float  # share of the text in links
-    group: int  # blocks of one parent element have the same number
+
+    def path(self) -> list[Element]:
+        out, at = [], self.element
+        while at is not None:
+            out.append(at)
+            at = at.parent
+        return out[::-1]
+
+    @property
+    def tags(self) -> tuple[str, ...]:
+        """Enclosing block elements, outermost first."""
+        return tuple(e.tag for e in self.path())
+
+    @property
+    def names(self) -> tuple[tuple[str, ...], ...]:
+        """Words of class, id, role and itemprop of each."""
+        return tuple(e.names for e in self.path())
+
+
+class Stack:
+    """The open elements. Where each name is open is known, so that no step takes time by the depth."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.elements: list[Element | None] = []  # innermost enclosing element at each place
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.holders: list[int] = []
+        self.near: list[int] = []  # elements that say whether the next one is of a drawing or of the page
+
+    def push(self, name: str, attributes: str) -> None:
+        place, around = len(self.names), self.elements[-1] if self.elements else None
+        if name in HOLDS:
+            around = Element(name, names_of(attributes), around)
+            self.holders.append(place)
+        if name in HOLDS or name in FOREIGN or name == "foreignobject":
+            self.near.append(place)
+        self.names.append(name)
+        self.elements.append(around)
+        self.at[name].append(place)
+
+    def pop(self, place: int) -> None:
+        """Close the element at a place and all in it."""
+        while len(self.names) > place:
+            self.at[self.names.pop()].pop()
+            self.elements.pop()
+        for places in (self.holders, self.near):
+            while places and places[-1] >= place:
+                places.pop()
+
+    def last(self, name: str) -> int | None:
+        places = self.at.get(name)
+        return places[-1] if places else None
+
+    def foreign(self) -> bool:
+        """Whether the next element is one of a drawing or formula."""
+        return bool(self.near) and self.names[self.near[-1]] in FOREIGN
+
+    def ended_by(self, name: str) -> int | None:
+        """The place of the outermost element that the opening tag of a block ends."""
+        if name not in ENDS:
+            return self.last("p")
+        ended, holders = ENDS[name]
+        held = max((p for p in map(self.last, holders) if p is not None), default=-1)
+        first = []
+        for own in ended | {"p"}:
+            places = self.at.get(own, [])
+            k = bisect_right(places, held)
+            first += places[k : k + 1]
+        return min(first, default=None)
 
 
 def names_of(attributes: str) -> tuple[str, ...]:
@@ -53,9 +131,9 @@ def blocks(page: str | None) -> list[Block]:
     does a drawing or player. Only a script, style, title or frame without an end reaches to the end of the page."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], int]] = []
+    stack = Stack()
     parts: list[str] = []
-    linked = links = at = count = 0
+    linked = at = 0
     muted: int | None = None  # place of the outermost muted element of the stack
 
     def flush() -> None:
@@ -63,8 +141,7 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                own = [x for x in stack if x[0] in HOLDS]
-                out.append(Block(text, tuple(x[0] for x in own), tuple(x[1] for x in own), min(1.0, linked / len(text)), own[-1][2] if own else 0))
+                out.append(Block(text, stack.elements[-1] if stack.elements else None, min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
@@ -73,18 +150,12 @@ def blocks(page: str | None) -> list[Block]:
         if text and muted is None:
             text = html.unescape(text) if "&" in text else text
             parts.append(text)
-            linked += len(text.strip()) if links else 0
+            linked += len(text.strip()) if stack.at.get("a") else 0
 
     def pop(place: int) -> None:
-        nonlocal links, muted
-        links -= sum(1 for x in stack[place:] if x[0] == "a")
+        nonlocal muted
         muted = None if muted is not None and place <= muted else muted
-        del stack[place:]
-
-    def foreign() -> bool:
-        """Whether the next element is one of a drawing or formula."""
-        near = next((x[0] for x in reversed(stack) if x[0] in FOREIGN or x[0] == "foreignobject" or x[0] in HOLDS), "")
-        return near in FOREIGN
+        stack.pop(place)
 
     while (m := _TAG.search(page, at)) is not None:
         say(page[at : m.start()])
@@ -92,7 +163,7 @@ def blocks(page: str | None) -> list[Block]:
         if not name:
             continue
         if m["end"]:
-            place = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            place = stack.last(name)
             if muted is not None and (place is None or place >= muted):
                 if place is not None:
                     pop(place)
@@ -102,15 +173,15 @@ def blocks(page: str | None) -> list[Block]:
             elif name in EMBEDDED:
                 parts.append(" ")
             # An inline element's end doesn't reach beyond the block it is in.
-            if place is not None and (name in BLOCK or not any(x[0] in HOLDS for x in stack[place:])):
+            if place is not None and (name in BLOCK or not stack.holders or stack.holders[-1] < place):
                 pop(place)
             continue
         if name in EMBEDDED or name in MUTED:
             parts.append(" ")
-        if name not in VOID and m["attributes"].endswith("/") and (name in FOREIGN or foreign()):
+        if name not in VOID and m["attributes"].endswith("/") and (name in FOREIGN or stack.foreign()):
             continue
-        if name in MUTED and (name == "template" or foreign()):
-            muted = len(stack) if muted is None else muted
+        if name in MUTED and (name == "template" or stack.foreign()):
+            muted = len(stack.names) if muted is None else muted
         elif name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
             at = len(page) if end is None else end.start()
@@ -119,22 +190,14 @@ def blocks(page: str | None) -> list[Block]:
             pass
         elif name in BLOCK:
             flush()
-            ended, holders = ENDS.get(name, (set(), set()))
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in holders:
-                    break
-                if stack[k][0] in ended or stack[k][0] == "p":
-                    pop(k)
-                    if not ended:
-                        break
+            if (place := stack.ended_by(name)) is not None:
+                pop(place)
         elif name == "br":
             parts.append(" ")
-        elif name == "a" and any(x[0] == "a" for x in stack):
-            pop(next(k for k, x in enumerate(stack) if x[0] == "a"))
+        elif name == "a" and stack.at.get("a"):
+            pop(stack.at["a"][0])
         if name not in VOID:
-            count += 1
-            stack.append((name, names_of(m["attributes"]), count))
-            links += name == "a"
+            stack.push(name, m["attributes"])
     say(page[at:])
     flush()
     return out
