@@ -12,7 +12,10 @@ bytes of suffixes count, and only whether they are equal, so suffixes are sorted
    and sorted one range of buckets at a time; the rest of the corpus isn't in memory or on disk meanwhile. Of equal
    suffixes all but the first in corpus order start a repeat.
 
-A block sends each bucket its distinct fingerprints once, sorted and packed; so a string that a third of all documents
+A suffix entry carries a second fingerprint, of other numbers for the bytes and another base. Entries are equal if both
+are, so two different strings would have to collide in 128 bits; one fingerprint alone decides about order and buckets only.
+
+A block sends each bucket its distinct entries once, sorted and packed; so a string that a third of all documents
 hold is one entry per block. A bucket answers with a bit for each entry.
 """
 
@@ -41,29 +44,24 @@ SAMPLE = LENGTH - PERIOD + 1
 BLOCK_BYTES, BUCKET_ENTRIES, ROUNDS = 4 << 20, 1 << 20, 3
 #: Bytes that are fingerprinted at a time, to stay in the processor's cache.
 PIECE = 1 << 17
-BASE = 0x9E3779B97F4A7C15
-VALUES = byte_values(5)
+BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+VALUES, SECOND_VALUES = byte_values(5), byte_values(11)
 NO_ID = -(1 << 63)
 
 
 # ---- one block
 
 
-def fingerprints(data: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(first place, fingerprints of the strings from there on), piece by piece."""
-    for a in range(0, len(data) - length + 1, PIECE):
-        yield a, mixed(polynomial(VALUES[data[a : a + PIECE + length - 1]], length, BASE))
-
-
-def at_places(data: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
-    """Fingerprints of the strings at ascending places."""
+def at_places(data: np.ndarray, places: np.ndarray, length: int, second: bool = False) -> np.ndarray:
+    """Fingerprints of the strings at ascending places, or their second ones."""
+    values, base = (SECOND_VALUES, SECOND_BASE) if second else (VALUES, BASE)
     out = np.empty(len(places), np.uint64)
     if len(places):
         for a in range(0, int(places[-1]) + 1, PIECE):
             i, j = np.searchsorted(places, (a, a + PIECE))
             if i < j:
                 low, high = int(places[i]), int(places[j - 1])
-                out[i:j] = mixed(polynomial(VALUES[data[low : high + length]], length, BASE))[places[i:j] - low]
+                out[i:j] = mixed(polynomial(values[data[low : high + length]], length, base))[places[i:j] - low]
     return out
 
 
@@ -95,12 +93,19 @@ def places_of(runs: np.ndarray) -> np.ndarray:
     return np.repeat(runs[:, 0] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
-def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the fingerprints, their distinct values ascending, and which of the order is the first of its value."""
+def distinct(h: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the fingerprints, equal ones in the order given, and which of the order is the first of its value.
+
+    With second fingerprints, only entries that agree in both are equal, and those of one first fingerprint are ordered by
+    the second.
+    """
     order = np.argsort(h, kind="stable")
     first = np.ones(len(h), bool)
     first[1:] = h[order[1:]] != h[order[:-1]]
-    return order, h[order][first], first
+    if second is not None and (~first[1:] & (second[order[1:]] != second[order[:-1]])).any():
+        order = np.lexsort((second, h))
+        first[1:] = (h[order[1:]] != h[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
+    return order, first
 
 
 def removed(data: np.ndarray, starts: np.ndarray, repeats: np.ndarray) -> list[tuple[int, int, str]]:
@@ -145,10 +150,24 @@ def unascending(blob: bytes) -> np.ndarray:
     return np.cumsum(unpacked(blob, "<u8"), dtype=np.uint64)
 
 
+def bucket_limits(buckets: int) -> np.ndarray:
+    """The first fingerprint of each bucket but the first one; buckets are equal ranges."""
+    return (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
+
+
 def bucket_edges(values: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins among ascending fingerprints; buckets are equal ranges of their upper half."""
-    limits = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
-    return np.concatenate([[0], np.searchsorted(values, limits), [len(values)]])
+    """Where each bucket begins among ascending fingerprints."""
+    return np.concatenate([[0], np.searchsorted(values, bucket_limits(buckets)), [len(values)]])
+
+
+def in_buckets(h: np.ndarray, buckets: int, chosen: range) -> np.ndarray:
+    """Which fingerprints are of the chosen buckets."""
+    limits, inside = bucket_limits(buckets), np.full(len(h), len(chosen) > 0)
+    if chosen.start > 0:
+        inside &= h >= limits[chosen.start - 1]
+    if chosen.stop < buckets:
+        inside &= h < limits[chosen.stop - 1]
+    return inside
 
 
 class Block:
@@ -238,42 +257,42 @@ def exact_copies(blocks: DataFrame) -> DataFrame:
     return keep(later.groupBy("block").agg(F.collect_list("place").alias("copies")), "copies")
 
 
-PACKETS = "bucket int, block long, entries binary, docs binary, ids binary"
+PACKETS = "bucket int, block long, entries binary, second binary, docs binary, ids binary"
 ANSWERS = "block long, bucket int, n long, bits binary"
 
 
-def packets(block: Block, values: np.ndarray, buckets: int, chosen: range, docs: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """What a block sends to each bucket: its distinct fingerprints, and the document each is first in."""
+def packets(block: Block, values: np.ndarray, buckets: int, chosen: range, second: np.ndarray | None = None, docs: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """What a block sends to each bucket: its distinct fingerprints; of suffixes the second ones, too, and the document
+    each is first in."""
     edges, ids = bucket_edges(values, buckets), b"" if docs is None else packed(np.diff(block.ids, prepend=0))
     for b in chosen:
         i, j = edges[b], edges[b + 1]
         if i < j:
-            own = b"" if docs is None else packed(docs[i:j].astype("<u4"))
-            yield pa.record_batch([pa.array([b], pa.int32()), pa.array([block.id]), pa.array([ascending(values[i:j])], pa.binary()), pa.array([own], pa.binary()), pa.array([ids], pa.binary())], names=["bucket", "block", "entries", "docs", "ids"])
+            own = (b"", b"") if docs is None else (second[i:j].tobytes(), packed(docs[i:j].astype("<u4")))
+            columns = [pa.array([b], pa.int32()), pa.array([block.id]), *(pa.array([x], pa.binary()) for x in (ascending(values[i:j]), *own, ids))]
+            yield pa.record_batch(columns, names=["bucket", "block", "entries", "second", "docs", "ids"])
 
 
 def sort_bucket(group: pa.Table) -> pa.Table:
-    """Sort a bucket's entries. Without documents, a bit says that another block has the entry, too; with them, that
-    another block has it earlier."""
+    """Sort a bucket's entries. Of samples, a bit says that another block has the entry, too; of suffixes, that another
+    block has it earlier."""
     group = group.sort_by("block")
-    blobs = group.column("entries").to_pylist()
-    parts = [unascending(b) for b in blobs]
+    parts = [unascending(b) for b in group.column("entries").to_pylist()]
     sizes = np.array([len(p) for p in parts])
     values, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes)
     del parts
-    order = np.argsort(values, kind="stable")
-    same = values[order[1:]] == values[order[:-1]]
-    tied = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    suffixes = bool(group.column("ids")[0].as_py())
+    order, first = distinct(values, np.concatenate([np.frombuffer(b, "<u8") for b in group.column("second").to_pylist()]) if suffixes else None)
+    tied = ~np.concatenate([first[1:], [True]]) | ~first
     bits = np.zeros(len(values), bool)
-    if not group.column("ids")[0].as_py():
+    if not suffixes:
         bits[order] = tied
     else:
         ids = [np.cumsum(unpacked(b, "<i8")) for b in group.column("ids").to_pylist()]
         docs = [own[unpacked(b, "<u4")] for own, b in zip(ids, group.column("docs").to_pylist(), strict=True)]
-        few = order[tied]
-        doc_id, value = np.concatenate(docs)[few], values[few]
-        again = few[rank := np.lexsort((owner[few], doc_id, value))]
-        bits[again[1:]] = value[rank[1:]] == value[rank[:-1]]
+        few, entry = order[tied], np.cumsum(first)[tied]
+        again = few[rank := np.lexsort((owner[few], np.concatenate(docs)[few], entry))]
+        bits[again[1:]] = entry[rank[1:]] == entry[rank[:-1]]
     cut = np.cumsum(sizes)[:-1]
     blocks, buckets = group.column("block"), group.column("bucket")
     return pa.table([blocks, buckets, pa.array(sizes), pa.array([np.packbits(x).tobytes() for x in np.split(bits, cut)], pa.binary())], names=["block", "bucket", "n", "bits"])
@@ -302,8 +321,7 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_entries: int
     def send_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             block = Block(row)
-            _, values, _ = distinct(block.samples()[1])
-            yield from packets(block, values, n_samples, range(n_samples), None)
+            yield from packets(block, np.unique(block.samples()[1]), n_samples, range(n_samples))
 
     ranks = answered(texts.mapInArrow(send_samples, PACKETS), "ranks")
     release(spark)
@@ -312,7 +330,7 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_entries: int
         for row in rows_of(batches):
             block = Block(row)
             places, h = block.samples()
-            order, values, first = distinct(h)
+            order, first = distinct(h)
             shared = answers(row["bits"] or [])[np.cumsum(first) - 1]
             local = np.diff(np.append(np.flatnonzero(first), len(h))) > 1
             runs = zones(np.sort(places[order[shared | local[np.cumsum(first) - 1]]]), block.starts) if len(h) else np.zeros((0, 2), np.int64)
@@ -330,9 +348,13 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_entries: int
             for row in rows_of(batches):
                 block = Block(row)
                 places, h = block.suffixes(row["runs"])
-                order, values, first = distinct(h)
-                owner = np.searchsorted(block.starts, places[order[first]], side="right") - 1
-                yield from packets(block, values, n_suffixes, chosen, owner)
+                inside = in_buckets(h, n_suffixes, chosen)
+                places, h = places[inside], h[inside]
+                second = at_places(block.data, places, LENGTH, second=True)
+                order, first = distinct(h, second)
+                own = order[first]
+                owner = np.searchsorted(block.starts, places[own], side="right") - 1
+                yield from packets(block, h[own], n_suffixes, chosen, second[own], owner)
 
         own = keep(zoned.mapInArrow(send_suffixes, PACKETS).groupBy("bucket").applyInArrow(sort_bucket, ANSWERS), "repeats")
         later = own if later is None else later.union(own)
@@ -343,7 +365,7 @@ def repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_entries: int
         for row in rows_of(batches):
             block = Block(row)
             places, h = block.suffixes(row["runs"])
-            order, _, first = distinct(h)
+            order, first = distinct(h, at_places(block.data, places, LENGTH, second=True))
             earlier = answers(row["bits"] or [])[np.cumsum(first) - 1] if len(h) else np.zeros(0, bool)
             found = removed(block.data, block.starts, np.sort(places[order[earlier | ~first]]))
             sizes, nothing = np.diff(block.starts), hashlib.sha256(b"").hexdigest()

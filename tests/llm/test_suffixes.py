@@ -41,6 +41,9 @@ def test_packing():
         assert (suffixes.unascending(suffixes.ascending(values)) == values).all()
         edges = suffixes.bucket_edges(values, 7)
         assert edges[0] == 0 and edges[-1] == len(values) and (np.diff(edges) >= 0).all()
+        for chosen in (range(0, 3), range(3, 7), range(2, 2)):
+            inside = suffixes.in_buckets(values, 7, chosen)
+            assert (inside == [any(edges[b] <= k < edges[b + 1] for b in chosen) for k in range(len(values))]).all()
 
 
 def made(seed):
@@ -72,6 +75,29 @@ def test_by_a_set_of_all_strings(spark, block, entries, rounds):
     assert found(suffixes.repeats(docs, block, entries, rounds)) == plain(rows)
 
 
+def test_order_of_colliding_fingerprints():
+    h, second = np.array([7, 5, 7, 7, 5], np.uint64), np.array([2, 9, 1, 2, 9], np.uint64)
+    order, first = suffixes.distinct(h, second)
+    assert order.tolist() == [1, 4, 2, 0, 3] and first.tolist() == [True, False, True, True, False]
+
+
+@pytest.mark.parametrize("name", ["VALUES", "SECOND_VALUES"])
+def test_strings_that_collide_in_a_fingerprint_stay_apart(spark, monkeypatch, name):
+    """A fingerprint that can't tell the letters a to e apart."""
+    blind = getattr(suffixes, name).copy()
+    blind[ord("a") : ord("e") + 1] = blind[ord("a")]
+    monkeypatch.setattr(suffixes, name, blind)
+    rng = random.Random(3)
+
+    def turned(text):
+        return "".join(rng.choice("abcde") if c in "abcde" else c for c in text)
+
+    base = made(5)
+    rows = base + [(1000 + k, turned(t) if k % 2 else t) for k, (_, t) in enumerate(base) if t]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found(suffixes.repeats(docs, 3000, 700, 2)) == plain(rows)
+
+
 def test_empty_and_short_tables(spark):
     assert found(suffixes.repeats(spark.createDataFrame([], "doc_id long, text string"))) == []
     rows = [(1, None), (2, ""), (3, "short")]
