@@ -55,19 +55,16 @@ def pivot_table(
 def pivot_distinct(report: DataFrame, rows: Sequence[str], cols: Sequence[str], key: str, name: str) -> DataFrame:
     """Number of different values of a whole-number ``key`` per cell, with row, column and grand totals in long form.
 
-    Such numbers don't add up, so a cell keeps the values themselves as bits, a bitmap for each run of 32,768 values, and
-    totals are counted from united bitmaps. The report is read once and reduced to cells in its own tasks; a NULL key isn't
-    counted, and a cell with no other has none.
+    Such numbers don't add up, so cells and totals are counted from the different values themselves: a task holds a share
+    of the rows' cells and values, and nothing whose size depends on how far the values are apart. The report is read
+    once; a NULL key isn't counted, and a cell with no other has none.
     """
-    keyed = report.withColumns({"_bucket": F.coalesce(F.bitmap_bucket_number(key), F.lit(0)), "_position": F.bitmap_bit_position(key)})
-    cells = keyed.groupBy(*rows, *cols, "_bucket").agg(F.bitmap_construct_agg("_position").alias("_bits"))
     keys = [*rows, *cols]
     sets = list(dict.fromkeys(((*rows, *cols), (*rows,), (*cols,), ())))
-    united = cells.groupingSets([[F.col(k) for k in (*s, "_bucket")] for s in sets], *[F.col(k) for k in (*keys, "_bucket")]).agg(
-        *[(F.grouping(k) == 1).alias(f"total_{k}") for k in keys], F.bitmap_count(F.bitmap_or_agg("_bits")).alias("_n")
+    values = report.select(*keys, F.col(key).cast("long").alias("_value"))
+    return values.groupingSets([[F.col(k) for k in s] for s in sets], *[F.col(k) for k in keys]).agg(
+        *[(F.grouping(k) == 1).alias(f"total_{k}") for k in keys], F.count_distinct("_value").alias(name)
     )
-    flags = [f"total_{k}" for k in keys]
-    return united.groupBy(*keys, *flags).agg(F.sum("_n").alias(name))
 
 
 def list_totals(report: DataFrame, measures: Sequence[str]) -> DataFrame:

@@ -98,3 +98,10 @@ def test_a_period_of_entries_filters_the_lines_before_their_shuffle(spark, star,
         for option in options:
             spark.conf.unset(option)
     assert spark.conf.get("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold") == "2GB"
+
+
+def test_distinct_entries_are_counted_without_wide_rows(static_plans, sf_dir):
+    """An aggregate sorts its input where its state isn't of fixed size, such as bitmaps of 4 KB for each cell."""
+    plan = static_plans("journal_pivot_totals", sf_dir)
+    assert "HashAggregate" in plan
+    assert not re.search(r"SortAggregate|ObjectHashAggregate|bitmap", plan)
