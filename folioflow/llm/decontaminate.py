@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import keep, prepare, shielded
+from .store import keep, prepare, with_text
 from .texts import byte_values, flat, mixed, pieces, polynomial
 
 WINDOW = 10
@@ -188,26 +188,29 @@ def mark(docs: DataFrame, bench: DataFrame, carry: list[str] | None = None, widt
     runs = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("length", T.LongType())]))
     added = [T.StructField("_n_words", T.LongType()), T.StructField("_hits", runs), T.StructField("_items", T.ArrayType(bench.schema["item_id"].dataType))]
 
-    def scanned(frame: DataFrame, block: DataFrame, all_rows: bool) -> DataFrame:
+    # A carried text that is a string is scanned where it is; others get a column that goes to the tasks only.
+    text = "text" if "text" in carry and docs.schema["text"].dataType == T.StringType() else "_text"
+
+    def scanned(frame: DataFrame, block: DataFrame, names: list[str], all_rows: bool) -> DataFrame:
         table = spark.sparkContext.broadcast(windows(block.toArrow(), width))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(table.value)
             for batch in batches:
-                for part in pieces(batch, "_text"):
-                    yield _marked(part, matcher, all_rows)
+                for part in pieces(batch, text):
+                    yield _marked(part, matcher, text, names, all_rows)
 
-        return frame.mapInArrow(scan, T.StructType([f for f in frame.schema if f.name != "_text"] + added))
+        return frame.mapInArrow(scan, T.StructType([frame.schema[n] for n in names] + added))
 
-    frame = docs.select(*carry, F.col("text").cast("string").alias("_text"))
+    frame = docs.select(*carry, *([F.col("text").cast("string").alias("_text")] if text == "_text" else []))
     first, *others = blocks(bench, limit, width)
     if not others:
-        return scanned(frame, first, True)
+        return scanned(frame, first, carry, True)
     frame = keep(frame.withColumn("_row", F.monotonically_increasing_id()), "texts")
-    texts = frame.select("_row", "_text")
-    found = keep(scanned(texts, first, True), "hits")
+    texts = frame.select("_row", text)
+    found = keep(scanned(texts, first, ["_row"], True), "hits")
     for block in others:
-        found = found.union(keep(scanned(texts, block, False), "hits"))
+        found = found.union(keep(scanned(texts, block, ["_row"], False), "hits"))
     # A row has at most one entry from each block.
     each = found.groupBy("_row").agg(F.max("_n_words").alias("_n_words"), F.flatten(F.collect_list("_hits")).alias("_hits"), F.flatten(F.collect_list("_items")).alias("_items"))
     return frame.drop("_text").join(each.mapInArrow(_settled, each.schema), "_row").drop("_row")
@@ -233,8 +236,8 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
 
-def _marked(part: pa.RecordBatch, matcher: Matcher, all_rows: bool) -> pa.RecordBatch:
-    found, before = matcher.hits(part.column("_text"))
+def _marked(part: pa.RecordBatch, matcher: Matcher, text: str, names: list[str], all_rows: bool) -> pa.RecordBatch:
+    found, before = matcher.hits(part.column(text))
     by_row = defaultdict(list)
     if found:
         rows = np.searchsorted(before, [i for i, _, _ in found], side="right") - 1
@@ -245,7 +248,6 @@ def _marked(part: pa.RecordBatch, matcher: Matcher, all_rows: bool) -> pa.Record
         start = int(before[row])
         hits[row] = _spans([(i - start, n) for i, n, _ in own])
         items[row] = sorted(matcher.items({(n, k) for _, n, k in own}), key=str)
-    names = [name for name in part.schema.names if name != "_text"]
     spans = pa.list_(pa.struct([("first", pa.int64()), ("length", pa.int64())]))
     columns = [part.column(n) for n in names] + [pa.array(np.diff(before), pa.int64()), pa.array(hits, spans), pa.array(items, pa.list_(matcher.kind))]
     out = pa.RecordBatch.from_arrays(columns, names=[*names, "_n_words", "_hits", "_items"])
@@ -257,8 +259,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
 
     Nulls, ties and empty tables as in ``mark``: a null text has no window and stays, equal rows stay or go together.
     """
-    rows, restored = shielded(docs, F.col("text").cast("string").alias("text"))
-    return restored(mark(rows, bench, rows.columns[:-1], **options).filter(F.size("_hits") == 0))
+    rows, own, restored = with_text(docs)
+    return restored(mark(rows, bench, own, **options).filter(F.size("_hits") == 0))
 
 
 def report(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:

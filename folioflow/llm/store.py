@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.scratch import shared_dir
 
@@ -104,3 +105,16 @@ def shielded(docs: DataFrame, *helpers: Column) -> tuple[DataFrame, Callable[[Da
         return rows.select(*[F.col(place).alias(name) for place, name in places])
 
     return docs.select(*quoted, *helpers), restored
+
+
+def with_text(docs: DataFrame) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """``shielded`` with the text as a string, ``text``; the names of the table's own columns there; and what gives them back.
+
+    A text that is a string already is one of them, so that no task gets it twice."""
+    if docs.columns.count("text") != 1 or docs.schema["text"].dataType != T.StringType():
+        rows, restored = shielded(docs, F.col("text").cast("string").alias("text"))
+        return rows, rows.columns[:-1], restored
+    rows, restored = shielded(docs)
+    place = rows.columns[docs.columns.index("text")]
+    rows = rows.withColumnRenamed(place, "text")
+    return rows, rows.columns, lambda found: restored(found.withColumnRenamed("text", place))

@@ -11,16 +11,20 @@ Footer: u64 numbers of ids, id blocks, documents, length blocks; the last 4 byte
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import os
 import re
 import struct
 import sys
+import threading
 import types
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from contextlib import contextmanager, suppress
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +48,8 @@ RUN = 64
 REMEMBERED, EACH, LONGEST = 96 << 20, 160, 64
 #: Bytes of text that are encoded at a time.
 PIECE = 1 << 20
+#: Seconds after which a worker drops an encoder that no task uses.
+IDLE = 15.0
 
 
 #: Letters that are one piece, perhaps with a mark after them, which is one of its own.
@@ -177,15 +183,34 @@ class Encoder:
         return [np.asarray(next(known) if p else self._whole(t), "<u4").tobytes() for t, p in zip(texts, plain, strict=True)]
 
 
-def worker_encoder(path: str) -> Encoder:
+@contextmanager
+def worker_encoder(path: str) -> Iterator[Encoder]:
     """The encoder of this worker process, with what it remembers from earlier tasks.
 
-    Functions travel by value, and their globals with them, so what stays between tasks is in a module of its own.
+    Functions travel by value, and their globals with them, so what stays between tasks is in a module of its own. It is
+    dropped when no task has used it for ``IDLE`` seconds, since the worker goes on to other operators' tasks.
     """
     held = sys.modules.setdefault("folioflow_worker", types.ModuleType("folioflow_worker"))
-    if getattr(held, "path", None) != path:
-        held.encoder, held.path = Encoder(path), path
-    return held.encoder
+    if hasattr(held, "timer"):
+        held.timer.cancel()
+    own = getattr(held, "own", None)
+    if own is None or own[0] != path:
+        own = held.own = (path, Encoder(path))
+    try:
+        yield own[1]
+    finally:
+        held.timer = threading.Timer(IDLE, _dropped, [held])
+        held.timer.daemon = True
+        held.timer.start()
+
+
+def _dropped(held: types.ModuleType) -> None:
+    held.own = None
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    # What is freed goes back to the system where the C library can do that.
+    with suppress(AttributeError, OSError, TypeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def file_parts(docs: Iterator[tuple[int | None, bytes]], told: dict) -> Iterator[bytes]:
@@ -266,9 +291,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
     rows = rows.withColumn("shard", shard_of(F.col("doc_id"), cuts)).repartitionById(n, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, shard = worker_encoder(tokenizer), np.array([end_id], "<u4").tobytes(), [None]
+        end, shard = np.array([end_id], "<u4").tobytes(), [None]
 
-        def stream() -> Iterator[tuple[int | None, bytes]]:
+        def stream(encoder: Encoder) -> Iterator[tuple[int | None, bytes]]:
             for batch in batches:
                 shard[0] = batch.column("shard")[0].as_py()
                 for part in pieces(batch, "text", PIECE):
@@ -276,16 +301,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
                     for doc_id, own in zip(part.column("doc_id").to_pylist(), ids, strict=True):
                         yield doc_id, own + end
 
-        docs_, told, name = stream(), {}, f"_tmp-{uuid.uuid4().hex}"
-        first = next(docs_, None)
-        if first is None:
-            return
-
-        def all_docs() -> Iterator[tuple[int | None, bytes]]:
-            yield first
-            yield from docs_
-
-        size = write_bytes(f"{folder}/{name}", file_parts(all_docs(), told))
+        told, name = {}, f"_tmp-{uuid.uuid4().hex}"
+        with worker_encoder(tokenizer) as encoder:
+            docs_ = stream(encoder)
+            first = next(docs_, None)
+            if first is None:
+                return
+            size = write_bytes(f"{folder}/{name}", file_parts(chain([first], docs_), told))
         yield pa.RecordBatch.from_pylist([{"shard": shard[0], "name": name, "size": size, **told}], WRITTEN)
 
     done = sorted(rows.mapInArrow(write, "shard long, name string, size long, docs long, ids long").collect(), key=lambda r: r.shard)

@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .store import keep, prepare, shielded
+from .store import keep, prepare, with_text
 
 #: Labelled rows to learn from (expected number; the bound of what the driver and each worker hold).
 SAMPLE = 20_000
@@ -309,16 +310,20 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
 def scored(docs: DataFrame, lexicon: Lexicon, carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` of every document (default: all) and ``_score``; a null text is scored as an empty one."""
     prepare(docs.sparkSession)
-    rows = docs.select(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)], F.col("text").cast("string").alias("_text"), F.lit(0.0).alias("_score"))
+    carry = docs.columns if carry is None else carry
+    # A carried text that is a string is scored where it is; others get a column that goes to the tasks only.
+    text = "text" if "text" in carry and docs.schema["text"].dataType == T.StringType() else "_text"
+    rows = docs.select(*[F.col(f"`{c}`") for c in carry], *([F.col("text").cast("string").alias("_text")] if text == "_text" else []))
+    schema = T.StructType([*rows.schema.fields[: len(carry)], T.StructField("_score", T.DoubleType())])
     made = (lexicon.terms, lexicon.exceptions, lexicon.logistic)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lexicon(*made)
         for batch in batches:
-            found = pa.array([own.score(t.as_py()) for t in batch.column("_text")], pa.float64())
-            yield batch.set_column(batch.schema.get_field_index("_score"), "_score", found)
+            found = pa.array([own.score(t.as_py()) for t in batch.column(text)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], found], names=schema.names)
 
-    return rows.mapInArrow(score, rows.schema).drop("_text")
+    return rows.mapInArrow(score, schema)
 
 
 def report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -333,5 +338,5 @@ def clean_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     A null text is scored as an empty one; equal rows stay or go together; an empty table stays empty, and without labels
     the lexicon is the fixed one.
     """
-    rows, restored = shielded(docs, F.col("text").cast("string").alias("text"))
-    return restored(scored(rows, learn(docs, labels, **options), rows.columns[:-1]).filter(F.col("_score") < THRESHOLD))
+    rows, own, restored = with_text(docs)
+    return restored(scored(rows, learn(docs, labels, **options), own).filter(F.col("_score") < THRESHOLD))

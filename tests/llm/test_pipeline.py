@@ -1,3 +1,7 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
 from test_decontaminate import plain as plain_marks
 from test_mixing import plain as plain_mix
 from test_mixing import size
@@ -35,3 +39,15 @@ def test_run_by_plain_stages(spark, sf_dir):
     rows = [(i, texts[i]) for i, n in taken.items() for _ in range(n // size(texts[i]))]
     found = sorted((tuple(r) for r in contract.queries()["pipeline"](spark, sf_dir).collect()), key=lambda r: r[1])
     assert found == plain_tokens(rows)
+
+
+@pytest.mark.parametrize("name", ["toxicity", "decontamination"])
+def test_a_task_gets_and_gives_a_text_once(spark, name):
+    docs = spark.createDataFrame([(1, "some words", "en", None, 10), (None, None, None, "s", None)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)[name](spark, docs, "/root/testdata/sf0.001")
+    assert sorted(map(str, kept.collect())) == sorted(map(str, docs.collect())) and kept.schema == docs.schema
+    (step,) = re.findall(r"MapInArrow \w+\(([^)]*)\)[^\[]*\[([^\]]*)\]", kept._jdf.queryExecution().optimizedPlan().toString())
+    assert len(step[0].split(",")) == 5
+    assert len(step[1].split(",")) == (6 if name == "toxicity" else 8)
+    numbers = docs.withColumn("text", F.lit(7))
+    assert dict(corpus_pipeline.STAGES)[name](spark, numbers, "/root/testdata/sf0.001").select("text").distinct().collect() == [(7,)]

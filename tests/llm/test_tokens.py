@@ -1,5 +1,7 @@
 import random
 import struct
+import sys
+import types
 import zlib
 
 import numpy as np
@@ -87,3 +89,22 @@ def test_remembered_chunks_are_bounded(monkeypatch):
         for text, ids in zip(texts, encoder.encode(texts), strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
         assert len(encoder.known) < 20_000 // tokens.EACH + 300
+
+
+def test_a_worker_keeps_its_encoder_between_tasks_and_drops_it_when_idle(monkeypatch):
+    monkeypatch.setitem(sys.modules, "folioflow_worker", types.ModuleType("folioflow_worker"))
+    held = sys.modules["folioflow_worker"]
+    with tokens.worker_encoder(tokenizer_path()) as first:
+        pass
+    with tokens.worker_encoder(tokenizer_path()) as second:
+        assert second is first
+    held.timer.cancel()
+    monkeypatch.setattr(tokens, "IDLE", 0.01)
+    with tokens.worker_encoder(tokenizer_path()) as third:
+        assert third is first
+    held.timer.join()
+    assert held.own is None
+    with tokens.worker_encoder(tokenizer_path()) as fourth:
+        assert fourth is not first
+        assert fourth.encode(["a b"]) == first.encode(["a b"])
+    held.timer.join()
