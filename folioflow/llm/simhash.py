@@ -13,7 +13,7 @@ need no comparison at all, and the work for a hot group is in proportion to its
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,6 +28,8 @@ from .store import keep, prepare
 SHINGLE, BITS, SEED = 4, 4, 42
 #: Fingerprints of a table entry that one task compares with each other.
 HOT = 1024
+#: Table entries that one task makes, about: Spark counts them in its memory, some 100 bytes each.
+ENTRIES = 1 << 20
 
 #: Flips of at most one bit in either half, and of at most two bits anywhere.
 BALL_1 = np.array([0, *(1 << b for b in range(32))], np.uint64)
@@ -84,6 +86,14 @@ def wide_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array((p[:, None] ^ BALL_2).ravel().view(np.int64)), pa.array(np.repeat(p, len(BALL_2)).view(np.int64))], names=["entry", "print"])
 
 
+def entered(prints: DataFrame, entries: Callable, each: int, most: int = ENTRIES) -> DataFrame:
+    """(entry, print) of a written table of distinct fingerprints, which have ``each`` entries; a task makes about ``most``.
+
+    The table is small beside its entries, so files of it can't be what tasks are cut by."""
+    tasks = max(1, -(-prints.count() * each // most))
+    return prints.repartition(tasks, "print").mapInArrow(entries, "entry long, print long")
+
+
 def spanning(prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """Links of at most ``bits`` bits that join all fingerprints that such links connect within the group: a forest."""
     own, out = prints.view(np.uint64), []
@@ -111,7 +121,7 @@ def compare(batches: Iterator[pa.RecordBatch], bits: int = BITS) -> Iterator[pa.
 
 def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
     """(a, b) links between distinct fingerprints that connect just what all links of at most 4 bits connect."""
-    entries = prints.mapInArrow(ball_entries, "entry long, print long")
+    entries = entered(prints, ball_entries, 2 * len(BALL_1))
     sizes = entries.groupBy("entry").agg(F.count("*").alias("n"))
     shared = keep(sizes.filter("n > 1"), "entries")
     # Both sides grow with the corpus, so the plan is the same at every size.
@@ -119,8 +129,8 @@ def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
     groups = met.filter(F.col("n") <= hot).groupBy("entry").agg(F.collect_list("print").alias("prints"))
     # Most groups are the same few fingerprints under another value: each set is compared once.
     small = groups.select(F.array_sort("prints").alias("prints")).distinct().mapInArrow(compare, "a long, b long")
-    crowded = met.filter(F.col("n") > hot).select("print").distinct()
-    wide = crowded.mapInArrow(wide_entries, "entry long, print long")
+    crowded = keep(met.filter(F.col("n") > hot).select("print").distinct(), "crowded")
+    wide = entered(crowded, wide_entries, len(BALL_2))
     heads = wide.groupBy("entry").agg(F.min("print").alias("a"), F.max("print").alias("z")).filter("a < z")
     large = wide.join(heads.select("entry", "a"), "entry").filter("a < print").select("a", F.col("print").alias("b"))
     return keep(small.union(large).distinct(), "links")

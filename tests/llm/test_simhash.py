@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from folioflow.llm import simhash
 from folioflow.llm.queries import op6_simhash
@@ -100,6 +101,23 @@ def test_links_of_planted_fingerprints(spark, hot):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_tasks_are_cut_by_entries(spark):
+    """However few files have the fingerprints, a task makes about as many entries as the limit says."""
+    values = [random.Random(k).getrandbits(63) for k in range(4000)]
+    prints = simhash.keep(spark.createDataFrame([(v,) for v in values], "print long").coalesce(1), "prints")
+    found = simhash.entered(prints, simhash.ball_entries, 66, 66 * 400)
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(sizes) == 66 * len(set(values)) and len(sizes) == 10 and max(sizes) < 2 * 66 * 400
+    kept = []
+    real = simhash.keep
+    try:
+        simhash.keep = lambda df, name: kept.append(df) or real(df, name)
+        simhash.links(prints)
+    finally:
+        simhash.keep = real
+    assert all("RepartitionByExpression" in df._jdf.queryExecution().optimizedPlan().toString() for df in kept)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert simhash.report(docs).collect() == [] and simhash.one_of_each(docs).columns == docs.columns
