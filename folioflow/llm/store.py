@@ -13,10 +13,12 @@ from pyspark.sql import types as T
 
 from ..sources.scratch import shared_dir
 
-#: Arrow batches that fit a small Python worker even where texts are long.
+#: Arrow batches that fit a small Python worker even where texts are long, and Parquet batches that fit the heap (by default
+#: 4,096 texts, in arrays that are made anew, twice as large, as they fill).
 OPTIONS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",

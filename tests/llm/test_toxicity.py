@@ -87,6 +87,14 @@ def test_nulls_and_empty_tables(spark):
     assert toxicity.clean_documents(docs, labels.limit(0)).columns == docs.columns
 
 
+def test_texts_are_read_in_small_batches(spark):
+    """The heap holds a batch of Parquet rows in one array, whatever their length."""
+    spark.conf.unset("spark.sql.parquet.columnarReaderBatchSize")
+    docs = spark.createDataFrame([(1, "idiot"), (2, None)], "doc_id long, text string")
+    assert toxicity.report(docs, docs.selectExpr("doc_id", "0 toxic").limit(0)).count() == 2
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
+
+
 def test_query(spark, sf_dir):
     """Every score by the learned lexicon, one text at a time."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
